@@ -85,7 +85,7 @@ def draw(planned: DataFrame) -> DataFrame:
     chunks = planned.filter("slots > 0").select(
         "rank", "n_blocks", "slots", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / SLOT_CHUNK))).alias("_chunk")
     )
-    chunks = chunks.repartition("rank", "_chunk")
+    chunks = chunks.repartition(int(planned.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rank", "_chunk")
     first = F.col("_chunk") * SLOT_CHUNK
     slots = chunks.select("rank", "n_blocks", F.explode(F.sequence(first, F.least(first + SLOT_CHUNK, "slots") - 1)).alias("slot"))
     return slots.select(
@@ -126,9 +126,10 @@ def mix(docs: DataFrame) -> DataFrame:
     columns are ignored. Draws depend on ranks, sizes and SEED alone, so reruns agree.
     """
     placed, planned, pieces = pack(docs)
+    # Spark takes what is exploded from the small plan for small; merge joins keep it from broadcasting that.
     times = draw(planned).groupBy("rank", "block").agg(F.count("*").alias("times"))
-    taken = pieces.join(times, ["rank", "block"]).groupBy("row").agg(F.sum(F.col("n_words") * F.col("times")).alias("taken"))
-    out = placed.join(taken, "row", "left")
+    taken = pieces.join(times.hint("merge"), ["rank", "block"]).groupBy("row").agg(F.sum(F.col("n_words") * F.col("times")).alias("taken"))
+    out = placed.join(taken.hint("merge"), "row", "left")
     return out.select("doc_id", "row", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
