@@ -68,8 +68,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
     hits = docs.select(F.col(key).alias("id"), F.col(text).alias("_text")).join(hits, "id")
     hits = hits.select("id", "item", "shift", "item_all", tokens(F.col("_text")).alias("all"))
     found = hits.select("id", "item", best_stretch(F.col("all"), F.col("item_all"), F.col("shift")).alias("b"))
-    found = found.filter(F.col("b.equal") >= F.col("b.places") * SAME)
-    best = found.groupBy("id", "item").agg(F.max("b").alias("b"))
+    best = found.groupBy("id", "item").agg(F.max("b").alias("b")).filter(F.col("b.equal") >= F.col("b.places") * SAME)
     return best.select(F.col("id").alias(key), F.col("item").alias("item_id"), "b.equal", "b.places", (F.col("b.equal") / F.col("b.places")).alias("share"))
 
 
