@@ -16,8 +16,12 @@ from pyspark.sql import functions as F
 
 from .common import stage, table
 
-#: Words of a shingle, least similarity in percent, MinHash values, bits of a signature, children of a tree node.
-SHINGLE, PERCENT, HASHES, BITS, FAN = 5, 75, 20, 1024, 8
+#: Words of a shingle, least similarity in percent, MinHash values, children of a tree node.
+SHINGLE, PERCENT, HASHES, FAN = 5, 75, 20, 8
+#: Bits of a signature: the power of two that is this many times the shingles at least, so that bounds stay sharp at every size.
+BITS_EACH, LEAST_BITS = 2, 256
+#: Equal MinHash values with which a document is compared with a group's first one before any tree is built.
+LIKELY = 6
 #: Documents that one task's tree holds at most (twice that, for a pair of parts); pairs of nodes visited at a time.
 PART, VISIT = 4096, 1 << 16
 #: Broadcast at most so many document ids (8 bytes each), by their count; more are joined by shuffles.
@@ -52,6 +56,18 @@ def node_id(found: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def bits_for(n: int) -> int:
+    return max(LEAST_BITS, 1 << (BITS_EACH * n - 1).bit_length() if n else 0)
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Signatures of fewer bits: neighbouring bits combined by or, as they stand for the leading bits of a hash."""
+    while bits.shape[1] > words:
+        on = np.unpackbits(bits.view(np.uint8), axis=1)
+        bits = np.packbits(on[:, ::2] | on[:, 1::2], axis=1).view(np.uint64)
+    return bits
+
+
 def _features(batches):
     for batch in batches:
         ids, n, nodes, bits, least = [], [], [], [], []
@@ -60,8 +76,9 @@ def _features(batches):
             ids.append(doc_id.as_py())
             n.append(len(found))
             nodes.append(node_id(found) if len(found) else None)
-            on = np.zeros(BITS, bool)
-            on[found >> np.uint64(54)] = True
+            width = bits_for(len(found))
+            on = np.zeros(width, bool)
+            on[found >> np.uint64(64 - width.bit_length() + 1)] = True
             bits.append(np.packbits(on).tobytes())
             least.append(((found[:, None] * _ODD) ^ ((found[:, None] * _ODD) >> np.uint64(32))).min(0).astype(np.int64) if len(found) else np.zeros(0, np.int64))
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bits, pa.binary()), pa.array(least, pa.list_(pa.int64()))], names=["doc_id", "n", "node", "bits", "least"])
@@ -141,49 +158,100 @@ def traverse(a: Tree, b: Tree, same: bool):
         heap.append((level - 1, cx[real], cy[real]))
 
 
-def _pairs(batches):
-    """Rows sorted by key, i, j to the pairs of rows of different components that may link, by one or two trees for each key."""
-    carried: list[pa.RecordBatch] = []
+def _forest(n: np.ndarray, bits: list[bytes], at: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The rows `at` by signature width (in 64-bit words): (rows by size, their signatures)."""
+    width = np.array([len(bits[i]) // 8 for i in at])
+    out = {}
+    for w in np.unique(width).tolist():
+        rows = at[width == w]
+        rows = rows[np.argsort(n[rows], kind="stable")]
+        out[w] = rows, np.frombuffer(b"".join([bits[i] for i in rows]), np.uint64).reshape(-1, w)
+    return out
 
-    def groups(whole: pa.Table):
-        names = np.stack([whole.column(c).to_numpy() for c in ("key", "i", "j")], 1)
-        cuts = np.nonzero((names[1:] != names[:-1]).any(1))[0] + 1
-        return [0, *cuts.tolist(), len(names)]
 
-    def found(whole: pa.Table, cuts: list[int]):
-        node, n, comp, part, i, j = (whole.column(c).to_numpy() for c in ("node", "n", "comp", "part", "i", "j"))
-        bits = np.frombuffer(b"".join(whole.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
-        left, right = [], []
-        for lo, hi in zip(cuts, cuts[1:]):
-            if hi - lo < 2 or (comp[lo:hi] == comp[lo]).all():
+def _meetings(n: np.ndarray, bits: list[bytes], left: np.ndarray, right: np.ndarray | None):
+    """Pairs of rows that may link, within `left` or, if `right` is given, between the two; trees of neighbouring widths meet at the lesser."""
+    forests = _forest(n, bits, left), _forest(n, bits, left if right is None else right)
+    for w, (rows, own) in forests[0].items():
+        for v, (others, theirs) in forests[1].items():
+            if (right is None and v < w) or not w / 2 <= v <= 2 * w:
                 continue
-            at = lo + np.lexsort((bits[lo:hi, 0], n[lo:hi]))
-            sides = [at] if i[lo] == j[lo] else [at[part[at] == i[lo]], at[part[at] == j[lo]]]
-            if not all(map(len, sides)):
+            same = right is None and v == w
+            a = Tree(n[rows], folded(own, min(v, w)))
+            b = a if same else Tree(n[others], folded(theirs, min(v, w)))
+            for x, y in traverse(a, b, same):
+                yield rows[x], others[y]
+
+
+def _best(x: np.ndarray, y: np.ndarray, comp: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Places of one pair of rows for each pair of components: that of the most equal sizes."""
+    low, high = np.minimum(comp[x], comp[y]), np.maximum(comp[x], comp[y])
+    order = np.lexsort((np.abs(n[x] - n[y]), high, low))
+    low, high = low[order], high[order]
+    first = np.ones(len(order), bool)
+    first[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+    return order[first]
+
+
+def pairing(all_pairs: bool):
+    """A function for mapInArrow: rows sorted by key, i, j to pairs of nodes of different components that may link.
+
+    One tree for each key, or two for a pair of parts of a very large group. all_pairs: every pair that the trees cannot
+    rule out; else one for each pair of components, which is enough to join most.
+    """
+
+    def run(batches):
+        carried: list[pa.RecordBatch] = []
+
+        def cuts_of(whole: pa.Table) -> list[int]:
+            names = np.stack([whole.column(c).to_numpy() for c in ("key", "i", "j")], 1)
+            return [0, *(np.nonzero((names[1:] != names[:-1]).any(1))[0] + 1).tolist(), len(names)]
+
+        def found(whole: pa.Table, cuts: list[int]):
+            node, n, comp, part, i, j = (whole.column(c).to_numpy() for c in ("node", "n", "comp", "part", "i", "j"))
+            bits, out, held = whole.column("bits").to_pylist(), [], 0
+
+            def batch():
+                pairs = np.concatenate([np.zeros((0, 2), np.int64), *out])
+                pairs = np.unique(np.sort(pairs, axis=1), axis=0)
+                return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi - lo < 2 or (comp[lo:hi] == comp[lo]).all():
+                    continue
+                at = np.arange(lo, hi)
+                right = None if i[lo] == j[lo] else at[part[at] == j[lo]]
+                kept_x = kept_y = np.zeros(0, np.int64)
+                for x, y in _meetings(n, bits, at if right is None else at[part[at] == i[lo]], right):
+                    ok = comp[x] != comp[y]
+                    x, y = x[ok], y[ok]
+                    if not all_pairs:
+                        x, y = np.concatenate([kept_x, x]), np.concatenate([kept_y, y])
+                        best = _best(x, y, comp, n)
+                        kept_x, kept_y = x[best], y[best]
+                        continue
+                    out.append(np.stack([node[x], node[y]], 1))
+                    held += len(x)
+                    if held > 200_000:
+                        yield batch()
+                        out, held = [], 0
+                out.append(np.stack([node[kept_x], node[kept_y]], 1))
+            yield batch()
+
+        for one in batches:
+            carried.append(one)
+            whole = pa.Table.from_batches(carried)
+            if whole.num_rows < 20_000:
                 continue
-            trees = [Tree(n[s], bits[s]) for s in sides]
-            for x, y in traverse(trees[0], trees[-1], len(sides) == 1):
-                x, y = sides[0][x], sides[-1][y]
-                ok = comp[x] != comp[y]
-                left.append(node[x[ok]])
-                right.append(node[y[ok]])
-        a = np.concatenate([np.zeros(0, np.int64), *left])
-        b = np.concatenate([np.zeros(0, np.int64), *right])
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            cuts = cuts_of(whole)
+            if len(cuts) > 2:
+                yield from found(whole.slice(0, cuts[-2]), cuts[:-1])
+                carried = whole.slice(cuts[-2]).to_batches()
+        if carried:
+            whole = pa.Table.from_batches(carried)
+            yield from found(whole, cuts_of(whole))
 
-    for batch in batches:
-        carried.append(batch)
-        whole = pa.Table.from_batches(carried)
-        if whole.num_rows < 20_000:
-            continue
-        cuts = groups(whole)
-        if len(cuts) > 2:
-            yield found(whole, cuts[:-1])
-            carried = whole.slice(cuts[-2]).to_batches()
-    if carried:
-        whole = pa.Table.from_batches(carried)
-        yield found(whole, groups(whole))
+    return run
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -221,13 +289,26 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     ).select("a", "b")
 
 
+def _open_pairs(meeting: DataFrame, nodes: DataFrame, comps: DataFrame, all_pairs: bool) -> DataFrame:
+    """Pairs (a, b) that the trees of each MinHash value leave between different components."""
+    rows = meeting.select("key", "node", "n").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    unsettled = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high")
+    parts = F.ceil(F.col("size") / PART).cast("int")
+    rest = rows.join(unsettled.select("key", parts.alias("parts")), "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rest = rest.select("key", "node", "n", "comp", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    rest = rest.join(nodes.select("node", "bits"), "node")
+    rest = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "node", "n", "comp", "part", "bits")
+    return rest.mapInArrow(pairing(all_pairs), "a long, b long").distinct()
+
+
 def similar(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text): the classes of documents joined by links.
 
-    Texts with equal sets are one node. Of each MinHash value that several nodes have, every node is first compared with
-    one of them; that links most copies. What remains in different components goes through the signature trees, of which
-    a very large group has several, pairwise in tasks of their own. Links are verified on whole sets, and components
-    are joined. Texts without words have no shingles and are linked with nothing. A null doc_id counts as the smallest
+    Texts with equal sets are one node. Each node is first compared with the one that comes first in most of its groups
+    of equal MinHash values; that links most copies. What remains in different components goes through the signature
+    trees, of which a very large group has several, pairwise in tasks of their own: once for one pair of each two
+    components, then for all pairs still open. Links are verified on whole sets, and components are joined. Texts without words have no shingles and are linked with nothing. A null doc_id counts as the smallest
     id; repeated rows each get a row; extra columns are ignored; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -235,24 +316,20 @@ def similar(docs: DataFrame) -> DataFrame:
     nodes = rows.filter("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("least").alias("least"), F.min("doc_id").alias("doc"))
     nodes = stage(nodes, "nodes")
     keys = nodes.select("node", "n", F.explode("least").alias("key"))
-    met = keys.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("first")).filter("size > 1")
+    met = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("first")).filter("size > 1")
     meeting = stage(keys.join(met, "key"), "meeting")
-    fits = (100 * F.col("n") >= PERCENT * F.col("first.n")) & (100 * F.col("first.n") >= PERCENT * F.col("n"))
-    stars = stage(meeting.filter(fits & (F.col("node") != F.col("first.node"))).select(F.col("node").alias("a"), F.col("first.node").alias("b")).distinct(), "stars")
-    links = stage(verified(stars, docs, nodes), "links")
-    comps = stage(components(links), "comps")
-
-    open_rows = meeting.select("key", "node", "n").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    unsettled = open_rows.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high")
-    parts = F.ceil(F.col("size") / PART).cast("int")
-    rest = open_rows.join(unsettled.select("key", parts.alias("parts")), "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    rest = rest.withColumn("other", other).select("key", "node", "n", "comp", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    rest = rest.join(nodes.select("node", "bits"), "node")
-    rest = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "node", "n", "comp", "part", "bits")
-    pairs = stage(rest.mapInArrow(_pairs, "a long, b long").distinct(), "pairs")
-    links = links.unionByName(verified(pairs, docs, nodes))
-    comps = stage(components(links), "comps")
+    stars = meeting.filter(F.col("node") != F.col("first")).groupBy("node", "first").agg(F.count("*").alias("equal")).filter(F.col("equal") >= LIKELY)
+    stars = stars.groupBy("node").agg(F.max(F.struct("equal", "first")).alias("s")).select(F.col("node").alias("a"), F.col("s.first").alias("b"))
+    comps = stage(components(verified(stage(stars, "stars"), docs, nodes)), "comps")
+    for all_pairs in (False, True):
+        pairs = stage(_open_pairs(meeting, nodes, comps, all_pairs), "pairs")
+        links = verified(pairs, docs, nodes)
+        ends = links.join(comps.select(F.col("node").alias("a"), F.col("comp").alias("comp_a")), "a", "left").join(comps.select(F.col("node").alias("b"), F.col("comp").alias("comp_b")), "b", "left")
+        joined = stage(components(ends.select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b"))), "joined")
+        joined = joined.select(F.col("node").alias("comp"), F.col("comp").alias("new"))
+        grown = comps.join(joined, "comp", "left").select("node", F.coalesce("new", "comp").alias("comp"))
+        fresh = joined.select(F.col("comp").alias("node"), F.col("new").alias("comp")).join(comps, "node", "left_anti")
+        comps = stage(grown.unionByName(fresh), "comps")
 
     named = rows.select("doc_id", "n", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.filter("comp is not null").groupBy("comp").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("component_id"))
