@@ -19,7 +19,7 @@ from .common import stage, table
 #: Words of a shingle, least similarity in percent, MinHash values, children of a tree node.
 SHINGLE, PERCENT, HASHES, FAN = 5, 75, 20, 8
 #: Bits of a signature: the power of two that is this many times the shingles at least, so that bounds stay sharp at every size.
-BITS_EACH, LEAST_BITS = 2, 256
+BITS_EACH, LEAST_BITS = 4, 256
 #: Equal MinHash values with which a document is compared with a group's first one before any tree is built.
 LIKELY = 6
 #: Documents that one task's tree holds at most (twice that, for a pair of parts); pairs of nodes visited at a time.
@@ -305,8 +305,8 @@ def _open_pairs(meeting: DataFrame, nodes: DataFrame, comps: DataFrame, all_pair
 def similar(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text): the classes of documents joined by links.
 
-    Texts with equal sets are one node. Each node is first compared with the one that comes first in most of its groups
-    of equal MinHash values; that links most copies. What remains in different components goes through the signature
+    Texts with equal sets are one node. Each node is first compared with the centre that most of its groups of equal
+    MinHash values have in common; that links most copies. What remains in different components goes through the signature
     trees, of which a very large group has several, pairwise in tasks of their own: once for one pair of each two
     components, then for all pairs still open. Links are verified on whole sets, and components are joined. Texts without words have no shingles and are linked with nothing. A null doc_id counts as the smallest
     id; repeated rows each get a row; extra columns are ignored; an empty table gives no rows.
@@ -316,9 +316,12 @@ def similar(docs: DataFrame) -> DataFrame:
     nodes = rows.filter("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("least").alias("least"), F.min("doc_id").alias("doc"))
     nodes = stage(nodes, "nodes")
     keys = nodes.select("node", "n", F.explode("least").alias("key"))
-    met = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("first")).filter("size > 1")
+    met = keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     meeting = stage(keys.join(met, "key"), "meeting")
-    stars = meeting.filter(F.col("node") != F.col("first")).groupBy("node", "first").agg(F.count("*").alias("equal")).filter(F.col("equal") >= LIKELY)
+    # a group's centre meets more of the others than its copies do, so what is alike only through it is joined at once
+    degree = meeting.groupBy("node").agg(F.sum("size").alias("degree"))
+    centre = meeting.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node")).alias("c")).select("key", F.col("c.node").alias("first"))
+    stars = meeting.join(centre, "key").filter(F.col("node") != F.col("first")).groupBy("node", "first").agg(F.count("*").alias("equal")).filter(F.col("equal") >= LIKELY)
     stars = stars.groupBy("node").agg(F.max(F.struct("equal", "first")).alias("s")).select(F.col("node").alias("a"), F.col("s.first").alias("b"))
     comps = stage(components(verified(stage(stars, "stars"), docs, nodes)), "comps")
     for all_pairs in (False, True):
