@@ -35,6 +35,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def arrow_rows(spark: SparkSession, rows: int) -> None:
+    """Rows of the Arrow batches that Python functions get from here on: few where rows hold long texts, so that a worker's memory stays bounded."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+#: Rows of a batch of texts; of a batch of numbers.
+TEXTS, NUMBERS = 500, 10_000
+
+
 def ascii_lower(column):
     return F.translate(column, UPPER, LOWER)
 
