@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, running_before, stage, table
+from .common import NUMBERS, WORD, arrow_rows, running_before, stage, table
 
 #: Words of a block, share of all words that the mix takes, most repeats of a source, weights by rank of the source.
 BLOCK, SHARE, REPEATS, WEIGHTS = 64, 1.5, 2, (5, 2, 1)
@@ -98,6 +98,7 @@ def draw(planned: DataFrame) -> DataFrame:
 
 def pack(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, planned, pieces): the documents as intervals of their source's word stream, the plan, and the part of each block in each document."""
+    arrow_rows(docs.sparkSession, NUMBERS)
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         "source",

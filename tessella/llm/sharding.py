@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import running_before, stage, table
+from .common import NUMBERS, arrow_rows, running_before, stage, table
 
 SHARDS = 8
 
@@ -41,6 +41,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id",
     with a null key get slots of their own. grown_shard is the shard with one shard more. Other columns are ignored; an
     empty table gives no rows. Texts are read once and not shuffled.
     """
+    arrow_rows(docs.sparkSession, NUMBERS)
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
         F.col(key).cast("long").alias("doc_id"),
