@@ -12,6 +12,8 @@ from .common import NUMBERS, WORD, arrow_rows, running_before, stage, table
 #: Words of a block, share of all words that the mix takes, most repeats of a source, weights by rank of the source.
 BLOCK, SHARE, REPEATS, WEIGHTS = 64, 1.5, 2, (5, 2, 1)
 OUT_SHARDS, SEED = 8, 42
+#: Broadcast the copies of at most so many documents (12 bytes each), by their count; more are joined by shuffles.
+BROADCAST_IDS = 500_000
 #: Slots that one row of the plan is expanded to at a time.
 SLOT_CHUNK = 1 << 16
 
@@ -143,6 +145,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     columns = docs.columns
     mixed = mix(docs).groupBy("doc_id").agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
     copies = F.when(F.col("_size") > 0, F.round(F.col("_taken") / F.col("_size")).cast("int")).otherwise(1)
-    times = mixed.select(F.col("doc_id").alias("_doc"), copies.alias("_copies")).filter("_copies > 0")
+    times = stage(mixed.select(F.col("doc_id").alias("_doc"), copies.alias("_copies")).filter("_copies > 0"), "times")
+    if times.count() <= BROADCAST_IDS:
+        times = F.broadcast(times)
     out = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_doc")))
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*columns)
