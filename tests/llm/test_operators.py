@@ -6,7 +6,6 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tessella.llm import chat, decontamination, jaccard_join, licenses, mixing, nearest, secrets, sharding, toxicity, url_filter
 from tessella.llm.queries import ORACLE_SQL, QUERIES
@@ -227,10 +226,16 @@ def test_pipeline_stages(spark):
     for name, f in corpus_pipeline.STAGES[:-1]:
         out = f(spark, kept, DIR).cache()
         assert out.columns == columns
+        ids = sorted(r["doc_id"] for r in out.select("doc_id").collect())
+        if name == "toxicity":
+            assert ids == sorted(r["doc_id"] for r in QUERIES["op6_toxicity"](spark, DIR).filter("predicted = 0").collect())
         if name == "near_duplicates":
-            classes = jaccard_join.similar(kept).select("component_id").distinct().count()
-            assert out.count() == classes
+            assert ids == sorted(r["component_id"] for r in jaccard_join.similar(kept).select("component_id").distinct().collect())
+        if name == "mixing":
+            expected = [r["doc_id"] for r in mixing.mix(kept).collect() for _ in range(round(r["taken"] / r["size"]) if r["size"] else 1)]
+            assert ids == sorted(expected)
         kept = out
     final = corpus_pipeline.STAGES[-1][1](spark, kept, DIR)
     assert final.count() == kept.count() and final.select("shard").distinct().count() <= 8
-    assert final.filter(F.col("slot") < 0).count() == 0
+    for _, g in final.toPandas().groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
