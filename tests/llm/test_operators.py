@@ -218,6 +218,29 @@ def test_sql(spark, name):
     assert sorted(map(str, a[columns].values.tolist())) == sorted(map(str, b[columns].values.tolist()))
 
 
+def leaks(text, items):
+    """Whether a text overlaps an item, by comparing words in place: a seed must fit, then enough words of one stretch."""
+    words = lambda t: [w for w in re.split(r"[\x00-/:-@\[-`{-\x7F]+", (t or "").lower()) if w]
+    doc, length = words(text), decontamination.STRETCH
+    places = {}
+    for at, w in enumerate(doc):
+        places.setdefault(w, []).append(at)
+    for item in map(words, items):
+        shifts = set()
+        for j, w in enumerate(item if len(item) >= 5 else []):
+            for at in places.get(w, []):
+                for mask in decontamination.SEEDS:
+                    fits = j + len(mask) <= len(item) and at + len(mask) <= len(doc)
+                    if fits and all(m == "0" or item[j + k] == doc[at + k] for k, m in enumerate(mask)):
+                        shifts.add(at - j)
+        need = min(len(item), length) * decontamination.SAME
+        for shift in shifts:
+            same = [0 <= j + shift < len(doc) and w == doc[j + shift] for j, w in enumerate(item)]
+            if max(sum(same[i : i + length]) for i in range(max(1, len(same) - length + 1))) >= need:
+                return True
+    return False
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
@@ -231,6 +254,10 @@ def test_pipeline_stages(spark):
             assert ids == sorted(r["doc_id"] for r in QUERIES["op6_toxicity"](spark, DIR).filter("predicted = 0").collect())
         if name == "near_duplicates":
             assert ids == sorted(r["component_id"] for r in jaccard_join.similar(kept).select("component_id").distinct().collect())
+        if name == "decontamination":
+            items = [r["text"] for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()]
+            before = kept.select("doc_id", "text").collect()
+            assert ids == sorted(r["doc_id"] for r in before if not leaks(r["text"], items)) and len(ids) < len(before)
         if name == "mixing":
             expected = [r["doc_id"] for r in mixing.mix(kept).collect() for _ in range(round(r["taken"] / r["size"]) if r["size"] else 1)]
             assert ids == sorted(expected)
