@@ -35,6 +35,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df staged with `_row`, an id of the row that no other row has, null keys and repeated rows included."""
+    return stage(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
 def arrow_rows(spark: SparkSession, rows: int) -> None:
     """Rows of the Arrow batches that Python functions get from here on: few where rows hold long texts, so that a worker's memory stays bounded."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import numbered, stage, table
 
 #: Places of a seed that are compared (1) or ignored (0). Between two substitutions some mask fits a run of few words.
 SEEDS = ("11111", "110100101", "101001011")
@@ -51,24 +51,36 @@ def _sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def stretches(rows: DataFrame, benchmark: DataFrame, item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(row, id, item, b): rows (row, id, text), staged, and each alignment with a benchmark item that a seed found; b is its best stretch."""
+    small = min(map(len, SEEDS))
+    items = benchmark.select(F.col(item).alias("item"), tokens(F.col(item_text)).alias("item_all")).filter(F.size("item_all") >= small)
+    items = stage(items.distinct(), "items")
+    wanted = seeds(items.withColumnRenamed("item_all", "all"), ["item"]).withColumnRenamed("at", "item_at")
+    places = seeds(rows.select("row", tokens(F.col("text")).alias("all")), ["row"])
+    hits = places.join(_sized(wanted), "seed").select("row", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    hits = _sized(stage(hits, "hits").join(items, "item"))
+    hits = rows.select("row", "id", F.col("text").alias("_text")).join(hits, "row")
+    hits = hits.select("row", "id", "item", "shift", "item_all", tokens(F.col("_text")).alias("all"))
+    return hits.select("row", "id", "item", best_stretch(F.col("all"), F.col("item_all"), F.col("shift")).alias("b"))
+
+
+def enough(b: str):
+    return F.col(f"{b}.equal") >= F.col(f"{b}.places") * SAME
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(key, item, equal, places, share): each benchmark item that a document overlaps, with the best aligned stretch.
 
     Verified where SAME of STRETCH neighbouring words, or of all words of a shorter item, are equal in place. Items of
     under five words are too short to tell from chance and match nothing; null and empty texts match nothing. Rows with
-    the same key count as one document's; repeated items give repeated answers once. Extra columns are ignored.
+    the same key count as one document's, each row with a null key as a document of its own; repeated items give repeated
+    answers once. Extra columns are ignored.
     """
-    small = min(map(len, SEEDS))
-    items = benchmark.select(F.col(item).alias("item"), tokens(F.col(item_text)).alias("item_all")).filter(F.size("item_all") >= small)
-    items = stage(items.distinct(), "items")
-    wanted = seeds(items.withColumnRenamed("item_all", "all"), ["item"]).withColumnRenamed("at", "item_at")
-    places = seeds(docs.select(F.col(key).alias("id"), tokens(F.col(text)).alias("all")), ["id"])
-    hits = places.join(_sized(wanted), "seed").select("id", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
-    hits = _sized(stage(hits, "hits").join(items, "item"))
-    hits = docs.select(F.col(key).alias("id"), F.col(text).alias("_text")).join(hits, "id")
-    hits = hits.select("id", "item", "shift", "item_all", tokens(F.col("_text")).alias("all"))
-    found = hits.select("id", "item", best_stretch(F.col("all"), F.col("item_all"), F.col("shift")).alias("b"))
-    best = found.groupBy("id", "item").agg(F.max("b").alias("b")).filter(F.col("b.equal") >= F.col("b.places") * SAME)
+    rows = numbered(docs.select(F.col(key).alias("id"), F.col(text).alias("text"))).withColumnRenamed("_row", "row")
+    own = F.when(F.col("id").isNull(), F.col("row")).alias("own")
+    found = stretches(rows, benchmark, item, item_text)
+    best = found.groupBy("id", own, "item").agg(F.max("b").alias("b")).filter(enough("b"))
     return best.select(F.col("id").alias(key), F.col("item").alias("item_id"), "b.equal", "b.places", (F.col("b.equal") / F.col("b.places")).alias("share"))
 
 
@@ -77,6 +89,8 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those that overlap the benchmark; rows with a null doc_id are kept."""
-    leaked = stage(overlaps(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leaked")).distinct(), "leaked")
-    return docs.join(leaked, F.col("doc_id") == F.col("_leaked"), "left_anti")
+    """docs without the rows that overlap the benchmark, whatever their doc_id."""
+    rows = numbered(docs)
+    found = stretches(rows.select(F.col("_row").alias("row"), F.col("doc_id").alias("id"), "text"), table(spark, sf_dir, "benchmark"))
+    leaked = stage(found.filter(enough("b")).select(F.col("row").alias("_row")).distinct(), "leaked")
+    return rows.join(leaked, "_row", "left_anti").select(*docs.columns)

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TEXTS, arrow_rows, stage, table
+from .common import TEXTS, arrow_rows, numbered, stage, table
 
 #: Words of a shingle, least similarity in percent, MinHash values, children of a tree node.
 SHINGLE, PERCENT, HASHES, FAN = 5, 75, 20, 8
@@ -71,9 +71,9 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
 def _features(batches):
     for batch in batches:
         ids, n, nodes, bits, least = [], [], [], [], []
-        for doc_id, text in zip(batch.column("doc_id"), batch.column("text").cast(pa.binary()).to_pylist()):
+        for row, text in zip(batch.column("_row"), batch.column("text").cast(pa.binary()).to_pylist()):
             found = shingles(text)
-            ids.append(doc_id.as_py())
+            ids.append(row.as_py())
             n.append(len(found))
             nodes.append(node_id(found) if len(found) else None)
             width = bits_for(len(found))
@@ -81,7 +81,7 @@ def _features(batches):
             on[found >> np.uint64(64 - width.bit_length() + 1)] = True
             bits.append(np.packbits(on).tobytes())
             least.append(((found[:, None] * _ODD) ^ ((found[:, None] * _ODD) >> np.uint64(32))).min(0).astype(np.int64) if len(found) else np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bits, pa.binary()), pa.array(least, pa.list_(pa.int64()))], names=["doc_id", "n", "node", "bits", "least"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bits, pa.binary()), pa.array(least, pa.list_(pa.int64()))], names=["_row", "n", "node", "bits", "least"])
 
 
 def _sets(batches):
@@ -273,13 +273,13 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets link; sets are made anew for the documents that stand for the nodes in question."""
+    """The pairs (a, b) whose whole sets link; sets are made anew for the rows that stand for the nodes in question."""
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    asked = stage(asked.join(nodes.select("node", "doc"), "node"), "asked")
-    ids = asked.select(F.col("doc").alias("_id")).distinct()
+    asked = stage(asked.join(nodes.select("node", "row"), "node"), "asked")
+    ids = asked.select(F.col("row").alias("_id")).distinct()
     if asked.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id"))).select("text")
+    texts = docs.join(ids, F.col("_row") == F.col("_id")).select("text")
     sets = texts.mapInArrow(_sets, "node long, set array<long>")
     a, b = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
     sized = pairs.join(a, "a").join(b, "b")
@@ -302,19 +302,18 @@ def _open_pairs(meeting: DataFrame, nodes: DataFrame, comps: DataFrame, all_pair
     return rest.mapInArrow(pairing(all_pairs), "a long, b long").distinct()
 
 
-def similar(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text): the classes of documents joined by links.
+def classes(docs: DataFrame) -> DataFrame:
+    """(_row, n, comp) for each row of docs (_row, text), staged: n shingles and the class of rows joined by links, null without shingles.
 
     Texts with equal sets are one node. Each node is first compared with the centre that most of its groups of equal
     MinHash values have in common; that links most copies. What remains in different components goes through the signature
     trees, of which a very large group has several, pairwise in tasks of their own: once for one pair of each two
-    components, then for all pairs still open. Links are verified on whole sets, and components are joined. Texts without words have no shingles and are linked with nothing. A null doc_id counts as the smallest
-    id; repeated rows each get a row; extra columns are ignored; an empty table gives no rows.
+    components, then for all pairs still open. Links are verified on whole sets, and components are joined. Texts without words have no shingles and are linked with nothing.
     """
     arrow_rows(docs.sparkSession, TEXTS)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = stage(docs.mapInArrow(_features, "doc_id long, n long, node long, bits binary, least array<long>"), "shingled")
-    nodes = rows.filter("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("least").alias("least"), F.min("doc_id").alias("doc"))
+    docs = docs.select("_row", "text")
+    rows = stage(docs.mapInArrow(_features, "_row long, n long, node long, bits binary, least array<long>"), "shingled")
+    nodes = rows.filter("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("least").alias("least"), F.min("_row").alias("row"))
     nodes = stage(nodes, "nodes")
     keys = nodes.select("node", "n", F.explode("least").alias("key"))
     met = keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
@@ -335,11 +334,22 @@ def similar(docs: DataFrame) -> DataFrame:
         fresh = joined.select(F.col("comp").alias("node"), F.col("new").alias("comp")).join(comps, "node", "left_anti")
         comps = stage(grown.unionByName(fresh), "comps")
 
-    named = rows.select("doc_id", "n", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = named.filter("comp is not null").groupBy("comp").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("component_id"))
-    out = named.join(least, "comp", "left")
-    component = F.when(F.col("comp").isNull(), F.col("doc_id")).when(F.col("component_id") != -(1 << 63), F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    named = rows.select("_row", "n", "node").join(comps, "node", "left")
+    return stage(named.select("_row", "n", F.coalesce("comp", "node").alias("comp")), "classes")
+
+
+def similar(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text): the classes of documents joined by links.
+
+    component_id is the least doc_id of the class. A row with a null doc_id is a document like any other and takes part
+    in links; only a class of such rows alone has a null component_id. Repeated rows each get a row; extra columns are
+    ignored; an empty table gives no rows.
+    """
+    rows = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    named = classes(rows).join(rows.select("_row", "doc_id"), "_row")
+    least = named.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    component = F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return named.join(least, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -347,9 +357,12 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those in whose class a smaller doc_id stays; rows with a null doc_id are kept, repeated rows too."""
-    gone = similar(docs).filter("component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(stage(gone, "gone"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    """One row of each class: that of the least doc_id, nulls last, and of repeated rows one. Texts without words are kept."""
+    rows = numbered(docs)
+    named = classes(rows).filter("comp is not null").join(rows.select("_row", "doc_id"), "_row")
+    first = named.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")).alias("f"))
+    gone = named.select("_row").join(first.select(F.col("f._row").alias("_row")), "_row", "left_anti")
+    return rows.join(stage(gone, "gone"), "_row", "left_anti").select(*docs.columns)
 
 
 ORACLE_SQL = r"""

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NUMBERS, WORD, arrow_rows, running_before, stage, table
+from .common import NUMBERS, WORD, arrow_rows, numbered, running_before, stage, table
 
 #: Words of a block, share of all words that the mix takes, most repeats of a source, weights by rank of the source.
 BLOCK, SHARE, REPEATS, WEIGHTS = 64, 1.5, 2, (5, 2, 1)
@@ -98,14 +98,17 @@ def draw(planned: DataFrame) -> DataFrame:
     )
 
 
-def pack(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, planned, pieces): the documents as intervals of their source's word stream, the plan, and the part of each block in each document."""
+def pack(docs: DataFrame, row=None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, planned, pieces): the documents as intervals of their source's word stream, the plan, and the part of each block in each document.
+
+    row: the column that tells rows apart, if docs is staged with one.
+    """
     arrow_rows(docs.sparkSession, NUMBERS)
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         "source",
         F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.monotonically_increasing_id().alias("row"),
+        (F.monotonically_increasing_id() if row is None else row).alias("row"),
     )
     rows = stage(rows, "mixing")
     planned = stage(plan(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), "plan")
@@ -120,7 +123,7 @@ def pack(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return placed, planned, pieces.select("row", "rank", "block", n.alias("n_words"))
 
 
-def mix(docs: DataFrame) -> DataFrame:
+def mix(docs: DataFrame, row=None) -> DataFrame:
     """(doc_id, row, size, source_size, target, taken) for each row of docs (doc_id, text, source).
 
     taken counts the words of the blocks that the mix draws, repeats counted; a block is drawn REPEATS times at most, so
@@ -128,7 +131,7 @@ def mix(docs: DataFrame) -> DataFrame:
     blank texts have size 0 and take nothing; repeated rows count each by itself; an empty table gives no rows; other
     columns are ignored. Draws depend on ranks, sizes and SEED alone, so reruns agree.
     """
-    placed, planned, pieces = pack(docs)
+    placed, planned, pieces = pack(docs, row)
     # Spark takes what is exploded from the small plan for small; merge joins keep it from broadcasting that.
     times = draw(planned).groupBy("rank", "block").agg(F.count("*").alias("times"))
     taken = pieces.join(times.hint("merge"), ["rank", "block"]).groupBy("row").agg(F.sum(F.col("n_words") * F.col("times")).alias("taken"))
@@ -141,12 +144,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: taken words over size, rounded (documents without words: once)."""
+    """Each row as often as the mix takes it: taken words over size, rounded (rows without words: once)."""
     columns = docs.columns
-    mixed = mix(docs).groupBy("doc_id").agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
-    copies = F.when(F.col("_size") > 0, F.round(F.col("_taken") / F.col("_size")).cast("int")).otherwise(1)
-    times = stage(mixed.select(F.col("doc_id").alias("_doc"), copies.alias("_copies")).filter("_copies > 0"), "times")
+    rows = numbered(docs)
+    copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size")).cast("int")).otherwise(1)
+    times = stage(mix(rows, F.col("_row")).select(F.col("row").alias("_row"), copies.alias("_copies")).filter("_copies > 0"), "times")
     if times.count() <= BROADCAST_IDS:
         times = F.broadcast(times)
-    out = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_doc")))
+    out = rows.join(times, "_row")
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*columns)

@@ -266,3 +266,27 @@ def test_pipeline_stages(spark):
     assert final.count() == kept.count() and final.select("shard").distinct().count() <= 8
     for _, g in final.toPandas().groupby("shard"):
         assert sorted(g.slot) == list(range(len(g)))
+
+
+def test_stages_with_null_and_repeated_ids(spark):
+    a, b, c = (" ".join(prose(600 + i, 60)) for i in range(3))
+    rows = [(None, a), (None, a), (5, a), (7, a), (None, b), (None, b), (8, c), (8, c), (9, " ".join(prose(610, 60))), (None, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", f"s{n % 2}", 1, "x", 0, "y") for n, (i, t) in enumerate(rows)], SCHEMA)
+    count = lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect())
+    assert count(jaccard_join.jaccard_stage(spark, docs, DIR)) == Counter([(5, a), (None, b), (8, c), rows[8], (None, ""), (None, None)])
+    found = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.similar(docs).collect()}
+    assert found == {(None, 56, 5), (5, 56, 5), (7, 56, 5), (None, 56, None), (8, 56, 8), (9, 56, 9), (None, 0, None)}
+
+    item = spark.read.parquet(f"{DIR}/benchmark.parquet").orderBy("item_id").first()
+    leaking = spark.createDataFrame([(None, f"{a} {item['text']}"), (None, item["text"]), (4, item["text"]), (4, c), (None, b)], "doc_id long, text string")
+    assert count(decontamination.decontamination_stage(spark, leaking, DIR)) == Counter([(4, c), (None, b)])
+    found = decontamination.overlaps(leaking, spark.createDataFrame([item])).collect()
+    assert Counter((r["doc_id"], r["item_id"], r["share"]) for r in found) == Counter({(None, item["item_id"], 1.0): 2, (4, item["item_id"], 1.0): 1})
+
+
+def test_mixing_stage_counts_each_row_by_itself(spark):
+    rows = [(None, " ".join(prose(700 + i, 200)), f"s{i % 3}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
+    placed = {r["row"]: round(r["taken"] / r["size"]) for r in mixing.mix(docs).collect()}
+    found = Counter(r["text"] for r in mixing.mixing_stage(spark, docs, DIR).collect())
+    assert found == +Counter({rows[i][1]: n for i, n in placed.items()}) and len(set(placed.values())) > 1
