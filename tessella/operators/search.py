@@ -1,4 +1,4 @@
-"""The vector table: exact top-k, filtered retrieval, delete."""
+"""The vector table: exact top-k, filtered retrieval, delete."""
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
