@@ -123,7 +123,17 @@ def pack(docs: DataFrame, row=None) -> tuple[DataFrame, DataFrame, DataFrame]:
     return placed, planned, pieces.select("row", "rank", "block", n.alias("n_words"))
 
 
-def mix(docs: DataFrame, row=None) -> DataFrame:
+def taken_words(docs: DataFrame, row=None) -> DataFrame:
+    """(doc_id, row, rank, start, size, source_size, target, taken) for each row of docs (doc_id, text, source): see mix."""
+    placed, planned, pieces = pack(docs, row)
+    # Spark takes what is exploded from the small plan for small; merge joins keep it from broadcasting that.
+    times = draw(planned).groupBy("rank", "block").agg(F.count("*").alias("times"))
+    taken = pieces.join(times.hint("merge"), ["rank", "block"]).groupBy("row").agg(F.sum(F.col("n_words") * F.col("times")).alias("taken"))
+    out = placed.join(taken.hint("merge"), "row", "left")
+    return out.select("doc_id", "row", "rank", "start", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mix(docs: DataFrame) -> DataFrame:
     """(doc_id, row, size, source_size, target, taken) for each row of docs (doc_id, text, source).
 
     taken counts the words of the blocks that the mix draws, repeats counted; a block is drawn REPEATS times at most, so
@@ -131,12 +141,7 @@ def mix(docs: DataFrame, row=None) -> DataFrame:
     blank texts have size 0 and take nothing; repeated rows count each by itself; an empty table gives no rows; other
     columns are ignored. Draws depend on ranks, sizes and SEED alone, so reruns agree.
     """
-    placed, planned, pieces = pack(docs, row)
-    # Spark takes what is exploded from the small plan for small; merge joins keep it from broadcasting that.
-    times = draw(planned).groupBy("rank", "block").agg(F.count("*").alias("times"))
-    taken = pieces.join(times.hint("merge"), ["rank", "block"]).groupBy("row").agg(F.sum(F.col("n_words") * F.col("times")).alias("taken"))
-    out = placed.join(taken.hint("merge"), "row", "left")
-    return out.select("doc_id", "row", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return taken_words(docs).drop("rank", "start")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,11 +149,17 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes it: taken words over size, rounded (rows without words: once)."""
+    """Each row as often as the mix takes it: taken words over size (rows without words: once).
+
+    The whole part of that always, and one more where a hash of the row's place falls below the rest, so that each
+    source's words meet its target on average, whatever the sizes of its documents.
+    """
     columns = docs.columns
     rows = numbered(docs)
-    copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size")).cast("int")).otherwise(1)
-    times = stage(mix(rows, F.col("_row")).select(F.col("row").alias("_row"), copies.alias("_copies")).filter("_copies > 0"), "times")
+    chance = F.pmod(F.xxhash64("rank", "start", F.lit(SEED + 1)), F.lit(1 << 30)) / (1 << 30)
+    more = (chance < F.col("taken") % F.col("size") / F.col("size")).cast("int")
+    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size")).cast("int") + more).otherwise(1)
+    times = stage(taken_words(rows, F.col("_row")).select(F.col("row").alias("_row"), copies.alias("_copies")).filter("_copies > 0"), "times")
     if times.count() <= BROADCAST_IDS:
         times = F.broadcast(times)
     out = rows.join(times, "_row")
