@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NUMBERS, WORD, arrow_rows, numbered, running_before, stage, table
+from .common import NUMBERS, TEXTS, WORD, arrow_rows, numbered, running_before, stage, table
 
 #: Words of a block, share of all words that the mix takes, most repeats of a source, weights by rank of the source.
 BLOCK, SHARE, REPEATS, WEIGHTS = 64, 1.5, 2, (5, 2, 1)
@@ -78,22 +78,43 @@ def plan(sizes: DataFrame) -> DataFrame:
     return out.withColumn("slots", slots).select("source", "source_size", "target", "rank", "n_blocks", "slots")
 
 
+def position_of(place, total, shard):
+    """A keyed permutation of the places of an output shard (columns), which interleaves its sources."""
+
+    @F.pandas_udf("long")
+    def of(places: pd.Series, totals: pd.Series, shards: pd.Series) -> pd.Series:
+        return pd.Series(permuted(places.to_numpy(), totals.to_numpy(), shards.to_numpy().astype(np.uint64) + np.uint64((SEED + 1) << 44)))
+
+    return of(place, total, shard)
+
+
+def _multinomial(batches):
+    for batch in batches:
+        drawn = [np.random.default_rng([SEED, r]).multinomial(n, np.full(OUT_SHARDS, 1 / OUT_SHARDS)) for r, n in zip(batch["rank"], batch["slots"])]
+        each = batch.loc[batch.index.repeat(OUT_SHARDS)]
+        yield pd.DataFrame({"rank": each["rank"], "n_blocks": each["n_blocks"], "out_shard": np.tile(np.arange(OUT_SHARDS), len(batch)), "n": np.concatenate([np.zeros(0, np.int64), *drawn])})
+
+
 def draw(planned: DataFrame) -> DataFrame:
-    """One row (rank, slot, out_shard, block) for each slot of the mix.
+    """One row (rank, slot, out_shard, position, block) for each block of the mix.
 
-    A slot falls to a uniformly random output shard, so the slots of each source are multinomial over the shards and,
-    given a shard, its sources are a multinomial draw; the totals stay those of the plan.
+    The slots of each source are dealt over the output shards by a multinomial draw, so that, given a shard, its sources
+    are one too; the totals stay those of the plan. A shard's slots are neighbours, which the source's permutations map
+    to blocks and the shard's permutation to positions, numbered from 0 without gaps.
     """
-    chunks = planned.filter("slots > 0").select(
-        "rank", "n_blocks", "slots", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / SLOT_CHUNK))).alias("_chunk")
-    )
-    chunks = chunks.repartition(int(planned.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rank", "_chunk")
+    counts = planned.filter("slots > 0").select("rank", "n_blocks", "slots").mapInPandas(_multinomial, "rank long, n_blocks long, out_shard int, n long")
+    counts = stage(counts, "counts")
+    before = (F.coalesce(F.sum("n").over(Window.partitionBy(g).orderBy(o).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) for g, o in (("rank", "out_shard"), ("out_shard", "rank")))
+    counts = counts.withColumns(dict(zip(("_slot", "_place"), before))).withColumn("_total", F.sum("n").over(Window.partitionBy("out_shard")))
+    chunks = counts.filter("n > 0").withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / SLOT_CHUNK))))
+    chunks = chunks.repartition(int(planned.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rank", "out_shard", "_chunk")
     first = F.col("_chunk") * SLOT_CHUNK
-    slots = chunks.select("rank", "n_blocks", F.explode(F.sequence(first, F.least(first + SLOT_CHUNK, "slots") - 1)).alias("slot"))
+    slots = chunks.select("*", F.explode(F.sequence(first, F.least(first + SLOT_CHUNK, "n") - 1)).alias("_i")).withColumn("slot", F.col("_slot") + F.col("_i"))
     return slots.select(
         "rank",
         "slot",
-        F.pmod(F.xxhash64("rank", "slot", F.lit(SEED)), F.lit(OUT_SHARDS)).cast("int").alias("out_shard"),
+        "out_shard",
+        position_of(F.col("_place") + F.col("_i"), F.col("_total"), F.col("out_shard")).alias("position"),
         block_of("slot", "n_blocks", "rank").alias("block"),
     )
 
@@ -148,6 +169,41 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("row")
 
 
+def _cut(batches):
+    """Rows (rank, start, text) to (rank, block, at, words): the words of each text that stand in each block."""
+    for batch in batches:
+        out = []
+        for rank, start, text in zip(batch["rank"], batch["start"], batch["text"]):
+            found, at = (text or "").encode(errors="replace").split(), 0
+            while at < len(found):
+                block = (start + at) // BLOCK
+                end = min(len(found), (block + 1) * BLOCK - start)
+                out.append((rank, block, start + at, b" ".join(found[at:end]).decode()))
+                at = end
+        yield pd.DataFrame(out, columns=["rank", "block", "at", "words"])
+
+
+def drawn_blocks(docs: DataFrame) -> DataFrame:
+    """(out_shard, position, source, block, words): the mix of docs (doc_id, text, source) itself, one row for each drawn block.
+
+    words are the block's words parted by blanks; position numbers the blocks of an output shard from 0. The draws are
+    those that mix counts.
+    """
+    rows = numbered(docs.select("doc_id", "text", "source"))
+    placed, planned, _ = pack(rows, F.col("_row"))
+    texts = placed.filter("size > 0").select(F.col("row").alias("_row"), "rank", "start").join(rows.select("_row", "text").hint("merge"), "_row")
+    arrow_rows(docs.sparkSession, TEXTS)
+    cut = texts.select("rank", "start", "text").mapInPandas(_cut, "rank long, block long, at long, words string")
+    blocks = cut.groupBy("rank", "block").agg(F.array_sort(F.collect_list(F.struct("at", "words"))).alias("w"))
+    blocks = blocks.select("rank", "block", F.concat_ws(" ", "w.words").alias("words"))
+    out = draw(planned).join(blocks.hint("merge"), ["rank", "block"]).join(planned.select("rank", "source"), "rank")
+    return out.select("out_shard", "position", "source", "block", "words")
+
+
+def op10_mixing_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drawn_blocks(table(spark, sf_dir, "documents"))
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it: taken words over size (rows without words: once).
 

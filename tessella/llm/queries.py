@@ -13,6 +13,7 @@ QUERIES = {
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_nearest": nearest.op9_nearest,
     "op10_mixing": mixing.op10_mixing,
+    "op10_mixing_blocks": mixing.op10_mixing_blocks,
 }
 ORACLE_SQL = {
     "op2_secret_scans": secrets.ORACLE_SQL,

@@ -303,3 +303,20 @@ def test_mixing_stage_meets_its_targets(spark):
     for r in mixing.mixing_stage(spark, docs, DIR).collect():
         found[r["source"]] += len(r["text"].split())
     assert {s: found[s] / target[size[s]] for s in size} == pytest.approx(dict.fromkeys(size, 1), abs=0.06)
+
+
+def test_drawn_blocks_are_the_mix(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, " ".join(f"d{i}w{j}é" for j in range(n)), [None, "a", "b"][i % 3]) for i, n in enumerate(rng.integers(0, 900, 90).tolist())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out, streams = mixing.drawn_blocks(docs).toPandas(), {}
+    for _, text, source in rows:
+        streams.setdefault(source, []).extend(text.split())
+    for source, block, words in zip(out.source, out.block, out.words):
+        assert words.split(" ") == streams[source][block * mixing.BLOCK : (block + 1) * mixing.BLOCK]
+    for _, g in out.groupby("out_shard"):
+        assert sorted(g.position) == list(range(len(g))) and g.source.nunique(dropna=False) == 3
+    assert out.out_shard.nunique() == mixing.OUT_SHARDS and out.out_shard.value_counts().nunique() > 1
+    words = Counter(int(w[1 : w.index("w")]) for b in out.words for w in b.split(" "))
+    assert words == +Counter({r["doc_id"]: r["taken"] for r in mixing.mix(docs).collect()})
+    assert mixing.drawn_blocks(empty(spark)).count() == 0
