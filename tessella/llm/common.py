@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,33 +21,60 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local master may leave it unset, as tests do; it gets a temporary one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if given is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(given or tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: cuts lineage, survives lost executors, fixes ids that depend on partitions."""
+def stage(df: DataFrame, name: str, made: list | None = None) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it again: cuts lineage, survives lost executors, fixes ids that depend on partitions.
+
+    made: a list that gets the table's path, for dropped().
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    if made is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, made: list) -> None:
+    """Delete staged tables that nothing reads any more."""
+    jvm = spark._jvm
+    for path in made:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    made.clear()
+
+
 def numbered(df: DataFrame) -> DataFrame:
-    """df staged with `_row`, an id of the row that no other row has, null keys and repeated rows included."""
-    return stage(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    """df staged as (`_row`, `doc`): an id of the row that no other row has, null keys and repeated rows included, and the row.
+
+    As the row is one struct, no column of df can clash with those that an operator adds; select("doc.*") gives it back.
+    """
+    return stage(df.select(F.monotonically_increasing_id().alias("_row"), F.struct("*").alias("doc")), "numbered")
 
 
-def arrow_rows(spark: SparkSession, rows: int) -> None:
-    """Rows of the Arrow batches that Python functions get from here on: few where rows hold long texts, so that a worker's memory stays bounded."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Rows of the Arrow batches of texts that Python functions get, so that a worker's memory stays bounded.
+TEXTS = 500
 
 
-#: Rows of a batch of texts; of a batch of numbers.
-TEXTS, NUMBERS = 500, 10_000
+@contextmanager
+def text_batches(spark: SparkSession):
+    """Within it, Python functions get TEXTS rows at a time; afterwards as many as before. Plans must run within it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(TEXTS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def ascii_lower(column):

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NUMBERS, TEXTS, WORD, arrow_rows, numbered, running_before, stage, table
+from .common import WORD, numbered, running_before, stage, table
 
 #: Words of a block, share of all words that the mix takes, most repeats of a source, weights by rank of the source.
 BLOCK, SHARE, REPEATS, WEIGHTS = 64, 1.5, 2, (5, 2, 1)
@@ -124,7 +124,6 @@ def pack(docs: DataFrame, row=None) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     row: the column that tells rows apart, if docs is staged with one.
     """
-    arrow_rows(docs.sparkSession, NUMBERS)
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         "source",
@@ -189,10 +188,9 @@ def drawn_blocks(docs: DataFrame) -> DataFrame:
     words are the block's words parted by blanks; position numbers the blocks of an output shard from 0. The draws are
     those that mix counts.
     """
-    rows = numbered(docs.select("doc_id", "text", "source"))
+    rows = numbered(docs.select("doc_id", "text", "source")).select("_row", "doc.*")
     placed, planned, _ = pack(rows, F.col("_row"))
     texts = placed.filter("size > 0").select(F.col("row").alias("_row"), "rank", "start").join(rows.select("_row", "text").hint("merge"), "_row")
-    arrow_rows(docs.sparkSession, TEXTS)
     cut = texts.select("rank", "start", "text").mapInPandas(_cut, "rank long, block long, at long, words string")
     blocks = cut.groupBy("rank", "block").agg(F.array_sort(F.collect_list(F.struct("at", "words"))).alias("w"))
     blocks = blocks.select("rank", "block", F.concat_ws(" ", "w.words").alias("words"))
@@ -205,18 +203,19 @@ def op10_mixing_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes it: taken words over size (rows without words: once).
+    """Each row as often as the mix takes it: taken words over size (rows without words, null texts too: once).
 
     The whole part of that always, and one more where a hash of the row's place falls below the rest, so that each
-    source's words meet its target on average, whatever the sizes of its documents.
+    source's words meet its target on average, whatever the sizes of its documents. A null source is one of its own; an
+    empty table gives no rows; other columns are passed on, whatever their names.
     """
-    columns = docs.columns
     rows = numbered(docs)
     chance = F.pmod(F.xxhash64("rank", "start", F.lit(SEED + 1)), F.lit(1 << 30)) / (1 << 30)
     more = (chance < F.col("taken") % F.col("size") / F.col("size")).cast("int")
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size")).cast("int") + more).otherwise(1)
-    times = stage(taken_words(rows, F.col("_row")).select(F.col("row").alias("_row"), copies.alias("_copies")).filter("_copies > 0"), "times")
+    taken = taken_words(rows.select("_row", "doc.doc_id", "doc.text", "doc.source"), F.col("_row"))
+    times = stage(taken.select(F.col("row").alias("_row"), copies.alias("copies")).filter("copies > 0"), "times")
     if times.count() <= BROADCAST_IDS:
         times = F.broadcast(times)
-    out = rows.join(times, "_row")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*columns)
+    out = rows.join(times, "_row").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+    return out.select("doc.*")
