@@ -7,9 +7,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NUMBERS, arrow_rows, running_before, stage, table
+from .common import numbered, running_before, stage, table
 
 SHARDS = 8
+#: Broadcast the shards of at most so many rows (50 bytes each), by their count; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 
 
 def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -33,39 +35,46 @@ def jump_shard(key, shards: int):
     return of(F.coalesce(key.cast("long"), F.lit(0).cast("long")))
 
 
+RESULT = ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+
+
+def _sharded(rows: DataFrame, shards: int) -> DataFrame:
+    """rows (_row, doc_id, size, text_crc32) with law, shard, slot and grown_shard."""
+    rows = rows.withColumns({"shard": jump_shard(F.col("doc_id"), shards), "grown_shard": jump_shard(F.col("doc_id"), shards + 1), "_one": F.lit(1).cast("long")})
+    ranked = running_before(rows, "shard", ["doc_id", "size", "text_crc32", "_row"], "_one", "slot")
+    law = F.lit("key").alias("law")  # doc_id and shard count decide
+    return ranked.withColumn("slot", F.col("slot").cast("long")).select("_row", "doc_id", "size", "text_crc32", law, "shard", "slot", "grown_shard")
+
+
+def _measured(doc_id, text) -> list:
+    body = F.coalesce(text, F.lit(""))
+    return [doc_id.cast("long").alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32")]
+
+
 def shard_documents(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (key, size, text_crc32, shard, slot, grown_shard), one for each row of docs.
+    """Rows RESULT, one for each row of docs, by the law `key`: key and shard count decide.
 
     size is the UTF-8 length of the text plus 1 (null: 1); text_crc32 of a null text is that of the empty text, 0.
     slot numbers the rows of a shard from 0 without gaps, by key (null first), size and checksum; repeated rows and rows
     with a null key get slots of their own. grown_shard is the shard with one shard more. Other columns are ignored; an
     empty table gives no rows. Texts are read once and not shuffled.
     """
-    arrow_rows(docs.sparkSession, NUMBERS)
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(
-        F.col(key).cast("long").alias("doc_id"),
-        (F.octet_length(body) + 1).cast("long").alias("size"),
-        F.crc32(body.cast("binary")).alias("text_crc32"),
-        F.monotonically_increasing_id().alias("_row"),
-    )
-    rows = stage(rows, "sharding").withColumn("_one", F.lit(1).cast("long"))
-    rows = rows.withColumns({"shard": jump_shard(F.col("doc_id"), shards), "grown_shard": jump_shard(F.col("doc_id"), shards + 1)})
-    ranked = running_before(rows, "shard", ["doc_id", "size", "text_crc32", "_row"], "_one", "slot")
-    return ranked.select("doc_id", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
-
-
-def with_law(docs: DataFrame) -> DataFrame:
-    """shard_documents with the law that holds: doc_id and shard count decide."""
-    return shard_documents(docs).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    rows = stage(docs.select(*_measured(F.col(key), F.col(text)), F.monotonically_increasing_id().alias("_row")), "sharding")
+    return _sharded(rows, shards).select(*RESULT)
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_law(table(spark, sf_dir, "documents"))
+    return shard_documents(table(spark, sf_dir, "documents"))
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return with_law(docs)
+    """docs with their shards: RESULT as in shard_documents, then the other columns of docs; those named as in RESULT give way."""
+    rows = numbered(docs)
+    placed = stage(_sharded(rows.select("_row", *_measured(F.col("doc.doc_id"), F.col("doc.text"))), SHARDS), "placed")
+    if placed.count() <= BROADCAST_IDS:
+        placed = F.broadcast(placed)
+    others = [c for c in docs.columns if c.lower() not in RESULT]
+    return rows.join(placed, "_row").select(*RESULT, *[F.col("doc").getField(c).alias(c) for c in others])
 
 
 #: CRC-32 of the UTF-8 bytes, by the usual table of 256 remainders, which the first part computes.
