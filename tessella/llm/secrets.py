@@ -1,7 +1,6 @@
-"""Secret scans: Boolean trigram queries derived from each rule, postings kept as bits beside each document, candidates verified.
+"""Secret scans by a trigram inverted index: Boolean trigram queries derived from each rule, postings intersected, candidates verified.
 
-The index is partitioned by document: a row's `postings` has bit t set where the document holds trigram t of the rules'
-queries. Intersecting postings is then a bit test in the row, with no shuffle, and texts never leave their partition.
+A posting list holds the rows of one block that have a trigram, so no list grows with the table; only row ids are shuffled.
 """
 
 from __future__ import annotations
@@ -13,9 +12,12 @@ from re import _parser
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import numbered, table
 
-MAX_BITS = 60
+#: Rows of a block: 2 to this power. Rows between sums that are kept while placing spans.
+BLOCK_BITS, CHUNK = 12, 64
+#: Broadcast at most so many candidate rows (an id and a few rule numbers each), by their count; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 @dataclass(frozen=True)
@@ -85,61 +87,90 @@ def mandatory(pattern: str) -> list[set[str]]:
 
 
 def trigrams(rules=RULES) -> list[str]:
-    found = sorted({t for rule in rules for way in mandatory(rule.pattern) for t in way})
-    assert len(found) <= MAX_BITS, "more trigrams than bits: give fewer rules at a time"
-    return found
+    return sorted({t for rule in rules for way in mandatory(rule.pattern) for t in way})
 
 
-def with_postings(docs: DataFrame, text: str = "text", rules=RULES, name: str = "postings") -> DataFrame:
-    """docs and their postings, a bit for each trigram of trigrams(rules) that the text holds in either case; null holds none."""
-    lowered = F.lower(F.col("_lower"))
-    bits = [F.when(F.contains(lowered, F.lit(t)), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, t in enumerate(trigrams(rules))]
-    return docs.withColumn("_lower", F.lower(F.coalesce(F.col(text), F.lit("")))).withColumn(name, reduce(lambda a, b: a.bitwiseOR(b), bits)).drop("_lower")
+def build_index(rows: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
+    """(block, trigram, rows): the posting lists of rows (_row, text) for the rules' trigrams, in either case; null texts hold none."""
+    lowered = rows.filter(F.col(text).isNotNull()).select("_row", F.lower(F.col(text)).alias("_lower"))
+    has = [F.when(F.contains(F.col("_lower"), F.lit(t)), F.lit(t)) for t in trigrams(rules)]
+    held = lowered.select("_row", F.explode(F.array_compact(F.array(*has)) if has else F.array().cast("array<string>")).alias("trigram"))
+    return held.groupBy(F.shiftright("_row", BLOCK_BITS).alias("block"), "trigram").agg(F.collect_list("_row").alias("rows"))
 
 
-def candidate(rule: Rule, postings, known: list[str]):
-    """Whether the postings satisfy the rule's Boolean query."""
-    ways = mandatory(rule.pattern)
-    if not ways[0]:
-        return F.lit(True)
-    masks = [sum(1 << known.index(t) for t in way) for way in ways]
-    return reduce(lambda a, b: a | b, [postings.bitwiseAND(F.lit(m).cast("long")) == m for m in masks])
+def candidates(index: DataFrame, rules=RULES) -> DataFrame:
+    """(_row, rules): the rows that satisfy the Boolean query of some rules, by number; rules that scan fully are left out."""
+    lists = index.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "rows"))).alias("of"))
+    none = F.array().cast("array<long>")
+    posted = lambda t: F.coalesce(F.try_element_at("of", F.lit(t)), none)
+    found = []
+    for i, rule in enumerate(rules):
+        ways = [reduce(F.array_intersect, [posted(t) for t in sorted(way)]) for way in mandatory(rule.pattern) if way]
+        if ways:
+            found.append(F.struct(F.lit(i).alias("rule"), reduce(F.array_union, ways).alias("rows")))
+    if not found:
+        return lists.select(F.lit(0).cast("long").alias("_row"), F.array(F.lit(0)).alias("rules")).limit(0)
+    rows = lists.select(F.inline(F.array(*found))).select("rule", F.explode("rows").alias("_row"))
+    return rows.groupBy("_row").agg(F.collect_set("rule").alias("rules"))
+
+
+def _let(value, f):
+    """f(value) with value computed once, though f uses it within lambdas."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def spans(rule: Rule, order: int, text):
     """Array of (start, order, end, kind) of the rule's leftmost non-overlapping matches, in code points, end exclusive.
 
-    What stands between matches and the matches themselves have lengths whose running sums are the positions.
+    What stands between matches and the matches themselves have lengths whose running sums are the positions; sums of
+    CHUNK matches are made first, so that time hardly grows faster than the number of matches.
     """
     pattern = ("(?i)" if rule.ignore_case else "") + rule.pattern
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     fits = F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.value)) if rule.value else found
-    zipped = F.arrays_zip(F.transform(F.slice(between, 1, F.size(found)), F.length), F.transform(found, F.length), F.transform(fits, F.length))
-    zipped = zipped.cast("array<struct<gap:int,long:int,value:int>>")
+    zipped = F.arrays_zip(F.transform(between, F.length), F.transform(found, F.length), F.transform(fits, F.length))
+    zipped = F.filter(zipped.cast("array<struct<gap:int,long:int,value:int>>"), lambda m: m["long"].isNotNull())
     kind = "struct<start:int,place:int,end:int,kind:string,value:int>"
 
-    def step(done, item):
-        start = F.coalesce(F.try_element_at(done, F.lit(-1))["end"], F.lit(0)) + item["gap"]
-        one = F.struct(start.alias("start"), F.lit(order).alias("place"), (start + item["long"]).alias("end"), F.lit(rule.kind).alias("kind"), item["value"].alias("value"))
-        return F.concat(done, F.array(one.cast(kind)))
+    def placed(chunk, offset):
+        def step(done, item):
+            start = F.coalesce(F.try_element_at(done, F.lit(-1))["end"], offset) + item["gap"]
+            one = F.struct(start.alias("start"), F.lit(order).alias("place"), (start + item["long"]).alias("end"), F.lit(rule.kind).alias("kind"), item["value"].alias("value"))
+            return F.concat(done, F.array(one.cast(kind)))
+
+        return F.aggregate(chunk, F.array().cast(f"array<{kind}>"), step)
+
+    def all_placed(chunks):
+        sums = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, m: a + m["gap"] + m["long"]))
+        offsets = F.aggregate(sums, F.array(F.lit(0)), lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n)))
+        return F.flatten(F.zip_with(chunks, F.slice(offsets, F.lit(1), F.size(chunks)), placed))
+
+    def cut(matches):
+        starts = F.sequence(F.lit(1), F.greatest(F.size(matches), F.lit(1)), F.lit(CHUNK))
+        return F.transform(starts, lambda i: F.slice(matches, i, F.lit(CHUNK)))
 
-    return F.filter(F.aggregate(zipped, F.array().cast(f"array<{kind}>"), step), lambda s: s["value"] >= rule.least)
+    return F.filter(_let(_let(zipped, cut), all_placed), lambda s: s["value"] >= rule.least)
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules=RULES) -> DataFrame:
     """(key, spans): every span of every rule, an array of (start, place, end, kind, value) by start and place of the rule.
 
-    Rules whose trigrams are not all posted for a document are not run on it; hex has no mandatory trigram and is run on
-    all. Null texts are empty; repeated rows are scanned each; extra columns are ignored; an empty table gives no rows.
+    Rules are run on the rows that the index gives for them; hex has no mandatory trigram and is run on all. Null texts are
+    empty; texts of any length and number of secrets are read whole; repeated rows are scanned each; extra columns are
+    ignored; an empty table gives no rows.
     """
-    known = trigrams(rules)
-    rows = with_postings(docs.select(F.col(key).alias(key), F.coalesce(F.col(text), F.lit("")).alias("_text")), "_text", rules)
+    rows = numbered(docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))).select("_row", "doc.*")
+    known = candidates(build_index(rows, rules), rules)
+    if known.count() <= BROADCAST_ROWS:
+        known = F.broadcast(known)
+    rows = rows.join(known, "_row", "left")
     none = F.array().cast("array<struct<start:int,place:int,end:int,kind:string,value:int>>")
     found = []
     for i, rule in enumerate(rules):
         pattern = ("(?i)" if rule.ignore_case else "") + rule.pattern
-        found.append(F.when(candidate(rule, F.col("postings"), known) & F.rlike(F.col("_text"), F.lit(pattern)), spans(rule, i, F.col("_text"))).otherwise(none))
-    return rows.select(key, F.array_sort(F.concat(*found)).alias("spans"))
+        asked = F.coalesce(F.array_contains("rules", F.lit(i)), F.lit(False)) if mandatory(rule.pattern)[0] else F.lit(True)
+        found.append(F.when(asked & F.rlike(F.col("text"), F.lit(pattern)), spans(rule, i, F.col("text"))).otherwise(none))
+    return rows.select(F.col("key").alias(key), F.array_sort(F.concat(*found)).alias("spans"))
 
 
 def listed(found):
