@@ -12,7 +12,7 @@ from re import _parser
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import numbered, table
+from .common import numbered, stage, table
 
 #: Rows of a block: 2 to this power. Rows between sums that are kept while placing spans.
 BLOCK_BITS, CHUNK = 12, 64
@@ -160,7 +160,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules=RULES)
     ignored; an empty table gives no rows.
     """
     rows = numbered(docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))).select("_row", "doc.*")
-    known = candidates(build_index(rows, rules), rules)
+    known = stage(candidates(build_index(rows, rules), rules), "candidates")
     if known.count() <= BROADCAST_ROWS:
         known = F.broadcast(known)
     rows = rows.join(known, "_row", "left")
