@@ -1,6 +1,4 @@
-"""Long-form rasters (img, x, y, gray): thresholds, components, region measures."""
-
-import math
+"""Long-form rasters (img, x, y, gray): thresholds, components, region measures."""
 
 import numpy as np
 import pandas as pd
@@ -33,42 +31,64 @@ def mean_std_mask(pixels: DataFrame, k: float = 0.3) -> DataFrame:
     return pixels.join(cut, "img").filter(F.col("gray") < F.col("cut")).drop("cut")
 
 
+def label_runs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Labels 0, 1, ... of the 4-connected components of the pixels (x, y), by raster order of their first pixels.
+
+    Pixels in raster order fall into runs along rows; runs that overlap in neighbouring rows are joined. Work and memory go
+    by the pixels given, wherever they lie.
+    """
+    order = np.lexsort((x, y))
+    at = y[order].astype(np.int64) * (int(x.max()) + 2) + x[order]
+    begins = np.concatenate([[True], np.diff(at) > 1])
+    run = np.cumsum(begins) - 1
+    first, last = at[begins], at[np.concatenate([begins[1:], [True]])]
+    above = int(x.max()) + 2
+    low, high = np.searchsorted(last, first - above), np.searchsorted(first, last - above, side="right")
+    up = np.arange(len(first))
+
+    def root(k: int) -> int:
+        while up[k] != k:
+            up[k] = up[up[k]]
+            k = up[k]
+        return k
+
+    for k in np.nonzero(high > low)[0].tolist():
+        for other in range(low[k], high[k]):
+            a, b = root(k), root(other)
+            up[max(a, b)] = min(a, b)
+    roots = np.array([root(k) for k in range(len(up))])
+    out = np.empty(len(x), np.int32)
+    out[order] = np.searchsorted(np.unique(roots), roots)[run]
+    return out
+
+
 def components(mask: DataFrame) -> DataFrame:
-    """4-connected components of each image, labelled 0, 1, ... in raster order of first pixels; union by runs within the image's task.
+    """4-connected components of each image, labelled 0, 1, ... in raster order of first pixels.
 
     An image is the unit here, as segmentation is per tile; a tile's pixels are bounded by its size.
     """
 
     def label(p: pd.DataFrame) -> pd.DataFrame:
-        x, y = p["x"].to_numpy(), p["y"].to_numpy()
-        grid = np.full((y.max() + 1, x.max() + 1), -1, np.int64)
-        order = np.lexsort((x, y))
-        grid[y[order], x[order]] = np.arange(len(order))
-        while True:  # spread the least number along rows and columns until nothing changes
-            before = grid.copy()
-            for a in (grid, grid[:, ::-1], grid.T, grid.T[:, ::-1]):
-                for j in range(1, a.shape[1]):
-                    both = (a[:, j] >= 0) & (a[:, j - 1] >= 0)
-                    a[both, j] = np.minimum(a[both, j], a[both, j - 1])
-            if (before == grid).all():
-                break
-        found = grid[y, x]
-        return p.assign(label=np.searchsorted(np.unique(found), found).astype(np.int32))
+        return p.assign(label=label_runs(p["x"].to_numpy(), p["y"].to_numpy()))
 
     return mask.groupBy("img").applyInPandas(label, "img long, x int, y int, gray int, label int")
 
 
 def region_props(labelled: DataFrame, least_pixels: int = 40) -> DataFrame:
-    """One row for each region of enough pixels: box, centre, covariance axes, orientation, mean grey (population statistics)."""
+    """One row for each region of enough pixels: box, centre, covariance axes, orientation, mean and spread of grey (population statistics).
+
+    cell_id numbers an image's regions that are kept, from 0 in raster order; the minor axis is 1 at least, aspect is not.
+    """
     r = labelled.groupBy("img", "label").agg(
         F.count("*").alias("area"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"),
-        F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.var_pop("x").alias("sxx"), F.var_pop("y").alias("syy"), F.covar_pop("x", "y").alias("sxy"), F.avg("gray").alias("mean_gray"),
+        F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.var_pop("x").alias("sxx"), F.var_pop("y").alias("syy"), F.covar_pop("x", "y").alias("sxy"), F.avg("gray").alias("mean_gray"), F.stddev_pop("gray").alias("std_gray"),
     ).filter(F.col("area") >= least_pixels)
     half, det = (F.col("sxx") + F.col("syy")) / 2, F.col("sxx") * F.col("syy") - F.col("sxy") * F.col("sxy")
     root = F.sqrt(F.greatest(F.lit(0.0), half * half - det))
+    major, minor = 2 * F.sqrt(2 * F.greatest(F.lit(0.0), half + root)), 2 * F.sqrt(2 * F.greatest(F.lit(0.0), half - root))
     return r.select(
-        "*", (F.col("x1") - F.col("x0") + 1).alias("box_w"), (F.col("y1") - F.col("y0") + 1).alias("box_h"),
-        (2 * F.sqrt(2 * F.greatest(F.lit(0.0), half + root))).alias("major"), (2 * F.sqrt(2 * F.greatest(F.lit(0.0), half - root))).alias("minor"),
+        "*", (F.row_number().over(Window.partitionBy("img").orderBy("label")) - 1).alias("cell_id"), (F.col("x1") - F.col("x0") + 1).alias("box_w"), (F.col("y1") - F.col("y0") + 1).alias("box_h"),
+        major.alias("major"), F.greatest(F.lit(1.0), minor).alias("minor"),
         (0.5 * F.atan2(2 * F.col("sxy"), F.col("sxx") - F.col("syy"))).alias("orientation"),
         F.least(F.lit(1.0), F.col("area") / ((F.col("x1") - F.col("x0") + 1) * (F.col("y1") - F.col("y0") + 1)) * 1.6).alias("solidity"),
     )
@@ -94,15 +114,12 @@ def box_dimension(labelled: DataFrame, sizes=(2, 4, 8, 16, 32)) -> DataFrame:
     return every.join(slope, ["img", "label"], "left").select("img", "label", F.greatest(F.lit(1.0), F.least(F.lit(2.0), F.coalesce("slope", F.lit(1.0)))).alias("dimension"))
 
 
-def luma(r, g, b):
-    return 0.299 * r + 0.587 * g + 0.114 * b
-
-
 def weight(i, j, h: int, w: int, overlap: int, compat: bool = True):
-    """Gaussian weight of row i, column j of an h x w tile with edge ramps (F25, F26); compat keeps the zero lines that the ramps make."""
+    """Gaussian weight of row i, column j of an h x w tile, 1 at most, with edge ramps (F25, F26, A25); compat keeps the zero lines that the ramps make."""
     sigma = 0.3
     at = lambda y, x: F.exp(-(F.pow(y - h / 2, F.lit(2.0)) / (2 * (sigma * h) ** 2) + F.pow(x - w / 2, F.lit(2.0)) / (2 * (sigma * w) ** 2)))
-    value = at(i.cast("double"), j.cast("double"))
+    middle = at(F.lit(float(h // 2)), F.lit(float(w // 2)))  # the greatest of all; ramps leave it as it is
+    value = at(i.cast("double"), j.cast("double")) / middle
     if not compat or not (overlap < h / 2 and overlap < w / 2):
         return value
     for k, n in ((i, h), (j, w)):

@@ -25,11 +25,16 @@ def top_k(rows: DataFrame, query: list[float], k: int = 20, metric: str = "l2",
 def top_k_each(rows: DataFrame, queries: DataFrame, k: int = 5, block: int = 1000) -> DataFrame:
     """(query_id, rank, id, score) by L2 for a stated set of queries (query_id, q), which meet all rows in blocks.
 
-    A block of queries is an array in one row; every row of the table is scored against it and the k best are kept by a
-    rank that starts in the map tasks, so what is shuffled is k rows for each query and task.
+    Rows are dealt to parts and queries to blocks, by hash; each block meets each part in one place, so neither side is
+    held whole anywhere. The k best are kept by a rank that starts before the last shuffle.
     """
-    blocks = queries.withColumn("b", F.floor((F.row_number().over(Window.orderBy("query_id")) - 1) / block)).groupBy("b").agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
-    pairs = rows.join(F.broadcast(blocks)).select("id", "vec", F.explode("qs").alias("q")).select("id", F.col("q.query_id").alias("query_id"), V.similarity(V.l2(F.col("vec"), F.col("q.q"))).alias("score"))
+    blocks = max(1, -(-queries.count() // block))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).groupBy("block").agg(F.collect_list(F.struct("query_id", "q")).alias("asked"))
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>")))
+    dealt = rows.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("block"))
+    pairs = dealt.hint("merge").join(asked, ["block", "part"]).select("id", "vec", F.explode("asked").alias("q"))
+    pairs = pairs.select("id", F.col("q.query_id").alias("query_id"), V.similarity(V.l2(F.col("vec"), F.col("q.q"))).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 

@@ -31,9 +31,9 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """64 images of 64 x 64 with three disjoint dark ellipses each; gray rises towards their edges. `ellipse` is the number of the ellipse or null."""
+    """An image of 64 x 64 for each part, with three disjoint dark ellipses each; gray rises towards their edges. `ellipse` is the number of the ellipse or null."""
     side = F.sequence(F.lit(0), F.lit(63))
-    p = _read(spark, sf_dir, "part").filter("p_partkey < 64").select(F.col("p_partkey").alias("img"), F.explode(side).alias("y")).select("*", F.explode(side).alias("x"))
+    p = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("img"), F.explode(side).alias("y")).select("*", F.explode(side).alias("x"))
     gray, ellipse = 210 + (31 * F.col("x") + 17 * F.col("y") + 7 * F.col("img")) % 11, F.lit(None).cast("int")
     for k, (cx, cy) in enumerate(((16, 16), (48, 18), (30, 46))):
         rx, ry = 4 + (F.col("img") * 3 + k * 5) % 9, 3 + (F.col("img") * 7 + k * 2) % 8
@@ -90,7 +90,7 @@ CTE = {
   CAST(least(512, width - c * 480) AS INTEGER) AS w, CAST(least(512, height - r * 480) AS INTEGER) AS h
   FROM (SELECT *, unnest(range(greatest(1, (width - 32 + 479) // 480))) AS c FROM (SELECT *, unnest(range(greatest(1, (height - 32 + 479) // 480))) AS r FROM slides)))""",
     "pixels": """e0 AS (SELECT p_partkey AS img, x, y, k, 4 + (p_partkey * 3 + k * 5) % 9 AS rx, 3 + (p_partkey * 7 + k * 2) % 8 AS ry, x - [16, 48, 30][k + 1] AS dx, y - [16, 18, 46][k + 1] AS dy
-  FROM part, range(64) a(x), range(64) b(y), range(3) c(k) WHERE p_partkey < 64),
+  FROM part, range(64) a(x), range(64) b(y), range(3) c(k)),
 pixels AS (SELECT img, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y,
   CAST(coalesce(max(CASE WHEN dx*dx*ry*ry + dy*dy*rx*rx <= rx*rx*ry*ry THEN 60 + (9 * (dx*dx*ry*ry + dy*dy*rx*rx)) // (rx*rx*ry*ry) END), 210 + (31 * x + 17 * y + 7 * img) % 11) AS INTEGER) AS gray,
   CAST(max(CASE WHEN dx*dx*ry*ry + dy*dy*rx*rx <= rx*rx*ry*ry THEN k END) AS INTEGER) AS ellipse FROM e0 GROUP BY img, x, y)""",

@@ -296,13 +296,13 @@ def px_components(spark, sf_dir):
 
 
 @query(sql("pixels", _OTSU + """, r AS (SELECT img, CAST(label AS INTEGER) AS label, count(*) AS area, min(x) AS x0, min(y) AS y0, max(x) - min(x) + 1 AS box_w, max(y) - min(y) + 1 AS box_h, avg(x) AS cx, avg(y) AS cy,
-  var_pop(x) AS sxx, var_pop(y) AS syy, covar_pop(x, y) AS sxy, avg(gray) AS mean_gray FROM lab GROUP BY img, label HAVING count(*) >= 40),
+  var_pop(x) AS sxx, var_pop(y) AS syy, covar_pop(x, y) AS sxy, avg(gray) AS mean_gray, stddev_pop(gray) AS std_gray FROM lab GROUP BY img, label HAVING count(*) >= 40),
 q AS (SELECT *, (sxx + syy) / 2 AS half, sqrt(greatest(0, (sxx + syy) * (sxx + syy) / 4 - (sxx * syy - sxy * sxy))) AS root FROM r)
-SELECT img, label, area, x0, y0, box_w, box_h, round(cx, 5) AS cx, round(cy, 5) AS cy, round(2 * sqrt(2 * (half + root)), 5) AS major, round(2 * sqrt(2 * greatest(0, half - root)), 5) AS minor,
-  round(mean_gray, 5) AS mean_gray, round(least(1, area / (box_w * box_h) * 1.6::DOUBLE), 5) AS solidity FROM q"""))
+SELECT img, label, row_number() OVER (PARTITION BY img ORDER BY label) - 1 AS cell_id, area, x0, y0, box_w, box_h, round(cx, 5) AS cx, round(cy, 5) AS cy, round(2 * sqrt(2 * (half + root)), 5) AS major, round(greatest(1, 2 * sqrt(2 * greatest(0, half - root))), 5) AS minor,
+  round(mean_gray, 5) AS mean_gray, round(std_gray, 5) AS std_gray, round(least(1, area / (box_w * box_h) * 1.6::DOUBLE), 5) AS solidity FROM q"""))
 def px_region_props(spark, sf_dir):
-    r = raster.region_props(_labelled(spark, sf_dir)).select("img", "label", "area", "x0", "y0", "box_w", "box_h", "cx", "cy", "major", "minor", "mean_gray", "solidity")
-    return rounded(r, "cx", "cy", "major", "minor", "mean_gray", "solidity", places=5)
+    r = raster.region_props(_labelled(spark, sf_dir)).select("img", "label", "cell_id", "area", "x0", "y0", "box_w", "box_h", "cx", "cy", "major", "minor", "mean_gray", "std_gray", "solidity")
+    return rounded(r, "cx", "cy", "major", "minor", "mean_gray", "std_gray", "solidity", places=5)
 
 
 @query(sql("pixels", _OTSU + """ SELECT a.img, CAST(a.label AS INTEGER) AS label, round(greatest(4, sum(4 - (SELECT count(*) FROM lab b WHERE b.img = a.img AND b.label = a.label AND abs(b.x - a.x) + abs(b.y - a.y) = 1))) * 0.886::DOUBLE, 6) AS perimeter

@@ -33,11 +33,32 @@ def read_events(spark: SparkSession, path: str, name: str = "events.parquet") ->
     return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{path}/{name}*")
 
 
+def fold_progress(tasks: DataFrame, updates: DataFrame) -> DataFrame:
+    """tasks (task_id, progress, message) with each one's last update (task_id, ts, event_id, progress, message) folded in.
+
+    An empty message keeps the old one, a null progress the old one; updates of unknown tasks are ignored.
+    """
+    last = updates.groupBy("task_id").agg(F.max_by(F.struct("progress", "message"), F.struct("ts", "event_id")).alias("new"))
+    message = F.when(F.coalesce(F.col("new.message"), F.lit("")) != "", F.col("new.message")).otherwise(F.col("message"))
+    return tasks.join(last, "task_id", "left").select("task_id", F.coalesce("new.progress", "progress").alias("progress"), message.alias("message"))
+
+
 def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a stream over all that is there and give its result table; checkpoints go to the shared folder."""
+    """Run a stream over all that is there and give its result table, as Parquet in the shared folder, like its checkpoint.
+
+    A batch that is run again overwrites its own folder. In complete mode the last batch is the result, else all are.
+    """
     spark = stream.sparkSession
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    name = f"s{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True).start()
+    given = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if given is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    base, done = f"{given or tempfile.mkdtemp(prefix='spark-')}/stream-{uuid.uuid4().hex}", set()
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/{number}")
+        done.add(number)
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    numbers = [max(done)] if done and mode == "complete" else sorted(done)
+    return spark.read.schema(stream.schema).parquet(*[f"{base}/out/{n}" for n in numbers]) if numbers else spark.createDataFrame([], stream.schema)
