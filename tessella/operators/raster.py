@@ -62,16 +62,37 @@ def label_runs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
+def _labelled(p: pd.DataFrame) -> pd.DataFrame:
+    """Whole images, one after the other, with labels; a blank row between images keeps them apart."""
+    img, y = p["img"].to_numpy(), p["y"].to_numpy().astype(np.int64)
+    new = np.concatenate([[True], img[1:] != img[:-1]])
+    number, y = np.cumsum(new) - 1, y - y.min()
+    found = label_runs(p["x"].to_numpy(), y + number * (y.max() + 2))
+    return p.assign(label=(found - np.minimum.reduceat(found, np.nonzero(new)[0])[number]).astype(np.int32))
+
+
+def _label(batches):
+    rest = None
+    for p in batches:
+        if len(p):
+            p = p if rest is None else pd.concat([rest, p])
+            last = p["img"] == p["img"].iloc[-1]
+            if not last.all():
+                yield _labelled(p[~last])
+            rest = p[last]
+    if rest is not None:
+        yield _labelled(rest)
+
+
 def components(mask: DataFrame) -> DataFrame:
     """4-connected components of each image, labelled 0, 1, ... in raster order of first pixels.
 
-    An image is the unit here, as segmentation is per tile; a tile's pixels are bounded by its size.
+    An image is the unit here, as segmentation is per tile; a tile's pixels are bounded by its size. Images stream through
+    the tasks, many in one batch.
     """
-
-    def label(p: pd.DataFrame) -> pd.DataFrame:
-        return p.assign(label=label_runs(p["x"].to_numpy(), p["y"].to_numpy()))
-
-    return mask.groupBy("img").applyInPandas(label, "img long, x int, y int, gray int, label int")
+    parts = int(mask.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = mask.select("img", "x", "y", "gray").repartition(parts, "img").sortWithinPartitions("img")
+    return dealt.mapInPandas(_label, "img long, x int, y int, gray int, label int")
 
 
 def region_props(labelled: DataFrame, least_pixels: int = 40) -> DataFrame:

@@ -33,7 +33,8 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An image of 64 x 64 for each part, with three disjoint dark ellipses each; gray rises towards their edges. `ellipse` is the number of the ellipse or null."""
     side = F.sequence(F.lit(0), F.lit(63))
-    p = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("img"), F.explode(side).alias("y")).select("*", F.explode(side).alias("x"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # one small file would be one task
+    p = _read(spark, sf_dir, "part").select("p_partkey").repartition(parts, "p_partkey").select(F.col("p_partkey").alias("img"), F.explode(side).alias("y")).select("*", F.explode(side).alias("x"))
     gray, ellipse = 210 + (31 * F.col("x") + 17 * F.col("y") + 7 * F.col("img")) % 11, F.lit(None).cast("int")
     for k, (cx, cy) in enumerate(((16, 16), (48, 18), (30, 46))):
         rx, ry = 4 + (F.col("img") * 3 + k * 5) % 9, 3 + (F.col("img") * 7 + k * 2) % 8
