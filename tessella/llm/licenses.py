@@ -10,31 +10,66 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: License notices that are looked for.
+#: License notices and whole license texts that are looked for, in the words of their publishers.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
+    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
     "MIT": "Released under the MIT License.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-notice": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    "LGPL-notice": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "AGPL-notice": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    "GPL-3.0-text": "The GNU General Public License is a free, copyleft license for software and other kinds of works.",
+    "AGPL-3.0-text": "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works",
+    "LGPL-3.0-text": "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-NC-4.0-notice": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "BSD-2-Clause-text": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+        following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+        disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in
+        the documentation and/or other materials provided with the distribution.""",
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
+    "MIT-whole": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
+        (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,
+        distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the
+        following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
+        Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+        MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY
+        CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE
+        OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "ISC-whole": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that
+        the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL
+        WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE
+        FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN
+        ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "Zlib-whole": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any
+        damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial
+        applications, and to alter it and redistribute it freely, subject to the following restrictions""",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
     "All-rights-reserved": "All rights reserved. No part of this publication may be reproduced or distributed without permission.",
 }
+#: Signs that part words, and signs cut off both ends of a word: marks of sentences, quotes and comments. Dots within stay, as in version numbers.
+PARTS, ENDS = r"[\x09-\x0D\x20,;:()\"]+", ".!?'`*#/<>[]{}"
 #: Words of a window, step between windows, bands of one MinHash each, share of a template's shingles that must be found.
 #: A segment of up to WINDOW - STEP + 1 = 9 words lies whole within some window; a template of w words then has Jaccard
 #: similarity (w - 1) / (WINDOW - 1) at least with it, so w = 5 is missed with chance (1 - 4/15) ** 32 < 1e-4, w = 7 with 1e-7.
 #: Windows of a longer template are indexed at every word, so they meet the document's windows nearly or wholly equal.
 WINDOW, STEP, BANDS, CONTAINED = 16, 8, 32, 0.8
+#: Templates that share this part of the larger one's distinct pairs are rivals for a stretch.
+RIVALS = 0.5
 #: Masks of the hash orders: order p puts x before y where x ^ mask is less than y ^ mask.
 MASKS = tuple(random.Random(20).sample(range(1 << 62), BANDS))
 
 
 def tokens(text):
-    """Lower-case words between white space and common punctuation, hashed; dots stay, as in version numbers."""
-    return F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x09-\x0D\x20,;:()\"]+"), lambda w: F.xxhash64(w))
+    """The lower-case words, hashed; see PARTS and ENDS."""
+    cut = F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), PARTS), lambda w: F.btrim(w, F.lit(ENDS)))
+    return F.transform(F.filter(cut, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
 def paired(texts: DataFrame) -> DataFrame:
@@ -63,23 +98,34 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", temp
 
     Windows that share a band with a window of a template are candidates. Verified where at least `contained` of the
     template's distinct word pairs stand in the candidates within a stretch of twice the template's length; stretches
-    overlap by half, so none is cut. Rows with the same key count as one document's; null and empty texts hold none;
-    extra columns are ignored. The templates' bands are a fixed table of some hundred kilobytes, which is broadcast.
+    overlap by half, so none is cut. Of templates alike in RIVALS of their pairs, such as those of one family, a stretch
+    holds those of the greatest containment. Words need not keep their end marks. Rows with the same key count as one
+    document's; null and empty texts hold none, an empty table gives no rows; extra columns are ignored. The templates'
+    bands are a fixed table of some megabytes, BANDS rows for each of their words at most, which is broadcast.
     """
     spark = docs.sparkSession
     listed = F.array(*[F.struct(F.lit(name).alias("id"), F.lit(body).alias("text")) for name, body in templates.items()])
     given = paired(spark.range(1).select(F.inline(listed)))
-    own = bands(windows(given, 1)).select("id", "m").distinct()
-    wanted = [r["m"] for r in own.select("m").distinct().collect()]  # BANDS for each template word at most
-    found = bands(windows(paired(docs.select(F.col(key).alias("id"), F.col(text).alias("text"))))).filter(F.col("m").isin(wanted))
+    own = bands(windows(given, 1)).select("m", F.col("id").alias("license")).distinct()
     sized = given.select(F.col("id").alias("license"), F.greatest(F.size("pairs") + 1, F.lit(WINDOW)).alias("long"), F.array_distinct("pairs").alias("whole"))
-    known = own.withColumnRenamed("id", "license").join(F.broadcast(sized), "license")
-    hits = found.join(F.broadcast(known), "m").select("id", "license", "at", "long", F.size("whole").alias("n"), F.array_intersect("whole", "pairs").alias("both"))
+    whole = sized.select("license", F.explode("whole").alias("pair"), F.size("whole").alias("n"))
+    common = whole.join(whole.select("pair", F.col("license").alias("rival"), F.col("n").alias("m")), "pair").filter("license != rival")
+    alike = common.groupBy("license", "rival").agg((F.count("*") / F.greatest(F.first("n"), F.first("m"))).alias("share")).filter(F.col("share") >= RIVALS)
+    sized = sized.join(alike.groupBy("license").agg(F.collect_set("rival").alias("rivals")), "license", "left")
+    found = bands(windows(paired(docs.select(F.col(key).alias("id"), F.col(text).alias("text"))))).join(F.broadcast(own), "m")
+    hits = found.join(F.broadcast(sized), "license").select("id", "license", "at", "long", "rivals", F.size("whole").alias("n"), F.array_intersect("whole", "pairs").alias("both"))
     stretch = F.explode(F.array(F.floor(F.col("at") / (2 * F.col("long"))) * 2, F.floor((F.col("at") + F.col("long")) / (2 * F.col("long"))) * 2 + 1)).alias("stretch")
-    rows = hits.select("id", "license", "at", "n", "both", stretch).withColumn("pair", F.explode("both"))
-    share = rows.groupBy("id", "license", "stretch").agg((F.count_distinct("pair") / F.first("n")).alias("share"), F.min("at").alias("at"))
-    best = share.filter(F.col("share") >= contained).groupBy("id", "license").agg(F.max(F.struct("share", (-F.col("at")).alias("back"))).alias("b"))
-    return best.select(F.col("id").alias(key), "license", (-F.col("b.back")).cast("int").alias("first_word"), F.col("b.share").alias("containment"))
+    rows = hits.select("id", "license", "at", "long", "rivals", "n", "both", stretch).withColumn("pair", F.explode("both"))
+    share = rows.groupBy("id", "license", "stretch").agg((F.count_distinct("pair") / F.first("n")).alias("share"), F.min("at").alias("at"), F.first("long").alias("long"), F.first("rivals").alias("rivals"))
+    best = share.filter(F.col("share") >= contained).groupBy("id", "license").agg(F.max_by(F.struct("share", "at", "long", "rivals"), F.struct("share", -F.col("at"))).alias("b"))
+    held = best.groupBy("id").agg(F.collect_list(F.struct("license", "b.*")).alias("held"))  # one entry for each template at most
+
+    def beaten(x):
+        near = lambda y: (F.abs(y["at"] - x["at"]) < x["long"]) & (y["share"] > x["share"])
+        return F.exists("held", lambda y: F.coalesce(F.array_contains(x["rivals"], y["license"]), F.lit(False)) & near(y))
+
+    kept = held.select("id", F.inline(F.filter("held", lambda x: ~beaten(x))))
+    return kept.select(F.col("id").alias(key), "license", F.col("at").cast("int").alias("first_word"), F.col("share").alias("containment"))
 
 
 def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -252,6 +252,40 @@ def test_licenses(spark):
     assert sorted((r["doc_id"], r["license"]) for r in out.collect()) == [(0, "MIT"), (1, "BSD")]
 
 
+def license_words(text):
+    cut = [w.strip(licenses.ENDS) for w in re.split(r"[\x09-\x0D\x20,;:()\"]+", (text or "").lower())]
+    return [w for w in cut if w]
+
+
+def licenses_held(text):
+    """Every template against every stretch of the text, without windows or bands: name to the greatest share of its pairs, rivals beaten."""
+    own = {name: set(zip(w, w[1:])) for name, w in ((n, license_words(t)) for n, t in licenses.TEMPLATES.items())}
+    words, best = license_words(text), {}
+    pairs = list(zip(words, words[1:]))
+    for name, wanted in own.items():
+        long = max(len(license_words(licenses.TEMPLATES[name])), licenses.WINDOW)
+        share, at = max(((len(wanted & set(pairs[i : i + long])) / len(wanted), -i) for i in range(max(1, len(pairs)))), default=(0, 0))
+        if share >= licenses.CONTAINED:
+            best[name] = (share, -at)
+    alike = lambda a, b: a != b and len(own[a] & own[b]) >= licenses.RIVALS * max(len(own[a]), len(own[b]))
+    return {a for a in best if not any(alike(a, b) and best[b][0] > best[a][0] for b in best)}
+
+
+def test_licenses_equal_brute_force(spark):
+    texts = [None, "", " .\t", "gpl", " ".join(prose(9, 30_000))]
+    for i, body in enumerate(licenses.TEMPLATES.values()):
+        before, after, w = " ".join(prose(i, 11 + 7 * i)), " ".join(prose(100 + i, 40)), body.split()
+        texts += [f"{before} {body} {after}", f"{before} {body.rstrip('.')} {after}", body.upper() + "]", body + " " + after + " " + body]
+        texts.append(before + "\n" + "\n".join(" * " + " ".join(w[k : k + 6]) for k in range(0, len(w), 6)) + "\n */ " + after)
+        texts.append(f"{before} {' '.join(w[: len(w) // 2])} {after}")  # half of it
+    rows = [(i, t, "mine") for i, t in enumerate(texts)] + [(3, "again", "mine"), (None, licenses.TEMPLATES["MIT"], "mine")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, license string")
+    wanted = {(i, name) for i, t, _ in rows for name in licenses_held(t)}
+    found = [(r["doc_id"], r["license"]) for r in licenses.scan_licenses(d).collect()]
+    assert len(found) == len(set(found)) and set(found) == wanted and len(wanted) > 5 * len(licenses.TEMPLATES)
+    assert licenses.scan_licenses(d.limit(0)).count() == 0
+
+
 def test_toxicity_held_out_and_restoring(spark):
     d = spark.read.parquet(f"{DIR}/documents.parquet")
     model = toxicity.language_model(d)
