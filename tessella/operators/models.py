@@ -1,4 +1,4 @@
-"""Hooks for models of the user's own: super-resolution and segmentation of tiles."""
+"""Hooks for models of the user's own: super-resolution and segmentation of tiles."""
 
 from collections.abc import Callable, Iterator
 
@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..sources.codec import decode_png, encode_png
+from ..sources.codec import decode_png, encode_png, postprocessed, preprocessed, to_bytes, upscale
 
 #: A function that loads a model, once for each batch stream of a task, and returns its call: float32 array in, array out.
 Loader = Callable[[], Callable[[np.ndarray], np.ndarray]]
@@ -72,3 +72,24 @@ def segmented(png, load: Loader):
         yield from _each(load, lambda model, image: regions(np.asarray(model(image[None]))[0]), images)
 
     return of(png)
+
+
+def super_resolved(png, load: Loader, scale: int = 4, size: tuple[int, int] = (512, 512)):
+    """Column of structs (png, by_model): the model's image on a resampled input, brought to scale times the tile; bicubic where the model fails.
+
+    Null images stay null. by_model says which way was taken.
+    """
+
+    def apply(model, image):
+        return encode_png(to_bytes(postprocessed(np.asarray(model(preprocessed(image, size))), image.shape[:2], scale)))
+
+    @F.pandas_udf("binary")
+    def by_model(images: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from _each(load, apply, images)
+
+    @F.pandas_udf("binary")
+    def bicubic(images: pd.Series) -> pd.Series:
+        return images.map(lambda data: None if data is None else encode_png(upscale(decode_png(data)[:, :, :3], scale)))
+
+    first = by_model(png)
+    return F.struct(F.coalesce(first, bicubic(F.when(first.isNull(), png))).alias("png"), first.isNotNull().alias("by_model"))

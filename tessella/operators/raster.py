@@ -72,6 +72,7 @@ def _labelled(p: pd.DataFrame) -> pd.DataFrame:
 
 
 def _label(batches):
+    """Whole images of the batches, labelled; the last image of a batch waits for its other pixels."""
     rest = None
     for p in batches:
         if len(p):
@@ -88,28 +89,31 @@ def components(mask: DataFrame) -> DataFrame:
     """4-connected components of each image, labelled 0, 1, ... in raster order of first pixels.
 
     An image is the unit here, as segmentation is per tile; a tile's pixels are bounded by its size. Images stream through
-    the tasks, many in one batch.
+    the tasks, many in one batch. A column `light`, the grey before rounding, is kept.
     """
     parts = int(mask.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = mask.select("img", "x", "y", "gray").repartition(parts, "img").sortWithinPartitions("img")
-    return dealt.mapInPandas(_label, "img long, x int, y int, gray int, label int")
+    light = ["light"] if "light" in mask.columns else []
+    dealt = mask.select("img", "x", "y", "gray", *light).repartition(parts, "img").sortWithinPartitions("img")
+    return dealt.mapInPandas(_label, f"img long, x int, y int, gray int, {'light double, ' if light else ''}label int")
 
 
 def region_props(labelled: DataFrame, least_pixels: int = 40) -> DataFrame:
     """One row for each region of enough pixels: box, centre, covariance axes, orientation, mean and spread of grey (population statistics).
 
-    cell_id numbers an image's regions that are kept, from 0 in raster order; the minor axis is 1 at least, aspect is not.
+    cell_id numbers an image's regions that are kept, from 0 in raster order; the minor axis is 1 at least, `thin` is it as
+    measured. mean_light is the mean of `light`, where labelled has it, else of grey.
     """
+    light = "light" if "light" in labelled.columns else "gray"
     r = labelled.groupBy("img", "label").agg(
         F.count("*").alias("area"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"),
-        F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.var_pop("x").alias("sxx"), F.var_pop("y").alias("syy"), F.covar_pop("x", "y").alias("sxy"), F.avg("gray").alias("mean_gray"), F.stddev_pop("gray").alias("std_gray"),
+        F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.var_pop("x").alias("sxx"), F.var_pop("y").alias("syy"), F.covar_pop("x", "y").alias("sxy"), F.avg("gray").alias("mean_gray"), F.stddev_pop("gray").alias("std_gray"), F.avg(light).alias("mean_light"),
     ).filter(F.col("area") >= least_pixels)
     half, det = (F.col("sxx") + F.col("syy")) / 2, F.col("sxx") * F.col("syy") - F.col("sxy") * F.col("sxy")
     root = F.sqrt(F.greatest(F.lit(0.0), half * half - det))
     major, minor = 2 * F.sqrt(2 * F.greatest(F.lit(0.0), half + root)), 2 * F.sqrt(2 * F.greatest(F.lit(0.0), half - root))
     return r.select(
         "*", (F.row_number().over(Window.partitionBy("img").orderBy("label")) - 1).alias("cell_id"), (F.col("x1") - F.col("x0") + 1).alias("box_w"), (F.col("y1") - F.col("y0") + 1).alias("box_h"),
-        major.alias("major"), F.greatest(F.lit(1.0), minor).alias("minor"),
+        major.alias("major"), F.greatest(F.lit(1.0), minor).alias("minor"), minor.alias("thin"),
         (0.5 * F.atan2(2 * F.col("sxy"), F.col("sxx") - F.col("syy"))).alias("orientation"),
         F.least(F.lit(1.0), F.col("area") / ((F.col("x1") - F.col("x0") + 1) * (F.col("y1") - F.col("y0") + 1)) * 1.6).alias("solidity"),
     )

@@ -1,4 +1,4 @@
-"""Tasks from their events: latest state, pages, search, counts, progress, the state machine."""
+"""Tasks from their events: latest state, pages, search, counts, progress, the state machine."""
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,3 +32,29 @@ def progress(events: DataFrame) -> DataFrame:
     by = Window.partitionBy("task_id")
     done = F.row_number().over(by.orderBy("ts", "event_id"))
     return events.select("task_id", "event_id", (done / F.count("*").over(by) * 60).alias("percent"))
+
+
+def upserted(tasks: DataFrame, patches: DataFrame, key: str = "task_id", order: tuple = ("ts", "event_id")) -> DataFrame:
+    """tasks with patches laid over them: each field has its newest value that is not null, new keys come in.
+
+    Each side has the key; patches also the columns of `order`. Fields that only one side has are kept. As fields are
+    folded apart, a patch of one nested field leaves the others: give such fields columns of their own.
+    """
+    fields = [c for c in patches.columns if c != key and c not in order]
+    newest = F.struct(*order)
+    last = patches.groupBy(key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), newest)).alias(c) for c in fields])
+    old, new = tasks.alias("o"), last.alias("n")
+    have = [c for c in tasks.columns if c != key]
+    pick = [F.coalesce(F.col(f"n.`{c}`"), F.col(f"o.`{c}`")).alias(c) if c in have and c in fields else F.col(f"{'o' if c in have else 'n'}.`{c}`").alias(c) for c in [*have, *[c for c in fields if c not in have]]]
+    return old.join(new, F.col(f"o.{key}") == F.col(f"n.{key}"), "full").select(F.coalesce(F.col(f"o.{key}"), F.col(f"n.{key}")).alias(key), *pick)
+
+
+def with_total(tasks: DataFrame, offset: int = 0, limit: int = 20) -> DataFrame:
+    """A page beside the number of all tasks (A19); the count is one row."""
+    total = tasks.agg(F.count("*").alias("total"))
+    return page(tasks, offset, limit).crossJoin(F.broadcast(total))
+
+
+def schedule(state, read, tiles):
+    """Percent by state: tiles read make 0 to 60, then 75, 90 and 100."""
+    return F.when(state == "reading", F.least(F.lit(1.0), read / F.greatest(tiles, F.lit(1))) * 60).when(state == "super_resolving", 60.0).when(state == "stitching", 75.0).when(state == "saving", 90.0).when(state == "completed", 100.0).otherwise(0.0)

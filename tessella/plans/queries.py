@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions import formats, shape
 from ..functions import vectors as V
-from ..operators import grid, nuclei, raster, search, tasks
+from ..operators import analysis, grid, nuclei, raster, search, tasks
 from ..sources import codec
 from ..streaming import events as stream
 from . import fixtures as fx
@@ -468,7 +468,94 @@ def framed_chunks(spark, sf_dir):
     return fx.slides(spark, sf_dir).select("slide_id", F.lpad(F.hex(F.octet_length(body)), 8, "0").alias("length_hex"), body.alias("body"))
 
 
-@query(sql("slides", """SELECT slide_id, length('<OME xmlns="http://www.openmicroscopy.org/Schemas/OME/2016-06"><Image ID="Image:0" Name=""><Pixels ID="Pixels:0" DimensionOrder="XYCZT" Type="uint8" SizeX="" SizeY="" SizeZ="1" SizeC="3" SizeT="1" BigEndian="false" Interleaved="true"><Channel ID="Channel:0:0" Name="Red" SamplesPerPixel="1"/><Channel ID="Channel:0:1" Name="Green" SamplesPerPixel="1"/><Channel ID="Channel:0:2" Name="Blue" SamplesPerPixel="1"/><TiffData IFD="0" PlaneCount="3"/></Pixels></Image></OME>')
-  + length(file_path) + length(CAST(width AS VARCHAR)) + length(CAST(height AS VARCHAR)) AS n FROM slides"""))
+_OME = """replace('<?xml version="1.0" encoding="UTF-8"?><OME xmlns="@" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" xsi:schemaLocation="@ @/ome.xsd"', '@', 'http://www.openmicroscopy.org/Schemas/OME/2016-06')
+  || ' UUID="urn:uuid:' || md5(file_path) || '"><Image ID="Image:0" Name="' || replace(file_path, '&', '&amp;') || '"><AcquisitionDate>2024-01-01</AcquisitionDate><Pixels ID="Pixels:0" DimensionOrder="XYCZT" Type="uint8"'
+  || ' SizeX="' || width || '" SizeY="' || height || '" SizeZ="1" SizeC="3" SizeT="1" BigEndian="false" Interleaved="true">'
+  || array_to_string(list_transform([['0', 'Red'], ['1', 'Green'], ['2', 'Blue']], lambda c: '<Channel ID="Channel:0:' || c[1] || '" Name="' || c[2] || '" SamplesPerPixel="1"/>'), '')
+  || '<TiffData IFD="0" PlaneCount="3"/></Pixels></Image></OME>'"""
+
+
+def _document(slides):
+    return slides.withColumn("xml", codec.ome_xml(F.col("file_path"), F.col("width"), F.col("height"), uuid=F.md5("file_path"), acquired=F.lit("2024-01-01")))
+
+
+@query(sql("slides", f"SELECT slide_id, {_OME} AS xml FROM slides"))
 def ome_xml(spark, sf_dir):
-    return fx.slides(spark, sf_dir).select("slide_id", F.length(codec.ome_xml(F.col("file_path"), F.col("width"), F.col("height"))).cast("long").alias("n"))
+    return _document(fx.slides(spark, sf_dir)).select("slide_id", "xml")
+
+
+_FRAMES = f"""SELECT slide_id, 'header' AS kind, CAST(json_object('magic', 'OME-TIFF', 'version', '1.0', 'width', width, 'height', height, 'tileSize', 512, 'channels', 3, 'bitsPerSample', 8, 'pyramidLevels', 1, 'omeXml', {_OME}, 'createdAt', slide_id) AS VARCHAR) AS body FROM slides
+UNION ALL SELECT slide_id, 'tile', CAST(json_object('type', 'tile', 'row', slide_id % 6, 'col', slide_id % 5, 'level', 0, 'imageData', file_path, 'timestamp', slide_id) AS VARCHAR) FROM slides
+UNION ALL SELECT slide_id, 'progress', CAST(json_object('type', 'progress', 'progress', slide_id % 100, 'message', '读取 ' || file_path, 'timestamp', slide_id) AS VARCHAR) FROM slides
+UNION ALL SELECT slide_id, 'final', CAST(json_object('type', 'final', 'outputPath', file_path, 'timestamp', slide_id) AS VARCHAR) FROM slides"""
+
+
+@query(sql("slides", f"SELECT slide_id, kind, lpad(upper(to_hex(strlen(body))), 8, '0') || upper(to_hex(encode(body))) AS frame FROM ({_FRAMES})"))
+def stream_frames(spark, sf_dir):
+    """All four kinds of frames of a streamed image, as bytes in hex."""
+    s, at = _document(fx.slides(spark, sf_dir)), F.col("slide_id")
+    bodies = {
+        "header": codec.header_body(F.col("xml"), F.col("width"), F.col("height"), F.lit(512), F.lit(1), at), "tile": codec.tile_body(at % 6, at % 5, F.col("file_path"), at),
+        "progress": codec.progress_body(at % 100, F.concat(F.lit("读取 "), "file_path"), at), "final": codec.final_body(F.col("file_path"), at),
+    }
+    each = s.select("slide_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), b.alias("body")) for k, b in bodies.items()])).alias("f"))
+    return each.select("slide_id", "f.kind", F.hex(codec.framed(F.col("f.body"))).alias("frame"))
+
+
+def _tiles(spark, sf_dir):
+    """The images as PNG tiles of a slide."""
+    coded = _images(spark, sf_dir).select("img", codec.png_of_gray(F.col("gray"), 64, 64).alias("png"))
+    return coded.withColumns({"tile_row": (F.col("img") % 6).cast("int"), "tile_col": (F.col("img") % 5).cast("int")})
+
+
+_CELLS = _OTSU + """, edge AS (SELECT img, label, x, y, gray, CASE WHEN lag(x) OVER h = x - 1 THEN 0 ELSE 1 END + CASE WHEN lead(x) OVER h = x + 1 THEN 0 ELSE 1 END + CASE WHEN lag(y) OVER v = y - 1 THEN 0 ELSE 1 END + CASE WHEN lead(y) OVER v = y + 1 THEN 0 ELSE 1 END AS edges
+  FROM lab WINDOW h AS (PARTITION BY img, label, y ORDER BY x), v AS (PARTITION BY img, label, x ORDER BY y)),
+g AS (SELECT img, label, count(*) AS area, greatest(4, sum(edges)) * 0.886::DOUBLE AS perimeter, min(x) AS x0, min(y) AS y0, max(x) - min(x) + 1 AS bw, max(y) - min(y) + 1 AS bh, avg(x) AS cx, avg(y) AS cy, avg(gray) AS mi,
+  var_pop(x) AS sxx, var_pop(y) AS syy, covar_pop(x, y) AS sxy FROM edge GROUP BY img, label HAVING count(*) >= 40),
+ax AS (SELECT *, (sxx + syy) / 2 AS half, sqrt(greatest(0, (sxx + syy) * (sxx + syy) / 4 - (sxx * syy - sxy * sxy))) AS root FROM g),
+mm AS (SELECT *, 2 * sqrt(2 * (half + root)) AS major, 2 * sqrt(2 * greatest(0, half - root)) AS minor FROM ax),
+me AS (SELECT *, CASE WHEN minor > 0 THEN major / minor ELSE 1 END AS ar, 4 * pi() * area / (perimeter * perimeter) AS circ, perimeter / greatest(4, pi() * (1.5::DOUBLE * (major + minor) - sqrt(major * minor))) AS rough, least(1, area / (bw * bh) * 1.6::DOUBLE) AS sol FROM mm),
+cells AS (SELECT *, CAST(circ < 0.55::DOUBLE AS INTEGER) + CAST(ar > 2.2::DOUBLE AS INTEGER) + CAST(rough > 1.35::DOUBLE AS INTEGER) + CAST(sol < 0.55::DOUBLE AS INTEGER) + CAST(area < 150 OR area > 15000 AS INTEGER) >= 2 AS bad FROM me),
+per AS (SELECT img, coalesce(total, 0) AS total, coalesce(abnormal, 0) AS abnormal, coalesce(total, 0) / 0.000256::DOUBLE AS density, coalesce(least(1, 0.5::DOUBLE * abnormal / total + 0.25::DOUBLE * least(1, total / 0.000256::DOUBLE / 8000) + 0.25::DOUBLE * coalesce(off, 0)), 0) AS score
+  FROM (SELECT DISTINCT img FROM pixels) LEFT JOIN (SELECT img, count(*) AS total, count(*) FILTER (bad) AS abnormal, avg(1 - least(1, circ)) FILTER (bad) AS off FROM cells GROUP BY img) USING (img))"""
+
+
+@query(sql("pixels", _CELLS + """ SELECT img, row_number() OVER (PARTITION BY img ORDER BY label) - 1 AS cell_id, area, round(cx + img % 5 * 224, 5) AS centroid_x, round(cy + img % 6 * 224, 5) AS centroid_y, x0 + img % 5 * 224 AS bbox_x, y0 + img % 6 * 224 AS bbox_y, bw AS bbox_w, bh AS bbox_h,
+  round(perimeter, 5) AS perimeter, round(least(1, circ), 5) AS circularity, round(ar, 5) AS aspect_ratio, round(rough, 5) AS roughness, round(mi, 5) AS mean_intensity, bad AS is_abnormal FROM cells"""))
+def tile_nuclei(spark, sf_dir):
+    """From PNG tiles to classified nuclei; tests check the vectors."""
+    n = analysis.tile_nuclei(_tiles(spark, sf_dir), size=64, overlap=8)
+    whole = "img cell_id area bbox_x bbox_y bbox_w bbox_h is_abnormal".split()
+    parts = "centroid_x centroid_y perimeter circularity aspect_ratio roughness mean_intensity".split()
+    return rounded(n.select(*whole, *parts), *parts, places=5)
+
+
+@query(sql("pixels", _CELLS + " SELECT img, total, abnormal, round(density, 4) AS density, round(score, 6) AS score FROM per"))
+def tile_analysis(spark, sf_dir):
+    tiles = _tiles(spark, sf_dir)
+    found = analysis.tile_results(tiles, analysis.tile_nuclei(tiles, size=64, overlap=8), 64, 64)
+    return rounded(rounded(found.select("img", "total", "abnormal", "density", "score"), "score"), "density", places=4)
+
+
+@query(sql("pixels", _CELLS + " SELECT img % 10 AS slide, CAST(sum(total) AS BIGINT) AS total_cells, CAST(sum(abnormal) AS BIGINT) AS abnormal_cells, round(max(score), 6) AS max_anomaly, round(avg(score), 6) AS avg_anomaly FROM per GROUP BY img % 10"))
+def batch_analysis(spark, sf_dir):
+    tiles = _tiles(spark, sf_dir)
+    found = analysis.tile_results(tiles, analysis.tile_nuclei(tiles, size=64, overlap=8), 64, 64)
+    return rounded(analysis.batch_result(found.withColumn("slide", F.col("img") % 10), ["slide"]), "max_anomaly", "avg_anomaly")
+
+
+@query(sql("task_events", """, odd AS (SELECT * FROM task_events WHERE event_id % 3 <> 0), old AS (SELECT task_id, arg_max(state, (ts, event_id)) AS state, 'old' AS message FROM odd GROUP BY task_id),
+new AS (SELECT task_id, arg_max(state, (ts, event_id)) FILTER (event_id % 2 = 0) AS state, arg_max(progress, (ts, event_id)) AS progress FROM task_events WHERE event_id % 3 = 0 GROUP BY task_id)
+SELECT task_id, coalesce(new.state, old.state) AS state, message, round(progress, 6) AS progress FROM old FULL JOIN new USING (task_id)"""))
+def task_upsert(spark, sf_dir):
+    e, third = fx.task_events(spark, sf_dir), F.col("event_id") % 3 == 0
+    old = e.filter(~third).groupBy("task_id").agg(F.max_by("state", F.struct("ts", "event_id")).alias("state"), F.lit("old").alias("message"))
+    patches = e.filter(third).select("task_id", "ts", "event_id", F.when(F.col("event_id") % 2 == 0, F.col("state")).alias("state"), "progress")
+    return rounded(tasks.upserted(old, patches), "progress")
+
+
+@query(sql("task_events", "SELECT event_id, task_id, state FROM task_events WHERE task_id IN (SELECT task_id FROM task_events WHERE event_type = 'signup')"))
+def ev_rooms(spark, sf_dir):
+    """The events of tasks that have subscribers; here those that signed up."""
+    e = fx.task_events(spark, sf_dir)
+    return stream.subscribed(e, e.filter("event_type = 'signup'")).select("event_id", "task_id", "state")

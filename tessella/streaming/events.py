@@ -11,6 +11,16 @@ def room(events: DataFrame, task_id: str) -> DataFrame:
     return events.filter(F.col("task_id") == task_id)
 
 
+def subscribed(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """The events of tasks that someone is subscribed to, each once for all viewers of it (J11); subscriptions may be a stream's static side."""
+    return events.join(subscriptions.select("task_id").distinct(), "task_id", "left_semi")
+
+
+def delivered(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """A row for each event and viewer (viewer, task_id) of its task, nothing twice."""
+    return events.join(subscriptions.select("viewer", "task_id").distinct(), "task_id")
+
+
 def running_totals(events: DataFrame) -> DataFrame:
     return events.groupBy("task_id").agg(F.count("*").alias("n_events"), F.sum("tile_no").alias("tiles"), F.max("progress").alias("progress"))
 
