@@ -34,15 +34,17 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An image of 64 x 64 for each part, with three disjoint dark ellipses each; gray rises towards their edges. `ellipse` is the number of the ellipse or null."""
     side = F.sequence(F.lit(0), F.lit(63))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # one small file would be one task
-    p = _read(spark, sf_dir, "part").select("p_partkey").repartition(parts, "p_partkey").select(F.col("p_partkey").alias("img"), F.explode(side).alias("y")).select("*", F.explode(side).alias("x"))
-    gray, ellipse = 210 + (31 * F.col("x") + 17 * F.col("y") + 7 * F.col("img")) % 11, F.lit(None).cast("int")
-    for k, (cx, cy) in enumerate(((16, 16), (48, 18), (30, 46))):
-        rx, ry = 4 + (F.col("img") * 3 + k * 5) % 9, 3 + (F.col("img") * 7 + k * 2) % 8
-        q = (F.col("x") - cx) * (F.col("x") - cx) * ry * ry + (F.col("y") - cy) * (F.col("y") - cy) * rx * rx
-        limit = rx * rx * ry * ry
-        gray = F.when(q <= limit, 60 + F.floor(9 * q / limit)).otherwise(gray)
-        ellipse = F.when(q <= limit, k).otherwise(ellipse)
-    return p.select("img", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), gray.cast("int").alias("gray"), ellipse.alias("ellipse"))
+    centres, img = ((16, 16), (48, 18), (30, 46)), F.col("img")
+    squares = {f"{axis}{k}": F.pow(4 + (img * 3 + k * 5) % 9 if axis == "rx" else 3 + (img * 7 + k * 2) % 8, F.lit(2)).cast("long") for k in range(3) for axis in ("rx", "ry")}
+    p = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("img")).repartition(parts, "img").withColumns(squares)  # by image, so that the code by pixel stays small enough to be compiled
+    p = p.withColumn("y", F.explode(side)).withColumn("x", F.explode(side))
+    gray, ellipse = 210 + (31 * F.col("x") + 17 * F.col("y") + 7 * img) % 11, F.lit(None).cast("int")
+    for k, (cx, cy) in enumerate(centres):
+        rx, ry = F.col(f"rx{k}"), F.col(f"ry{k}")
+        q = (F.col("x") - cx) * (F.col("x") - cx) * ry + (F.col("y") - cy) * (F.col("y") - cy) * rx
+        gray = F.when(q <= rx * ry, 60 + F.floor(9 * q / (rx * ry))).otherwise(gray)
+        ellipse = F.when(q <= rx * ry, k).otherwise(ellipse)
+    return p.select("img", "x", "y", gray.cast("int").alias("gray"), ellipse.alias("ellipse"))
 
 
 def nuclei(spark: SparkSession, sf_dir: str) -> DataFrame:
