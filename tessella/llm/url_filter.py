@@ -13,19 +13,24 @@ from .common import ascii_lower, table
 
 #: Explicit rules (verdict, host, path).
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
-#: Labelled hosts and paths (1: block) from which the model learns; any such table can be given instead.
+#: Labelled hosts and paths (1: block) from which the model learns, made up from common words of each kind, not from any table that is judged.
+#: Any such table can be given instead.
 BLOCKED = """
-spam-farm.example.org/en/1 www.spam-farm.example.com/fr/20 cheap-pills.example.com/en/3 www.cheap-pills.example.net/de/41
-casino-bonus.example.net/play win-big-casino.example.org/es/5 free-money.example.com/now get-free-money.example.net/en/77
+junk-mail.example.org/en/1 www.spammers.example.com/fr/20 discount-pharmacy.example.com/en/3 www.pills-online.example.net/de/41
+casino-bonus.example.net/play big-jackpot.example.org/es/5 free-money.example.com/now get-free-gifts.example.net/en/77
 hot-singles.example.org/join adult-cams.example.com/fr/8 xxx-videos.example.net/en/9 porn-tube.example.com/watch
 click-bait.example.com/en/top10 buy-followers.example.net/order fake-watches.example.org/shop replica-bags.example.com/de/2
-seo-links.example.net/en/5 link-farm.example.com/es/31 pills-online.example.org/buy viagra-cheap.example.com/order.html
+seo-links.example.net/en/5 backlinks.example.com/es/31 cheap-meds.example.org/buy viagra-shop.example.com/order.html
+m.adult-chat.example.org/en/6 sports-betting.example.com/de/4 www.bet-now.example.org/bet adserver.example.net/track
+banner-ads.example.com/click click-tracker.example.org/ads online-casino.example.net/fr/6 slots-poker.example.com/en/2
 """.split()
 ALLOWED = """
 www.example.com/en/1 blog.example.net/fr/20 m.example.org/de/3 docs.example.com/guide/41 news.example.net/play
 science.example.org/es/5 library.example.com/now school.example.net/en/77 museum.example.org/join garden.example.com/fr/8
 weather.example.net/en/9 recipes.example.com/watch history.example.com/en/top10 maps.example.net/order wiki.example.org/shop
-www.thenth.example.com/de/2 blog.tionle.example.net/en/5 m.therer.example.com/es/31 forum.example.org/help thonan.example.com/order.html
+www.bakery.example.com/de/2 blog.orchard.example.net/en/5 m.railway.example.com/es/31 forum.example.org/buy theatre.example.com/order.html
+m.travel.example.org/en/6 cooking.example.com/de/4 www.physics.example.org/results archive.example.net/track
+gallery.example.com/click economics.example.org/pictures radio.example.net/fr/6 village.example.com/en/2
 """.split()
 #: Hash buckets, n-gram lengths, steps and rate of the fit, and its ridge.
 BUCKETS, LENGTHS, STEPS, RATE, RIDGE = 1 << 14, (3, 4, 5), 300, 1.0, 1e-3

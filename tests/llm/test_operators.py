@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.llm import chat, decontamination, jaccard_join, licenses, mixing, nearest, secrets, sharding, toxicity, url_filter
 from tessella.llm.queries import ORACLE_SQL, QUERIES
@@ -226,6 +227,37 @@ def test_urls(spark):
     assert all((score(h, p) > 0) == bool(y) for h, p, y in url_filter.seed_table())
 
 
+def judged(url):
+    """A URL's parts, rule and verdict, by plain string work; the verdict is None where no rule fits."""
+    rest = url.partition("://")[2] if url and "://" in url else ""
+    host = re.split("[/?#]", rest)[0]
+    path = re.split("[?#]", rest[len(host) :])[0]
+    host = "".join(c.lower() if c.isascii() else c for c in host)
+    fits = [(len(h + p), h + p, v) for v, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    _, rule, verdict = max(fits, default=(0, None, None))
+    return host, path, rule, verdict
+
+
+def test_urls_equal_brute_force(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    more = [(-1, None), (-2, ""), (-3, "a://b://c.com/en/x"), (-4, "x://É.COM/en/"), (-5, "http://com/en/" + "y" * 50_000), (-6, "http://a.org/es"), (-6, "http://a.org/es"), (None, "http://q?x/en/"), (-7, "://net/de/\n?z")]
+    d = pages.union(spark.createDataFrame(more, "page_id long, url string"))
+    d = d.select("*", F.lit("mine").alias("verdict"), F.lit(1).alias("host"))
+    given = d.collect()
+    out = url_filter.judge_urls(d).collect()
+    key = lambda i: (i is None, i)
+    wanted = Counter((r["page_id"], *judged(r["url"])[:3]) for r in given)
+    assert Counter((r["page_id"], r["host"], r["path"], r["rule"]) for r in out) == wanted
+    ruled = {judged(r["url"])[2]: judged(r["url"])[3] for r in given}
+    w, b = url_filter.fit(url_filter.seed_table())
+    for r in sorted(out, key=lambda r: key(r["page_id"])):
+        f = url_filter.features(r["host"], r["path"])
+        score = 1 / (1 + np.exp(-(b + w[f].sum() / np.sqrt(max(len(f), 1)))))
+        assert abs(r["score"] - score) < 1e-5
+        assert r["verdict"] == (ruled[r["rule"]] if r["rule"] else "block" if r["score"] >= 0.5 else "allow")
+    assert url_filter.judge_urls(d.limit(0)).count() == 0
+
+
 def test_chats_round_trip(spark):
     rows = [(1, 0, "user", "a<|im_end|>\n<\\|b"), (1, 1, "assistant", None), (1, 2, "assistant", "<|im_start|>é<"), (2, 0, "as\nsistant\\", "x"), (None, None, None, None)]
     pieces = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
@@ -360,6 +392,24 @@ def test_nearest_recall_and_ties(spark):
     assert list(out[out.query_id == 100].sort_values("rank").vec_id) == list(range(101, 111))
 
 
+def test_nearest_recall_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "SHARD", 300)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1500, 16))
+    v = spark.createDataFrame([(i, r.tolist(), 1, "mine") for i, r in enumerate(x)], "vec_id long, embedding array<double>, rank int, node string")
+    out = nearest.nearest_neighbours(v, v.filter("vec_id % 50 = 0")).toPandas()
+    hits = 0
+    for q, g in out.groupby("query_id"):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        g = g.sort_values("rank")
+        assert list(g["rank"]) == list(range(1, 11)) and (np.diff(g.score) >= 0).all() and np.allclose(g.score, d[g.vec_id])
+        hits += len(set(g.vec_id) & set(np.argsort(d)[1:11]))
+    assert out.query_id.nunique() == 30 and hits >= 0.9 * 300
+    few = spark.createDataFrame([(i, [float(i), 1.0]) for i in (1, 2, 2, 3)], "vec_id long, embedding array<double>")
+    assert sorted((r["query_id"], r["vec_id"]) for r in nearest.nearest_neighbours(few, few).collect()) == [(a, b) for a in (1, 2, 3) for b in (1, 2, 3) if a != b]
+    assert nearest.nearest_neighbours(few.limit(0), few.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_sql(spark, name):
     import duckdb
