@@ -113,12 +113,13 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", temp
     alike = common.groupBy("license", "rival").agg((F.count("*") / F.greatest(F.first("n"), F.first("m"))).alias("share")).filter(F.col("share") >= RIVALS)
     sized = sized.join(alike.groupBy("license").agg(F.collect_set("rival").alias("rivals")), "license", "left")
     found = bands(windows(paired(docs.select(F.col(key).alias("id"), F.col(text).alias("text"))))).join(F.broadcast(own), "m")
-    hits = found.join(F.broadcast(sized), "license").select("id", "license", "at", "long", "rivals", F.size("whole").alias("n"), F.array_intersect("whole", "pairs").alias("both"))
+    hits = found.join(F.broadcast(sized), "license").select("id", "license", "at", "long", F.size("whole").alias("n"), F.array_intersect("whole", "pairs").alias("both"))
     stretch = F.explode(F.array(F.floor(F.col("at") / (2 * F.col("long"))) * 2, F.floor((F.col("at") + F.col("long")) / (2 * F.col("long"))) * 2 + 1)).alias("stretch")
-    rows = hits.select("id", "license", "at", "long", "rivals", "n", "both", stretch).withColumn("pair", F.explode("both"))
-    share = rows.groupBy("id", "license", "stretch").agg((F.count_distinct("pair") / F.first("n")).alias("share"), F.min("at").alias("at"), F.first("long").alias("long"), F.first("rivals").alias("rivals"))
-    best = share.filter(F.col("share") >= contained).groupBy("id", "license").agg(F.max_by(F.struct("share", "at", "long", "rivals"), F.struct("share", -F.col("at"))).alias("b"))
-    held = best.groupBy("id").agg(F.collect_list(F.struct("license", "b.*")).alias("held"))  # one entry for each template at most
+    rows = hits.select("id", "license", "at", "n", stretch, F.explode("both").alias("pair"))
+    share = rows.groupBy("id", "license", "stretch").agg((F.count_distinct("pair") / F.first("n")).alias("share"), F.min("at").alias("at"))
+    best = share.filter(F.col("share") >= contained).groupBy("id", "license").agg(F.max(F.struct("share", (-F.col("at")).alias("back"))).alias("b"))
+    best = best.select("id", "license", "b.share", (-F.col("b.back")).alias("at")).join(F.broadcast(sized.select("license", "long", "rivals")), "license")
+    held = best.groupBy("id").agg(F.collect_list(F.struct("license", "share", "at", "long", "rivals")).alias("held"))  # one entry for each template at most
 
     def beaten(x):
         near = lambda y: (F.abs(y["at"] - x["at"]) < x["long"]) & (y["share"] > x["share"])
