@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators import analysis, models, tasks
 from tessella.sources import codec
+from tessella.streaming import events
 
 
 def drawn(noise: int = 10) -> np.ndarray:
@@ -82,3 +83,15 @@ def test_upserts(spark):
     out = sorted(map(tuple, tasks.upserted(old, patches).collect()))
     assert out == [("a", "failed", "x", 50.0), ("b", "pending", None, None), ("c", "pending", None, None)]
     assert sorted(r[0] for r in tasks.upserted(old, patches.limit(0)).collect()) == ["a", "b"]
+
+
+def test_pages_schedules_and_rooms(spark):
+    t = spark.createDataFrame([("a", 1, "reading", 3, 4), ("b", 2, "saving", 4, 4), ("c", 3, "reading", 9, 0)], "task_id string, created_at int, state string, read int, tiles int")
+    assert [(r["task_id"], r["total"]) for r in tasks.with_total(t, 1, 1).collect()] == [("b", 3)]
+    percent = {r["task_id"]: r["p"] for r in t.select("task_id", tasks.schedule(F.col("state"), F.col("read"), F.col("tiles")).alias("p")).collect()}
+    assert percent == {"a": 45.0, "b": 90.0, "c": 60.0}
+    s = spark.createDataFrame([("v", "a"), ("v", "a"), ("w", "a")], "viewer string, task_id string")
+    assert events.subscribed(t, s).count() == 1
+    assert sorted(r["viewer"] for r in events.delivered(t, s).collect()) == ["v", "w"]
+    d = spark.range(1).select(analysis.density_um(F.lit(8), F.lit(400), F.lit(400)).alias("d"), analysis.degrees(F.lit(np.pi / 2)).alias("g")).collect()[0]
+    assert d["d"] == pytest.approx(800) and d["g"] == pytest.approx(90)
