@@ -110,14 +110,14 @@ INDEX = "shard int, n int, d int, x binary, level binary, links array<binary>"
 
 
 def build_index(vectors: DataFrame) -> DataFrame:
-    """Distinct vectors (shard, node, x) to one row (INDEX) and its nodes for each shard, built by one task for each."""
+    """Distinct vectors (d, shard, node, x), d being their length, to one row (INDEX) and its nodes for each length and shard, built by one task for each."""
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         x = np.array(rows["x"].tolist(), np.float64)
         g = Graph(x)
         return pd.DataFrame([{"shard": rows["shard"].iloc[0], "n": x.shape[0], "d": x.shape[1], "x": x.tobytes(), "level": g.level.tobytes(), "links": [a.tobytes() for a in g.links], "nodes": rows["node"].tolist()}])
 
-    return vectors.groupBy("shard").applyInPandas(build, INDEX + ", nodes array<long>")
+    return vectors.groupBy("d", "shard").applyInPandas(build, INDEX + ", nodes array<long>")
 
 
 def _search(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
@@ -143,7 +143,8 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, key: str = "vec_i
     Equal vectors are one node of a graph with their k + 1 smallest ids, as ties go to smaller ids and no query can need
     more. Shards hold equal shares of the nodes, so their number grows with the table; a block of queries meets each
     shard in one task. Vectors that are null, zero or hold null or non-finite components take no part, nor do rows
-    without id; vectors are compared with those of their own length only. A row is no neighbour of its own id; repeated
+    without id; vectors are compared with those of their own length only,
+    of which there may be any number. A row is no neighbour of its own id; repeated
     rows of one id count once. Fewer candidates than k: all that are found.
     """
     assert k <= NEAREST
@@ -154,20 +155,15 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, key: str = "vec_i
     firsts = firsts.select("node", "vec_id")
     distinct = rows.groupBy("node").agg(F.first("x").alias("x"))
     shards = max(1, -(-rows.count() // SHARD))
-    placed = distinct.withColumn("length", F.size("x")).withColumn("shard", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(shards)).cast("int"))
-    lengths = [r["length"] for r in placed.select("length").distinct().limit(1001).collect()]
-    assert len(lengths) <= 1000, "more than 1000 different vector lengths"
-    number = F.element_at(F.create_map(*[F.lit(v) for p in enumerate(sorted(lengths)) for v in p[::-1]]), F.col("length")) if lengths else F.lit(0)
-    index = stage(build_index(placed.select((F.col("shard") + number * shards).cast("int").alias("shard"), "node", "x")), "index")
+    placed = distinct.withColumn("d", F.size("x")).withColumn("shard", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(shards)).cast("int"))
+    index = stage(build_index(placed.select("d", "shard", "node", "x")), "index")
     asked = queries.filter(usable(F.col(vector)) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("query_id"), as_double.alias("q")).distinct()
-    asked = asked.withColumn("length", F.size("q"))
-    asked = asked.filter(F.col("length").isin(lengths or [-1]))
     blocks = max(1, -(-asked.count() // BLOCK))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    asked = asked.withColumn("shard", every).select((F.col("shard") + number * shards).cast("int").alias("shard"), "block", "query_id", "q")
+    asked = asked.select(F.size("q").alias("d"), every.alias("shard"), "block", "query_id", "q")
     index = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = index.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(_search, "query_id long, node long, score double")
+    found = index.groupBy("d", "shard", "block").cogroup(asked.groupBy("d", "shard", "block")).applyInPandas(_search, "query_id long, node long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = found.join(firsts, "node").filter("vec_id != query_id").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

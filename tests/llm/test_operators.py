@@ -410,6 +410,13 @@ def test_nearest_recall_over_shards(spark, monkeypatch):
     assert nearest.nearest_neighbours(few.limit(0), few.limit(0)).count() == 0
 
 
+def test_nearest_with_many_vector_lengths(spark):
+    rows = [(2 * n + i, [1.0 + i] * n) for n in range(1, 1105) for i in (0, 1)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in nearest.nearest_neighbours(v, v.filter("vec_id % 400 < 2")).collect())
+    assert found == [(q, 1, q ^ 1) for q, _ in rows if q % 400 < 2]
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_sql(spark, name):
     import duckdb
