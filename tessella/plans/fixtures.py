@@ -30,21 +30,36 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.tile_grid(slides(spark, sf_dir))
 
 
-def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An image of 64 x 64 for each part, with three disjoint dark ellipses each; gray rises towards their edges. `ellipse` is the number of the ellipse or null."""
-    side = F.sequence(F.lit(0), F.lit(63))
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(img and the squared radii of its ellipses) for each part, in many tasks; by image, so that the code by pixel stays small enough to be compiled."""
+    squares = {f"{axis}{k}": F.pow(4 + (F.col("img") * 3 + k * 5) % 9 if axis == "rx" else 3 + (F.col("img") * 7 + k * 2) % 8, F.lit(2)).cast("long") for k in range(3) for axis in ("rx", "ry")}
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # one small file would be one task
-    centres, img = ((16, 16), (48, 18), (30, 46)), F.col("img")
-    squares = {f"{axis}{k}": F.pow(4 + (img * 3 + k * 5) % 9 if axis == "rx" else 3 + (img * 7 + k * 2) % 8, F.lit(2)).cast("long") for k in range(3) for axis in ("rx", "ry")}
-    p = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("img")).repartition(parts, "img").withColumns(squares)  # by image, so that the code by pixel stays small enough to be compiled
-    p = p.withColumn("y", F.explode(side)).withColumn("x", F.explode(side))
-    gray, ellipse = 210 + (31 * F.col("x") + 17 * F.col("y") + 7 * img) % 11, F.lit(None).cast("int")
-    for k, (cx, cy) in enumerate(centres):
+    return _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("img")).repartition(parts, "img").withColumns(squares)
+
+
+def _pixel(x, y):
+    """(gray, ellipse) at a place of an image."""
+    gray, ellipse = 210 + (31 * x + 17 * y + 7 * F.col("img")) % 11, F.lit(None).cast("int")
+    for k, (cx, cy) in enumerate(((16, 16), (48, 18), (30, 46))):
         rx, ry = F.col(f"rx{k}"), F.col(f"ry{k}")
-        q = (F.col("x") - cx) * (F.col("x") - cx) * ry + (F.col("y") - cy) * (F.col("y") - cy) * rx
+        q = (x - cx) * (x - cx) * ry + (y - cy) * (y - cy) * rx
         gray = F.when(q <= rx * ry, 60 + F.floor(9 * q / (rx * ry))).otherwise(gray)
         ellipse = F.when(q <= rx * ry, k).otherwise(ellipse)
-    return p.select("img", "x", "y", gray.cast("int").alias("gray"), ellipse.alias("ellipse"))
+    return gray.cast("int"), ellipse
+
+
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An image of 64 x 64 for each part, with three disjoint dark ellipses each; gray rises towards their edges. `ellipse` is the number of the ellipse or null."""
+    side = F.sequence(F.lit(0), F.lit(63))
+    gray, ellipse = _pixel(F.col("x"), F.col("y"))
+    p = _parts(spark, sf_dir).withColumn("y", F.explode(side)).withColumn("x", F.explode(side))
+    return p.select("img", "x", "y", gray.alias("gray"), ellipse.alias("ellipse"))
+
+
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same images, each with its grey values row by row as one array; nothing is grouped."""
+    places = F.sequence(F.lit(0), F.lit(64 * 64 - 1))
+    return _parts(spark, sf_dir).select("img", F.transform(places, lambda at: _pixel(at % 64, F.floor(at / 64).cast("int"))[0]).alias("gray"))
 
 
 def nuclei(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions import formats, shape
 from ..functions import vectors as V
-from ..operators import analysis, grid, nuclei, raster, search, tasks
+from ..operators import analysis, grid, nuclei, raster, search, segment, tasks
 from ..sources import codec
 from ..streaming import events as stream
 from . import fixtures as fx
@@ -443,22 +443,31 @@ def fmt_short_path(spark, sf_dir):
     return fx.slides(spark, sf_dir).select("slide_id", formats.short_path(p).alias("short"), formats.base_name(p).alias("base"))
 
 
-def _images(spark, sf_dir):
-    p = fx.pixels(spark, sf_dir).groupBy("img").agg(F.array_sort(F.collect_list(F.struct("y", "x", "gray"))).alias("p"))
-    return p.select("img", F.transform("p", lambda v: v["gray"]).alias("gray"))
-
-
 @query(sql("pixels", "SELECT img, CAST(sum(gray) AS BIGINT) AS total, true AS same FROM pixels GROUP BY img"))
 def png_roundtrip(spark, sf_dir):
-    coded = _images(spark, sf_dir).withColumn("png", codec.png_of_gray(F.col("gray"), 64, 64))
+    coded = fx.images(spark, sf_dir).withColumn("png", codec.png_of_gray(F.col("gray"), 64, 64))
     back = codec.gray_of_png(F.unbase64(F.base64("png")))
     total = F.aggregate("gray", F.lit(0).cast("long"), lambda a, v: a + v)
     return coded.select("img", total.alias("total"), (back == F.col("gray")).alias("same"))
 
 
+@query()
+def seg_nuclei128(spark, sf_dir):
+    tiles = fx.images(spark, sf_dir).select("img", codec.png_of_gray(F.col("gray"), 64, 64).alias("png"))
+    return segment.nuclei128(tiles)
+
+
+@query()
+def seg_results12(spark, sf_dir):
+    """Green ellipses on a purple ground, as this profile takes what is less purple."""
+    colours = F.flatten(F.transform("gray", lambda g: F.array(g, 270 - g, g)))
+    tiles = fx.images(spark, sf_dir).select("img", codec.png_of_gray(colours, 64, 64, 3).alias("png"))
+    return segment.results12(tiles, segment.nuclei12(tiles))
+
+
 @query()
 def sr_bicubic(spark, sf_dir):
-    coded = _images(spark, sf_dir).select("img", codec.png_of_gray(F.col("gray"), 64, 64).alias("png")).withColumn("big", codec.gray_of_png(F.col("png"), 4))
+    coded = fx.images(spark, sf_dir).select("img", codec.png_of_gray(F.col("gray"), 64, 64).alias("png")).withColumn("big", codec.gray_of_png(F.col("png"), 4))
     return coded.select("img", F.size("big").alias("n"), F.array_min("big").alias("low"), F.array_max("big").alias("high"))
 
 
@@ -504,7 +513,7 @@ def stream_frames(spark, sf_dir):
 
 def _tiles(spark, sf_dir):
     """The images as PNG tiles of a slide."""
-    coded = _images(spark, sf_dir).select("img", codec.png_of_gray(F.col("gray"), 64, 64).alias("png"))
+    coded = fx.images(spark, sf_dir).select("img", codec.png_of_gray(F.col("gray"), 64, 64).alias("png"))
     return coded.withColumns({"tile_row": (F.col("img") % 6).cast("int"), "tile_col": (F.col("img") % 5).cast("int")})
 
 

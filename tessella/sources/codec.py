@@ -121,12 +121,12 @@ def unframe(data: bytes) -> list[dict]:
     return out
 
 
-def png_of_gray(gray, h: int, w: int):
-    """Column of PNGs (binary) of a column of grey values, row by row."""
+def png_of_gray(gray, h: int, w: int, bands: int = 1):
+    """Column of PNGs (binary) of a column of grey values, row by row; with three bands, of red, green and blue of each pixel."""
 
     @F.pandas_udf("binary")
     def of(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: encode_png(np.repeat(np.asarray(v, np.uint8).reshape(h, w, 1), 3, axis=2)))
+        return values.map(lambda v: encode_png(np.repeat(np.asarray(v, np.uint8).reshape(h, w, bands), 3 // bands, axis=2)))
 
     return of(gray)
 
