@@ -156,7 +156,8 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, key: str = "vec_i
     distinct = rows.groupBy("node").agg(F.first("x").alias("x"))
     shards = max(1, -(-rows.count() // SHARD))
     placed = distinct.withColumn("d", F.size("x")).withColumn("shard", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(shards)).cast("int"))
-    index = stage(build_index(placed.select("d", "shard", "node", "x")), "index")
+    # Few bytes, but long work for each shard: a given number of partitions keeps them from being merged into few tasks.
+    index = stage(build_index(placed.select("d", "shard", "node", "x").repartition(2 * shards, "d", "shard")), "index")
     asked = queries.filter(usable(F.col(vector)) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("query_id"), as_double.alias("q")).distinct()
     blocks = max(1, -(-asked.count() // BLOCK))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
