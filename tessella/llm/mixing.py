@@ -119,21 +119,22 @@ def draw(planned: DataFrame) -> DataFrame:
     )
 
 
-def pack(docs: DataFrame, row=None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def pack(docs: DataFrame, row=None, carried: tuple = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, planned, pieces): the documents as intervals of their source's word stream, the plan, and the part of each block in each document.
 
-    row: the column that tells rows apart, if docs is staged with one.
+    row: the column that tells rows apart, if docs is staged with one. carried: further columns of docs that rows keep.
     """
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         "source",
         F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         (F.monotonically_increasing_id() if row is None else row).alias("row"),
+        *carried,
     )
     rows = stage(rows, "mixing")
     planned = stage(plan(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), "plan")
     known = rows.alias("r").join(planned.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")))
-    known = known.select("doc_id", F.col("r.source").alias("source"), "size", "row", "source_size", "target", "rank")
+    known = known.select("doc_id", F.col("r.source").alias("source"), "size", "row", "source_size", "target", "rank", *carried)
     placed = running_before(known, "rank", ["doc_id", "size", "row"], "size", "start")
     placed = stage(placed, "placed")
     last = F.floor((F.col("start") + F.col("size") - 1) / BLOCK)
@@ -185,12 +186,16 @@ def _cut(batches):
 def drawn_blocks(docs: DataFrame) -> DataFrame:
     """(out_shard, position, source, block, words): the mix of docs (doc_id, text, source) itself, one row for each drawn block.
 
-    words are the block's words parted by blanks; position numbers the blocks of an output shard from 0. The draws are
+    Texts meet their rows' places by id and two hashes of 96 bits together, so that no copy of the table is staged. words
+    are the block's words parted by blanks; position numbers the blocks of an output shard from 0. The draws are
     those that mix counts.
     """
-    rows = numbered(docs.select("doc_id", "text", "source")).select("_row", "doc.*")
-    placed, planned, _ = pack(rows, F.col("_row"))
-    texts = placed.filter("size > 0").select(F.col("row").alias("_row"), "rank", "start").join(rows.select("_row", "text").hint("merge"), "_row")
+    prints = (F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.xxhash64("text").alias("_hash"), F.crc32(F.encode("text", "UTF-8")).alias("_crc"))
+    known = ["_id", "_hash", "_crc"]
+    marked = docs.select("doc_id", "text", "source", *prints)
+    placed, planned, _ = pack(marked, carried=tuple(known))
+    once = marked.filter(F.col("text").isNotNull()).select(*known, "text").dropDuplicates(known)
+    texts = placed.filter("size > 0").select(*known, "rank", "start").join(once.hint("merge"), known)
     cut = texts.select("rank", "start", "text").mapInPandas(_cut, "rank long, block long, at long, words string")
     blocks = cut.groupBy("rank", "block").agg(F.array_sort(F.collect_list(F.struct("at", "words"))).alias("w"))
     blocks = blocks.select("rank", "block", F.concat_ws(" ", "w.words").alias("words"))

@@ -580,3 +580,6 @@ def test_drawn_blocks_are_the_mix(spark):
     words = Counter(int(w[1 : w.index("w")]) for b in out.words for w in b.split(" "))
     assert words == +Counter({r["doc_id"]: r["taken"] for r in mixing.mix(docs).collect()})
     assert mixing.drawn_blocks(empty(spark)).count() == 0
+    repeated = spark.createDataFrame([*rows, *rows[:40], *[(None, t, s) for _, t, s in rows[:40]], (None, None, "a")], docs.schema)
+    drawn = mixing.drawn_blocks(repeated).selectExpr("sum(size(split(words, ' ')))").first()[0]
+    assert drawn == mixing.mix(repeated).groupBy().sum("taken").first()[0]
