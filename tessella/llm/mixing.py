@@ -203,7 +203,7 @@ def drawn_blocks(docs: DataFrame) -> DataFrame:
     return out.select("out_shard", "position", "source", "block", "words")
 
 
-def op10_mixing_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mixing_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn_blocks(table(spark, sf_dir, "documents"))
 
 

@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL for an independent engine."""
 
-from . import chat, decontamination, jaccard_join, licenses, mixing, nearest, secrets, sharding, toxicity, url_filter
+from . import chat, conversation_repair, decontamination, jaccard_join, licenses, line_dedup, mixing, nearest, secrets, sharding, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filters": url_filter.op1_url_filters,
@@ -13,11 +13,15 @@ QUERIES = {
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_nearest": nearest.op9_nearest,
     "op10_mixing": mixing.op10_mixing,
-    "op10_mixing_blocks": mixing.op10_mixing_blocks,
+    "mixing_blocks": mixing.mixing_blocks,
+    "op12_conversation_repair": conversation_repair.op12_conversation_repair,
+    "op13_line_dedup": line_dedup.op13_line_dedup,
 }
 ORACLE_SQL = {
     "op2_secret_scans": secrets.ORACLE_SQL,
     "op4_sharding": sharding.ORACLE_SQL,
     "op7_jaccard_join": jaccard_join.ORACLE_SQL,
     "op8_chat_formatting": chat.ORACLE_SQL,
+    "op12_conversation_repair": conversation_repair.ORACLE_SQL,
+    "op13_line_dedup": line_dedup.ORACLE_SQL,
 }
