@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL for an independent engine."""
 
-from . import chat, conversation_repair, decontamination, jaccard_join, licenses, line_dedup, mixing, nearest, secrets, sharding, toxicity, url_filter
+from . import chat, conversation_repair, decontamination, jaccard_join, licenses, line_dedup, mixing, nearest, secrets, sharding, token_alignment, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filters": url_filter.op1_url_filters,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_nearest": nearest.op9_nearest,
     "op10_mixing": mixing.op10_mixing,
     "mixing_blocks": mixing.mixing_blocks,
+    "op11_token_alignment": token_alignment.op11_token_alignment,
     "op12_conversation_repair": conversation_repair.op12_conversation_repair,
     "op13_line_dedup": line_dedup.op13_line_dedup,
 }
