@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from tessella.plans import records as _records  # noqa: F401  registers its queries
+from tessella.plans import records as _records, slides as _slides  # noqa: F401  register their queries
 from tessella.plans.queries import QUERIES, SQL
 
 DIR = "/root/testdata/sf0.001"
