@@ -18,7 +18,7 @@ from .common import stage, table, text_batches
 FOLDER = "/opt/tokenizers"
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: A worker aligns texts of about so many characters at a time (a longer text by itself), and forgets chunks after so many tokens.
-TEXT_CHARS, MEMO_TOKENS = 1_000_000, 3_000_000
+TEXT_CHARS, MEMO_TOKENS = 400_000, 2_500_000
 #: Pairs of ids with their counts are broadcast up to so many (about 64 bytes each); more meet their links by a shuffle.
 BROADCAST_PAIRS = 1_000_000
 #: Places over which the links of each pair are dealt in that shuffle: a pair may be in every document.
@@ -59,11 +59,13 @@ def cartesian(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> t
 
 
 def counted(owner: np.ndarray, a: np.ndarray, b: np.ndarray, times: np.ndarray) -> tuple:
-    """(owner, a, b, times), each pair of an owner once, sorted."""
-    order = np.lexsort((b, a, owner))
-    owner, a, b, times = owner[order], a[order], b[order], times[order]
-    new = np.flatnonzero(np.concatenate([[True], (np.diff(owner) != 0) | (np.diff(a) != 0) | (np.diff(b) != 0)])) if len(owner) else np.zeros(0, np.int64)
-    return owner[new], a[new], b[new], np.add.reduceat(times, new) if len(new) else times
+    """(owner, a, b, times), each pair of an owner once, sorted; ids below 2 ** 20, so that a row is one number."""
+    key = (owner.astype(np.int64) << 40) | (a.astype(np.int64) << 20) | b
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    first = key[new]
+    return first >> 40, (first >> 20) & 0xFFFFF, first & 0xFFFFF, np.add.reduceat(times[order], new) if len(new) else times
 
 
 def gathered(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -94,6 +96,10 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(len(self.b))]
         self.b_bytes = [piece_bytes(p) for p in pieces]
         self.a_size, self.b_size = (np.array([len(x) for x in table]) for table in (self.a_bytes, self.b_bytes))
+        ids = range(max(len(self.a_bytes), len(self.b_bytes)))
+        self.comma, self.bar, self.semicolon = (np.array([f"{i}{sign}" for i in ids], object) for sign in ",|;")
+        self.digits = np.array([len(str(i)) for i in ids])
+        self.encode = getattr(self.a, "encode_batch_fast", self.a.encode_batch)  # without offsets, where the library can
         rule = json.loads(source).get("pre_tokenizer") or {}
         plain = rule.get("type") == "ByteLevel" and rule.get("use_regex") and not rule.get("add_prefix_space")
         self.parts = plain and not any(re.search("[^▁]▁", p) for p in pieces)
@@ -103,48 +109,63 @@ class Aligner:
         self.codes: dict = {}
         self.good, self.strings = [], []
         self.n_a, self.n_b, self.n_groups, self.n_links, self.size, self.n_ends, self.n_pairs = (np.zeros(0, np.int64) for _ in range(7))
-        self.ends = np.zeros(0, np.int64)
-        self.pairs = [np.zeros(0, np.int64) for _ in range(3)]
+        self.ends = np.zeros(0, np.int32)
+        self.pairs = [np.zeros(0, np.int32) for _ in range(3)]
 
     def learn(self, chunks: list[str]) -> None:
         """Align chunks that are not known yet."""
-        ids_a = [e.ids for e in self.a.encode_batch([" " + c for c in chunks], add_special_tokens=False)]
+        ids_a = [e.ids for e in self.encode([" " + c for c in chunks], add_special_tokens=False)]
         ids_b = self.b.encode(chunks, num_threads=1)
-        for i, chunk in enumerate(chunks):
-            self.codes[chunk] = len(self.codes)
-            whole = b" " + chunk.encode()
-            good = b"".join(map(self.a_bytes.__getitem__, ids_a[i])) == whole and b"".join(map(self.b_bytes.__getitem__, ids_b[i])) == whole
-            self.good.append(good)
-            if not good:
-                ids_a[i], ids_b[i] = [], []
-        n_a, n_b = (np.fromiter(map(len, ids), np.int64, len(ids)) for ids in (ids_a, ids_b))
-        a, b = (np.fromiter(chain.from_iterable(ids), np.int64, n.sum()) for ids, n in ((ids_a, n_a), (ids_b, n_b)))
+        wholes = [b" " + c.encode() for c in chunks]
+        good = [True] * len(chunks)
+        if not (self._says(ids_a, wholes, self.a_bytes) and self._says(ids_b, wholes, self.b_bytes)):
+            for i, whole in enumerate(wholes):
+                good[i] = self._says(ids_a[i : i + 1], [whole], self.a_bytes) and self._says(ids_b[i : i + 1], [whole], self.b_bytes)
+                if not good[i]:
+                    ids_a[i], ids_b[i], wholes[i] = [], [], b""
+        self.codes.update(zip(chunks, range(len(self.codes), len(self.codes) + len(chunks))))
+        self.good += good
+        n_a, n_b, size = (np.fromiter(map(len, x), np.int64, len(x)) for x in (ids_a, ids_b, wholes))
+        a, b = (np.fromiter(chain.from_iterable(ids), np.int32, n.sum()) for ids, n in ((ids_a, n_a), (ids_b, n_b)))
         ends_a, ends_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
-        of_bytes = np.zeros(ends_a[-1] if len(a) else 0, np.uint8)
+        of_bytes = np.zeros(size.sum(), np.uint8)
         of_bytes[ends_a - 1] |= 1
         of_bytes[ends_b - 1] |= 2
         spans = SPAN.findall(of_bytes.tobytes().translate(LABELS))
-        in_a, in_b = ([s.count(label) + 1 for s in spans] for label in (b"A", b"B"))
-        size = np.zeros(len(chunks), np.int64)
-        np.add.at(size, np.repeat(np.arange(len(chunks)), n_a), self.a_size[a])
         ends = np.cumsum(np.fromiter(map(len, spans), np.int64, len(spans)))
+        in_a, in_b = (np.diff(np.cumsum(of_bytes & mine > 0)[ends - 1], prepend=0) for mine in (1, 2))
         chunk = np.repeat(np.arange(len(chunks)), size)[ends - 1] if len(ends) else np.zeros(0, np.int64)
         n_groups = np.bincount(chunk, minlength=len(chunks))
-        said_a, said_b, x, y, groups = list(map(str, a.tolist())), list(map(str, b.tolist())), 0, 0, []
-        for k, m in zip(in_a, in_b):
-            groups.append(f"{','.join(said_a[x : x + k])}|{','.join(said_b[y : y + m])}")
-            x, y = x + k, y + m
-        stops = np.cumsum(n_groups)
-        self.strings += [";".join(groups[s:e]) for s, e in zip((stops - n_groups).tolist(), stops.tolist())]
-        in_a, in_b = np.array(in_a, np.int64), np.array(in_b, np.int64)
+        self.strings += self._said(a, b, in_a, in_b, n_a + n_b)
         group, pa_, pb, times = cartesian(a, b, in_a, in_b)
         owner, pa_, pb, times = counted(chunk[group], pa_, pb, times)
         links = np.bincount(chunk, in_a * in_b, len(chunks)).astype(np.int64)
         more = {"n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": links, "size": size, "n_pairs": np.bincount(owner, minlength=len(chunks))}
         for name, values in more.items():
             setattr(self, name, np.concatenate([getattr(self, name), values]))
-        self.ends = np.concatenate([self.ends, ends - np.repeat(np.cumsum(size) - size, n_groups)])
-        self.pairs = [np.concatenate(p) for p in zip(self.pairs, (pa_, pb, times))]
+        self.ends = np.concatenate([self.ends, (ends - np.repeat(np.cumsum(size) - size, n_groups)).astype(np.int32)])
+        self.pairs = [np.concatenate([old, new.astype(np.int32)]) for old, new in zip(self.pairs, (pa_, pb, times))]
+
+    @staticmethod
+    def _says(ids: list, wholes: list, table: list) -> bool:
+        """Whether each row of ids stands for the bytes of its whole."""
+        parts = list(map(table.__getitem__, chain.from_iterable(ids)))
+        if b"".join(parts) != b"".join(wholes):
+            return False
+        at = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+        last = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) - 1
+        return bool(len(parts)) and bool((at[last] == np.cumsum(np.fromiter(map(len, wholes), np.int64, len(wholes)))).all())
+
+    def _said(self, a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray, tokens: np.ndarray) -> list[str]:
+        """The groups of each chunk as text; each id is followed by a comma, the last A id of a group by a bar and the last B id by a semicolon."""
+        last_a, last_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        last_a[np.cumsum(in_a) - 1], last_b[np.cumsum(in_b) - 1] = True, True
+        groups = np.arange(len(in_a))
+        order = np.argsort(np.concatenate([np.repeat(2 * groups, in_a), np.repeat(2 * groups + 1, in_b)]), kind="stable")
+        said = np.concatenate([np.where(last_a, self.bar[a], self.comma[a]), np.where(last_b, self.semicolon[b], self.comma[b])])[order]
+        stops = np.concatenate([[0], np.cumsum(self.digits[np.concatenate([a, b])[order]] + 1)])[np.cumsum(tokens)]
+        whole, starts = "".join(said.tolist()), np.concatenate([[0], stops[:-1]])
+        return [whole[s : max(s, e - 1)] for s, e in zip(starts.tolist(), stops.tolist())]
 
     def align(self, texts: list) -> dict:
         """Columns of the alignment, a row for each text."""
