@@ -37,6 +37,15 @@ def systematic_sample(tiles: DataFrame, rate: float = 0.25, most: int = 32) -> D
     return ranked.filter(F.array_contains(places, F.col("i").cast("long"))).select("slide_id", "tile_row", "tile_col", "i", "n", "k")
 
 
+def sampled_places(slides: DataFrame, grid: Grid = Grid(), rate: float = 0.25, most: int = 32) -> DataFrame:
+    """systematic_sample() of each slide's grid, from its counts alone: the places are made, not chosen, so nothing is ranked or shuffled."""
+    count = lambda size: F.greatest(F.ceil((size - grid.overlap) / grid.step).cast("long"), F.lit(int(grid.at_least_one)).cast("long"))
+    rows = slides.select("slide_id", count(F.col("height")).alias("rows"), count(F.col("width")).alias("cols")).withColumn("n", F.col("rows") * F.col("cols")).filter("n > 0")
+    rows = rows.withColumn("k", F.greatest(F.lit(1), F.least(F.lit(most), F.ceil(F.col("n") * rate))).cast("int"))
+    places = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.least(F.col("n") - 1, F.floor(j * (F.col("n") / F.col("k")))))))
+    return rows.select("*", places.alias("i")).select("slide_id", F.floor(F.col("i") / F.col("cols")).cast("int").alias("tile_row"), (F.col("i") % F.col("cols")).cast("int").alias("tile_col"), "i", "n", "k")
+
+
 def readable(slides: DataFrame, formats=EXTENSIONS) -> DataFrame:
     return slides.withColumn("ext", extension(F.col("file_path"))).filter(F.col("ext").isin(*formats))
 

@@ -139,26 +139,31 @@ def box_dimension(labelled: DataFrame, sizes=(2, 4, 8, 16, 32)) -> DataFrame:
     return every.join(slope, ["img", "label"], "left").select("img", "label", F.greatest(F.lit(1.0), F.least(F.lit(2.0), F.coalesce("slope", F.lit(1.0)))).alias("dimension"))
 
 
-def weight(i, j, h: int, w: int, overlap: int, compat: bool = True):
-    """Gaussian weight of row i, column j of an h x w tile, 1 at most, with edge ramps (F25, F26, A25); compat keeps the zero lines that the ramps make."""
+def weight(i, j, h, w, overlap, compat: bool = True):
+    """Gaussian weight of row i, column j of an h x w tile, 1 at most, with edge ramps (F25, F26, A25); compat keeps the zero lines that the ramps make.
+
+    h, w and overlap are numbers or columns; ramps are left out where they would meet.
+    """
     sigma = 0.3
-    at = lambda y, x: F.exp(-(F.pow(y - h / 2, F.lit(2.0)) / (2 * (sigma * h) ** 2) + F.pow(x - w / 2, F.lit(2.0)) / (2 * (sigma * w) ** 2)))
-    middle = at(F.lit(float(h // 2)), F.lit(float(w // 2)))  # the greatest of all; ramps leave it as it is
+    h, w, overlap = (F.lit(v) if isinstance(v, int) else v for v in (h, w, overlap))
+    at = lambda y, x: F.exp(-(F.pow(y - h / 2, F.lit(2.0)) / (2 * F.pow(sigma * h, F.lit(2.0))) + F.pow(x - w / 2, F.lit(2.0)) / (2 * F.pow(sigma * w, F.lit(2.0)))))
+    middle = at(F.floor(h / 2).cast("double"), F.floor(w / 2).cast("double"))  # the greatest of all; ramps leave it as it is
     value = at(i.cast("double"), j.cast("double")) / middle
-    if not compat or not (overlap < h / 2 and overlap < w / 2):
+    if not compat:
         return value
+    ramps = F.lit(1.0)
     for k, n in ((i, h), (j, w)):
-        value = value * F.when(k < overlap, k / overlap).otherwise(1.0) * F.when(k >= n - overlap, (k - (n - overlap)) / overlap).otherwise(1.0)
-    return value
+        ramps = ramps * F.when(k < overlap, k / overlap).otherwise(1.0) * F.when(k >= n - overlap, (k - (n - overlap)) / overlap).otherwise(1.0)
+    return value * F.when((overlap < h / 2) & (overlap < w / 2), ramps).otherwise(1.0)
 
 
-def blend(tiles: DataFrame, size: int, overlap: int, compat: bool = True) -> DataFrame:
-    """Tiles in long form (tile_row, tile_col, y, x, v) to canvas pixels (gy, gx, v): weighted mean, divisor 1 where weights vanish.
+def blend(tiles: DataFrame, size: int, overlap: int, compat: bool = True, by: tuple = ()) -> DataFrame:
+    """Tiles in long form (tile_row, tile_col, y, x, v) to canvas pixels (gy, gx, v): weighted mean, divisor 1 where weights vanish; a canvas for each value of `by`.
 
     Grouped by canvas pixel with partial sums, so no canvas is held anywhere; tiles of any number blend at once (R8, A10, J1, J2).
     """
     step = size - overlap
     w = weight(F.col("y"), F.col("x"), size, size, overlap, compat)
-    placed = tiles.select((F.col("tile_row") * step + F.col("y")).alias("gy"), (F.col("tile_col") * step + F.col("x")).alias("gx"), w.alias("w"), (w * F.col("v")).alias("wv"))
-    total = placed.groupBy("gy", "gx").agg(F.sum("w").alias("w"), F.sum("wv").alias("wv"))
-    return total.select("gy", "gx", (F.col("wv") / F.when(F.col("w") > 1e-6, F.col("w")).otherwise(1.0)).alias("v"))
+    placed = tiles.select(*by, (F.col("tile_row") * step + F.col("y")).alias("gy"), (F.col("tile_col") * step + F.col("x")).alias("gx"), w.alias("w"), (w * F.col("v")).alias("wv"))
+    total = placed.groupBy(*by, "gy", "gx").agg(F.sum("w").alias("w"), F.sum("wv").alias("wv"))
+    return total.select(*by, "gy", "gx", (F.col("wv") / F.when(F.col("w") > 1e-6, F.col("w")).otherwise(1.0)).alias("v"))

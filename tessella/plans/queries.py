@@ -255,7 +255,7 @@ def pyramid_levels(spark, sf_dir):
 k AS (SELECT *, greatest(1, least(32, ceil(n * 0.25::DOUBLE)))::INTEGER AS k FROM r)
 SELECT slide_id, tile_row, tile_col, i, n, k FROM k WHERE list_contains(list_transform(range(k), lambda j: least(n - 1, floor(j * (n::DOUBLE / k))::BIGINT)), i)"""))
 def tile_systematic_sample(spark, sf_dir):
-    return grid.systematic_sample(fx.tiles(spark, sf_dir)).withColumn("i", F.col("i").cast("long"))
+    return grid.sampled_places(fx.slides(spark, sf_dir))
 
 
 @query(sql("slides", "SELECT slide_id, file_path, lower(regexp_extract(file_path, '\\.[^./]*$')) AS ext FROM slides WHERE lower(regexp_extract(file_path, '\\.[^./]*$')) IN ('.svs', '.tif', '.tiff', '.ndpi', '.mrxs')"))

@@ -74,3 +74,11 @@ def test_jsonl_insert_scan_delete(spark, tmp_path):
     assert sorted(r["id"] for r in back.collect()) == [2, 3]
     left, gone = search.delete_task(rows, 8)
     assert gone == 2 and left.count() == 1
+
+
+def test_sampled_places_equal_the_ranked_sample_without_a_shuffle(spark):
+    slides = spark.range(1, 60).selectExpr("id slide_id", "int(100 + id * 97 % 5000) width", "int(80 + id * 211 % 7000) height")
+    places = grid.sampled_places(slides)
+    ranked = grid.systematic_sample(grid.tile_grid(slides))
+    assert sorted(map(tuple, places.collect())) == sorted(map(tuple, ranked.collect()))
+    assert "Exchange" not in places._jdf.queryExecution().executedPlan().toString()

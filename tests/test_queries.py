@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from tessella.plans import collections as _collections, records as _records, slides as _slides, streams as _streams  # noqa: F401  register their queries
+from tessella.plans import collections as _collections, mosaics as _mosaics, records as _records, slides as _slides, streams as _streams  # noqa: F401  register their queries
 from tessella.plans.queries import QUERIES, SQL
 
 DIR = "/root/testdata/sf0.001"
