@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..streaming import state
+from ..streaming import frames, pending, state
 from . import fixtures as fx
 from .fixtures import sql
 from .queries import query
@@ -44,3 +44,52 @@ def stream_cells(spark, sf_dir) -> DataFrame:
     clicks = lambda events: events.filter("event_type = 'click'").withColumnRenamed("progress", "value")
     rows = by_slices(spark, sf_dir, lambda events: state.cell_lists(clicks(events)), "append")
     return rows.select("task_id", "cell_no", "event_id", "tile_no", F.round("value", 6).alias("value"), F.round("total", 4).alias("total"))
+
+
+def _far(spark, sf_dir, ids: dict) -> DataFrame:
+    """Events (type by id) long after all others, so that watermarks pass these."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    last = events.agg((F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"))
+    kind = F.element_at(F.create_map(*[F.lit(x) for p in ids.items() for x in p]), F.col("event_id"))
+    rows = F.broadcast(last).crossJoin(spark.createDataFrame([(i,) for i in ids], "event_id long"))
+    return rows.select("event_id", "ts", F.lit(-1).cast("long").alias("user_id"), kind.alias("event_type"), F.lit(0.0).alias("value"), F.lit('{"k": 0}').alias("props"))
+
+
+@query("""WITH q AS (SELECT event_id AS request_id, ts AS asked FROM events WHERE event_type = 'signup'),
+r AS (SELECT event_id AS result_id, event_id - CAST(json_extract_string(props, '$.k') AS BIGINT) AS answer_to, ts AS answered_at, value FROM events WHERE event_type = 'purchase'),
+j AS (SELECT * FROM q FULL JOIN r ON answer_to = request_id AND answered_at >= asked AND answered_at <= asked + INTERVAL 2 HOUR)
+SELECT coalesce(request_id, answer_to) AS request_id, coalesce(result_id, -1) AS result_id, round(coalesce(value, -1), 4) AS value,
+  CASE WHEN asked IS NULL THEN 'unknown' WHEN answered_at IS NULL THEN 'timeout' WHEN row_number() OVER (PARTITION BY request_id ORDER BY answered_at, result_id) = 1 THEN 'done' ELSE 'repeated' END AS status FROM j""")
+def stream_pending_results(spark, sf_dir) -> DataFrame:
+    """Requests and the results that name them, as two streams: done, repeated, timed out or of an unknown id."""
+    base, events = state.fresh_folder(spark, "pending"), spark.read.parquet(f"{sf_dir}/events.parquet")
+    parts = [*state.in_slices(events, SLICES - 1, f"{base}/whole"), _far(spark, sf_dir, {-1: "signup", -2: "purchase"})]
+    for i, part in enumerate(parts):
+        part.select(events.columns).write.parquet(f"{base}/in/{i}")
+        stream = lambda: spark.readStream.schema(events.schema).parquet(f"{base}/in/*")
+        requests = stream().filter("event_type = 'signup'").select(F.col("event_id").alias("request_id"), F.col("ts").alias("at"))
+        k = F.get_json_object("props", "$.k").cast("long")
+        results = stream().filter("event_type = 'purchase'").select(F.col("event_id").alias("result_id"), (F.col("event_id") - k).alias("answer_to"), F.col("ts").alias("answered_at"), "value")
+        pairs = state.written(pending.answered(requests, results), f"{base}/run", "append")
+    rows = pending.settled(pairs.drop("batch"))
+    return rows.select("request_id", F.coalesce("result_id", F.lit(-1)).alias("result_id"), F.round(F.coalesce("value", F.lit(-1.0)), 4).alias("value"), "status")
+
+
+_FRAME = """CASE event_type WHEN 'signup' THEN CAST(json_object('magic', 'OME-TIFF', 'task', task_id, 'at', event_id) AS VARCHAR) WHEN 'view' THEN CAST(json_object('type', 'tile', 'row', tile_no % 6, 'col', tile_no % 5) AS VARCHAR)
+  WHEN 'click' THEN CAST(json_object('type', 'progress', 'message', '读取 ' || tile_no) AS VARCHAR) WHEN 'purchase' THEN CAST(json_object('type', 'final', 'outputPath', '/out/' || event_id) AS VARCHAR) END"""
+
+
+@query(sql("task_events", f"SELECT task_id, row_number() OVER (PARTITION BY task_id ORDER BY ts, event_id) AS seq, {_FRAME} AS body FROM task_events WHERE event_type <> 'error'"))
+def stream_frame_files(spark, sf_dir) -> DataFrame:
+    """Frames of every task, written in order by a stream with restarts and read back from its files."""
+    base, events = state.fresh_folder(spark, "frames"), spark.read.parquet(f"{sf_dir}/events.parquet")
+    number, of = F.col("tile_no"), lambda **fields: F.to_json(F.struct(*[(v if not isinstance(v, str) else F.lit(v)).alias(k) for k, v in fields.items()]))
+    body = (
+        F.when(F.col("event_type") == "signup", of(magic="OME-TIFF", task=F.col("task_id"), at=F.col("event_id"))).when(F.col("event_type") == "view", of(type="tile", row=number % 6, col=number % 5))
+        .when(F.col("event_type") == "click", of(type="progress", message=F.concat(F.lit("读取 "), number.cast("string")))).otherwise(of(type="final", outputPath=F.concat(F.lit("/out/"), F.col("event_id").cast("string"))))
+    )
+    for i, part in enumerate(state.in_slices(events, SLICES, f"{base}/whole")):
+        part.write.parquet(f"{base}/in/{i}")
+        tasks = fx.as_task_events(spark.readStream.schema(events.schema).parquet(f"{base}/in/*")).filter("event_type <> 'error'")
+        frames.framed_stream(tasks.select("task_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id", body.alias("body")), f"{base}/out", f"{base}/state")
+    return frames.read_frames(spark, f"{base}/out")
