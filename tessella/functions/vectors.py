@@ -26,7 +26,7 @@ def similarity(distance):
 
 
 def normalised(v):
-    return F.transform(v, lambda x: x / (norm(v) + 1e-8))
+    return F.zip_with(v, F.array_repeat(norm(v) + 1e-8, F.size(v)), lambda x, n: x / n)  # the norm once, not for each component
 
 
 def _products(b: list, wrap) -> list:

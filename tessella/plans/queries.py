@@ -156,38 +156,45 @@ def nuc_threshold(spark, sf_dir):
     return nuclei.with_score(fx.nuclei(spark, sf_dir)).filter("score >= 0.6").select("nucleus_id", F.array_join("tags", ",").alias("tags"))
 
 
-@query(sql("nuclei", """SELECT nucleus_id, round(greatest(0, least(1, area / 10000)), 9) AS v0, round(least(1, 2 * sqrt(area / pi()) / 500), 6) AS v7, round(least(1, istd / 80), 6) AS v10,
-  round(greatest(0, least(1, circ * (1 - least(rough, 3) / 3))), 6) AS v11 FROM nuclei"""))
+_CLIPPED = "list_transform([area / 10000, perimeter / 2000, circ, major / 500, ar / 10, sol, least(rough, 5) / 5, 2 * sqrt(area / pi()) / 500, rect, fd / 2, istd / 80, circ * (1 - least(rough, 3) / 3)], lambda v: greatest(0, least(1, v)))"
+
+
+def _in_parts(values, of: int):
+    """All numbers of an array as whole parts, in one text."""
+    return F.array_join(F.transform(values, lambda v: F.round(v * of).cast("long")), ",")
+
+
+@query(sql("nuclei", f"SELECT nucleus_id, array_to_string(list_transform({_CLIPPED}, lambda v: CAST(round(v * 1000000) AS BIGINT)), ',') AS vector FROM nuclei"))
 def nuc_vector12(spark, sf_dir):
+    """All twelve numbers, in millionths."""
     v = V.vector12(_nucleus_columns(shape.circularity(F.col("area"), F.col("perimeter"))))
-    out = rounded(fx.nuclei(spark, sf_dir).select("nucleus_id", *[v[i].alias(f"v{i}") for i in (0, 7, 10, 11)]), "v7", "v10", "v11")
-    return rounded(out, "v0", places=9)
+    return fx.nuclei(spark, sf_dir).select("nucleus_id", _in_parts(F.array(*v), 1_000_000).alias("vector"))
 
 
-def _expanded_sql(base: str, powers: str, products: str, pad: str) -> str:
+def _expanded_sql(base: str, powers: str, products: str, pad: str, last: str) -> str:
     return f"""b AS (SELECT nucleus_id, {base} AS b FROM nuclei),
 x AS (SELECT nucleus_id, list_concat({powers}, list_concat(list_transform(b, lambda v: sin(pi() * v)), list_concat(list_transform(b, lambda v: cos(pi() * v)),
   list_transform(flatten(list_transform(range(1, 11), lambda i: list_transform(range(i + 1, 11), lambda j: b[i] * b[j]))), lambda v: {products})))) AS e FROM b),
 y AS (SELECT nucleus_id, e, sqrt(list_sum(list_transform(e, lambda v: v * v)) + {pad}) + 1e-8::DOUBLE AS n FROM x)
-SELECT nucleus_id, round(n, 6) AS norm, round(e[1] / n, 6) AS v0, round(e[31] / n, 6) AS v30, round(e[51] / n, 6) AS v50, round(e[95] / n, 6) AS v94 FROM y"""
+SELECT nucleus_id, round(n, 6) AS norm, array_to_string(list_transform(list_concat(e, list_transform(range(33), lambda i: {last})), lambda v: CAST(round(v / n * 10000) AS BIGINT)), ',') AS vector FROM y"""
 
 
 def _expanded(spark, sf_dir, parts):
+    """The norm and all 128 numbers, in ten thousandths."""
     v = parts(_nucleus_columns(shape.circularity(F.col("area"), F.col("perimeter"))))
     whole = fx.nuclei(spark, sf_dir).select("nucleus_id", F.array(*v).alias("e"))
-    whole = whole.withColumn("norm", V.norm(F.col("e")) + 1e-8)
-    return rounded(whole.select("nucleus_id", "norm", *[(F.col("e")[i] / F.col("norm")).alias(f"v{i}") for i in (0, 30, 50, 94)]), "norm", "v0", "v30", "v50", "v94")
+    return whole.select("nucleus_id", F.round(V.norm(F.col("e")) + 1e-8, 6).alias("norm"), _in_parts(V.normalised(F.col("e")), 10_000).alias("vector"))
 
 
 _POW = "list_concat(list_transform(b, lambda v: {0}), list_concat(list_transform(b, lambda v: {1}), list_transform(b, lambda v: {2})))"
 
 
-@query(sql("nuclei", ", " + _expanded_sql("[area / 5000, perimeter / 500, least(1, circ), least(1, ar / 3), sol, least(1, rough / 2), major / 200, minor / 100, mi / 255, orientation / pi()]", _POW.format("tanh(v)", "tanh(v * v)", "tanh(v * v * v)"), "tanh(v)", "0")))
+@query(sql("nuclei", ", " + _expanded_sql("[area / 5000, perimeter / 500, least(1, circ), least(1, ar / 3), sol, least(1, rough / 2), major / 200, minor / 100, mi / 255, orientation / pi()]", _POW.format("tanh(v)", "tanh(v * v)", "tanh(v * v * v)"), "tanh(v)", "0", "0")))
 def nuc_vector128_js(spark, sf_dir):
     return _expanded(spark, sf_dir, lambda n: V.expanded_js(V.base_js(n)))
 
 
-@query(sql("nuclei", ", " + _expanded_sql("[tanh(area / 5000), tanh(perimeter / 500), tanh(circ), tanh(ar / 3), tanh(sol), tanh(rough / 2), tanh(major / 200), tanh(minor / 100), tanh(mi / 180), tanh(orientation / 3.14::DOUBLE)]", _POW.format("v", "v * v", "v * v * v"), "v", "33 * e[95] * e[95]")))
+@query(sql("nuclei", ", " + _expanded_sql("[tanh(area / 5000), tanh(perimeter / 500), tanh(circ), tanh(ar / 3), tanh(sol), tanh(rough / 2), tanh(major / 200), tanh(minor / 100), tanh(mi / 180), tanh(orientation / 3.14::DOUBLE)]", _POW.format("v", "v * v", "v * v * v"), "v", "33 * e[95] * e[95]", "e[95]")))
 def nuc_vector128_py(spark, sf_dir):
     return _expanded(spark, sf_dir, lambda n: V.expanded_py(V.base_py(n)))
 
