@@ -35,3 +35,38 @@ def base_name(path):
 
 def extension(path):
     return F.lower(F.regexp_extract(path, r"\.[^./]*$", 0))
+
+
+def first_part(id_, n: int = 8):
+    """The first n characters of an id."""
+    return F.left(id_, F.lit(n))
+
+
+def last_part(id_, n: int = 6):
+    return F.right(id_, F.lit(n))
+
+
+def fixed(value, places: int):
+    """A number with so many places, halves up; null as 0."""
+    scale = 10.0**places
+    return F.format_string(f"%.{places}f", F.floor(F.coalesce(value.cast("double"), F.lit(0.0)) * scale + 0.5) / scale)
+
+
+def percent(share, places: int = 0):
+    """A share of 1 as a percentage."""
+    return F.concat(fixed(F.coalesce(share.cast("double"), F.lit(0.0)) * 100, places), F.lit("%"))
+
+
+def zoom(factor):
+    """A viewer's zoom, with one place."""
+    return F.concat(fixed(factor, 1), F.lit("x"))
+
+
+def listed(items):
+    """Texts as one, parted by commas; null as empty."""
+    return F.array_join(F.coalesce(items, F.array().cast("array<string>")), ",")
+
+
+def items(text):
+    """A text's parts between commas without the empty ones; none of a null."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), ","), lambda t: t != "")

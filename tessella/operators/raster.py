@@ -119,6 +119,11 @@ def region_props(labelled: DataFrame, least_pixels: int = 40) -> DataFrame:
     )
 
 
+def labels(labelled: DataFrame) -> DataFrame:
+    """(img, labels): the distinct labels of each image, in order; null labels do not count."""
+    return labelled.groupBy("img").agg(F.array_sort(F.collect_set("label")).alias("labels"))
+
+
 def perimeter(labelled: DataFrame) -> DataFrame:
     """(img, label, perimeter): exposed pixel edges, four at least, times 0.886; neighbours by windows along rows and columns."""
     row, col = Window.partitionBy("img", "label", "y").orderBy("x"), Window.partitionBy("img", "label", "x").orderBy("y")

@@ -89,10 +89,15 @@ def cancelable(state):
 
 
 def level_or_base(levels, level):
-    """An array's element by number from 0; its first one where there is no such level."""
+    """An array's element by number from 0; its first one where there is no such level or none is asked for."""
     return F.coalesce(F.get(levels, level), F.get(levels, F.lit(0)))
 
 
+def level_or_error(levels, level):
+    """The same for reading: a level that is not there is an error."""
+    return F.when((level >= 0) & (level < F.size(levels)), F.get(levels, level)).otherwise(F.raise_error(F.concat(F.lit("no level "), level.cast("string"))))
+
+
 def analysis_status(enabled, total, analysed, abnormal):
     """(text, kind) of an analysis: labels are fixed values."""
     on = F.coalesce(enabled, F.lit(False))
@@ -123,3 +128,33 @@ def both_lists(a: DataFrame, b: DataFrame) -> DataFrame:
 def first_rows(rows: DataFrame, n: int, *order) -> DataFrame:
     """The first n rows of a total order, a report's list."""
     return rows.orderBy(*order).limit(n)
+
+
+def tile_layout(row, col, size):
+    """Where a received tile is drawn: (left, top); overlap does not count here."""
+    return F.struct((col * size).alias("left"), (row * size).alias("top"))
+
+
+def canvas_size(rows, cols, size):
+    return F.struct((cols * size).alias("width"), (rows * size).alias("height"))
+
+
+def merged(old: str, new: str, kind):
+    """A patch laid over a struct column of the same type (F45): fields that the patch leaves null stay, those of inner structs one by one."""
+
+    def pick(a, b, fields):
+        out = []
+        for f in fields:
+            x, y = a.getField(f.name), b.getField(f.name)
+            inner = getattr(f.dataType, "fields", None)
+            value = F.when(x.isNull(), y).when(y.isNull(), x).otherwise(F.struct(*pick(x, y, inner))) if inner else F.coalesce(y, x)
+            out.append(value.alias(f.name))
+        return out
+
+    a, b = F.col(old), F.col(new)
+    return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(F.struct(*pick(a, b, kind.fields)))
+
+
+def as_json(rows: DataFrame) -> DataFrame:
+    """Each row as one line of JSON, null fields left out (K1): what a command prints, or a text file's lines."""
+    return rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))

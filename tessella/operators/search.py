@@ -47,10 +47,11 @@ def insert_jsonl(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("task_id").json(path)
 
 
-def scan_jsonl(spark: SparkSession, path: str, schema: str, task_id: int | None = None) -> DataFrame:
-    """All rows or, pruned to its folder, those of one task; blank lines are skipped."""
+def scan_jsonl(spark: SparkSession, path: str, schema: str, task_id: int | None = None, k: int | None = None) -> DataFrame:
+    """All rows or, pruned to its folder, those of one task; blank lines are skipped. With k, a scan that ends once it has any k rows."""
     rows = spark.read.schema(schema).json(path)
-    return rows if task_id is None else rows.filter(F.col("task_id") == task_id)
+    rows = rows if task_id is None else rows.filter(F.col("task_id") == task_id)
+    return rows if k is None else rows.limit(k)
 
 
 def delete_task(rows: DataFrame, task_id: int) -> tuple[DataFrame, int]:

@@ -1,5 +1,8 @@
 """Tasks from their events: latest state, pages, search, counts, progress, the state machine."""
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,9 +25,15 @@ def page(tasks: DataFrame, offset: int = 0, limit: int = 20) -> DataFrame:
     return tasks.orderBy(F.desc("created_at"), "task_id").offset(offset).limit(min(limit, 100))
 
 
-def search(tasks: DataFrame, text: str) -> DataFrame:
+def search(tasks: DataFrame, text: str, columns: tuple = ("task_id", "state")) -> DataFrame:
+    """Tasks one of whose columns holds a text, in any case; blanks around the text do not count, an empty text finds all."""
     text = text.strip().lower()
-    return tasks.filter(F.lower("task_id").contains(text) | F.lower("state").contains(text))
+    return tasks.filter(reduce(or_, [F.coalesce(F.lower(c).contains(text), F.lit(False)) for c in columns])) if text else tasks
+
+
+def lag_ms(last, now):
+    """Milliseconds since the last activity."""
+    return F.unix_millis(now.cast("timestamp")) - F.unix_millis(last.cast("timestamp"))
 
 
 def progress(events: DataFrame) -> DataFrame:
