@@ -35,7 +35,7 @@ class Written(WriterCommitMessage):
 class VectorWriter(DataSourceArrowWriter):
     """Tasks write below `_staging/<batch>`, which no reader lists; the commit moves their files into the table and records the counts.
 
-    A batch whose record exists is not inserted again. A commit that ended halfway is undone by the next one of that batch:
+    What a failed batch's last tasks still stage is cleared by the next try. A batch whose record exists is not inserted again. A commit that ended halfway is undone by the next one of that batch:
     its files bear the batch's name.
     """
 
@@ -158,7 +158,8 @@ def build_lists(rows: DataFrame, folder: str, nlist: int = NLIST, training: int
     """Write rows (id, task_id, vec) into inverted lists below folder: `lists/list=<n>` as Parquet and `centres` (list, centre, radius, n).
 
     k-means is trained on at most `training` vectors, chosen by a hash of their ids; every vector goes into the list of
-    its nearest centre. radius is the largest distance of a member, so a search can tell which lists cannot matter.
+    its nearest centre. radius is the largest distance of a member, so a search can tell which lists cannot matter. A list of
+    any size is written by as many tasks as it needs.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -170,7 +171,7 @@ def build_lists(rows: DataFrame, folder: str, nlist: int = NLIST, training: int
     centres = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "list int, centre array<double>")
     listed = model.transform(rows.select("id", "task_id", "vec", array_to_vector("vec").alias("features"))).withColumnRenamed("prediction", "list").drop("features")
     listed = listed.join(F.broadcast(centres), "list").withColumn("away", V.l2(F.col("vec"), F.col("centre"))).drop("centre")
-    listed.repartition("list").write.partitionBy("list").parquet(f"{folder}/lists")
+    listed.hint("rebalance", "list").write.partitionBy("list").parquet(f"{folder}/lists")
     sizes = spark.read.parquet(f"{folder}/lists").groupBy("list").agg(F.max("away").alias("radius"), F.count("*").alias("n"))
     centres.join(F.broadcast(sizes), "list").coalesce(1).write.parquet(f"{folder}/centres")
 

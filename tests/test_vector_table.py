@@ -47,9 +47,9 @@ def test_a_failed_task_leaves_nothing(spark, tmp_path):
     broken = spark.range(0, 100, 1, 4).select("id", F.lit(1).alias("task_id"), F.array(F.when(F.col("id") == 99, F.raise_error(F.lit("lost"))).otherwise(F.lit(1.0))).alias("vec"))
     with pytest.raises(Exception, match="lost"):
         table.insert(broken, str(root), "a", 1)
-    assert not [f for f in files(root) if f.endswith((".parquet", ".json"))]
+    assert not [f for f in files(root) if f.endswith((".parquet", ".json")) and not f.startswith("_staging")]  # tasks that still ran may have staged files
     assert table.insert(broken.filter("id < 90"), str(root), "a", 1) == {"inserted": 90, "failed": 0}
-    assert table.stored(spark, str(root)).count() == 90
+    assert table.stored(spark, str(root)).count() == 90 and not [f for f in files(root) if f.startswith("_staging")]
 
 
 def test_a_halfway_commit_is_undone(spark, tmp_path):
