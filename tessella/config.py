@@ -1,6 +1,6 @@
 """Thresholds and layouts as frozen records; each operator takes one of them, so rules can be changed for a call."""
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields, replace
 
 
 @dataclass(frozen=True)
@@ -42,6 +42,18 @@ class Grid:
         return self.tile - self.overlap
 
 
+def configured(spark, record, prefix: str):
+    """A record with what the session sets under `spark.tessella.<prefix>.<field>` in place of its values, in their types; parts of a tuple are parted by commas."""
+
+    def read(text: str, old):
+        if isinstance(old, tuple):
+            return tuple(float(part) for part in text.split(","))
+        return text.strip().lower() in ("true", "1") if isinstance(old, bool) else type(old)(text)
+
+    given = {f.name: spark.conf.get(f"spark.tessella.{prefix}.{f.name}", None) for f in fields(record)}
+    return replace(record, **{name: read(text, getattr(record, name)) for name, text in given.items() if text is not None})
+
+
 #: File extensions, task states and their labels and colours, labels of reasons and tags.
 EXTENSIONS = (".svs", ".tif", ".tiff", ".ndpi", ".mrxs")
 STATE_LABELS = {"pending": "等待中", "reading": "读取图像", "super_resolving": "超分重构", "stitching": "图像拼接", "saving": "保存输出", "completed": "已完成", "failed": "失败", "cancelled": "已取消"}

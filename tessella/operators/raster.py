@@ -119,6 +119,34 @@ def region_props(labelled: DataFrame, least_pixels: int = 40) -> DataFrame:
     )
 
 
+#: Weights of red, green and blue in the luma of each profile; fixed values.
+LUMA = {"js": (0.299, 0.587, 0.114), "py": (0.2989, 0.5870, 0.1140)}
+
+
+def luma(red, green, blue, profile: str = "js"):
+    """Brightness of a colour."""
+    r, g, b = LUMA[profile]
+    return red * r + green * g + blue * b
+
+
+def bins(brightness):
+    """Brightness as a histogram counts it: halves up."""
+    return F.floor(brightness + 0.5).cast("int")
+
+
+def clamped(unit, profile: str = "py"):
+    """A value of 0 to 1 as 0 to 255 (F27): clipped and cut off, or clipped and rounded with halves to even."""
+    scaled = F.greatest(F.lit(0.0), F.least(F.lit(1.0), unit)) * 255
+    return (F.floor(scaled) if profile == "py" else F.bround(scaled)).cast("int")
+
+
+def boxes(labelled: DataFrame, profile: str = "js", least_pixels: int | None = None) -> DataFrame:
+    """(img, label, n, x, y, w, h) of regions with enough pixels (A22, P13): 40 in the js profile, 10 in py128, where a box is one narrower each way."""
+    least, more = {"js": (40, 1), "py12": (1, 1), "py128": (10, 0)}[profile]
+    r = labelled.groupBy("img", "label").agg(F.count("*").alias("n"), F.min("x").alias("x"), F.min("y").alias("y"), F.max("x").alias("x1"), F.max("y").alias("y1"))
+    return r.filter(F.col("n") >= (least if least_pixels is None else least_pixels)).select("img", "label", "n", "x", "y", (F.col("x1") - F.col("x") + more).alias("w"), (F.col("y1") - F.col("y") + more).alias("h"))
+
+
 def labels(labelled: DataFrame) -> DataFrame:
     """(img, labels): the distinct labels of each image, in order; null labels do not count."""
     return labelled.groupBy("img").agg(F.array_sort(F.collect_set("label")).alias("labels"))

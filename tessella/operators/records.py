@@ -158,3 +158,27 @@ def merged(old: str, new: str, kind):
 def as_json(rows: DataFrame) -> DataFrame:
     """Each row as one line of JSON, null fields left out (K1): what a command prints, or a text file's lines."""
     return rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
+
+
+def zipped(*lists: str):
+    """Columns of arrays as rows by their ordinal (J4): an array of structs (ordinal from 0, one field for each column); a shorter array ends in nulls."""
+    names = ", ".join(f"'{c}', z.{c}" for c in lists)
+    return F.expr(f"transform(arrays_zip({', '.join(lists)}), (z, i) -> named_struct('ordinal', i, {names}))")
+
+
+#: Places of the 12-number profile; fixed values.
+PLACES = {6: ("circularity", "solidity", "rectangularity"), 4: ("aspect_ratio", "boundary_roughness", "fractal_dim", "abnormality_score"), 3: ("major_axis", "minor_axis", "ecd", "intensity_std")}
+
+
+def rounded_profile(rows: DataFrame) -> DataFrame:
+    """Columns of the 12-number profile that rows has, rounded to its places; area and perimeter stay."""
+    return rows.withColumns({c: F.round(c, places) for places, columns in PLACES.items() for c in columns if c in rows.columns})
+
+
+def priority(reasons):
+    """(text, kind) of the first reason that a list of cells shows; fixed values, null without one."""
+    shown = {"low_circularity": ("非规则", "danger"), "high_aspect_ratio": ("拉长", "warning"), "high_roughness": ("毛糙", "warning")}
+    out = F.lit(None)
+    for reason, (text, kind) in reversed(shown.items()):
+        out = F.when(F.array_contains(reasons, reason), F.struct(F.lit(text).alias("text"), F.lit(kind).alias("kind"))).otherwise(out)
+    return out

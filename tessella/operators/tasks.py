@@ -25,6 +25,25 @@ def page(tasks: DataFrame, offset: int = 0, limit: int = 20) -> DataFrame:
     return tasks.orderBy(F.desc("created_at"), "task_id").offset(offset).limit(min(limit, 100))
 
 
+def numbered_page(tasks: DataFrame, number: int, size: int = 10, most: int = 100) -> DataFrame:
+    """Page `number`, from 1, of a viewer: it starts at (number - 1) * size and asks for up to `most` tasks."""
+    return page(tasks, (max(number, 1) - 1) * size, most)
+
+
+def in_state(tasks: DataFrame, state: str | None = None) -> DataFrame:
+    """The tasks in a state; all of them if none is asked for."""
+    return tasks if state is None else tasks.filter(F.col("state") == state)
+
+
+def by_id(tasks: DataFrame, task_id: str, missing: str = "null") -> DataFrame:
+    """The task of an id: one row, with a message and no task where there is none, or an error if `missing` is "error"."""
+    asked = tasks.sparkSession.range(1).select(F.lit(task_id).alias("asked"))
+    found = F.broadcast(asked).join(tasks.filter(F.col("task_id") == task_id).limit(1), F.col("asked") == F.col("task_id"), "left")
+    told = F.concat(F.lit("no task "), "asked")
+    message = F.when(F.col("task_id").isNull(), F.raise_error(told) if missing == "error" else told).cast("string")
+    return found.withColumn("message", message)
+
+
 def search(tasks: DataFrame, text: str, columns: tuple = ("task_id", "state")) -> DataFrame:
     """Tasks one of whose columns holds a text, in any case; blanks around the text do not count, an empty text finds all."""
     text = text.strip().lower()

@@ -137,6 +137,29 @@ def unframe(data: bytes) -> list[dict]:
     return out
 
 
+def png_files(rows, folder: str):
+    """Write rows (name, png) as files below a folder, which is made as needed, and give (name, path, length) of each (K4).
+
+    A name may hold folders. A task that runs again writes the same files again; a null image writes none.
+    """
+
+    def run(frames):
+        import posixpath
+
+        from .slides import located
+
+        to, base = located(folder)
+        for frame in frames:
+            frame = frame[frame.png.notna()]
+            for name, png in zip(frame.name, frame.png):
+                to.create_dir(posixpath.dirname(f"{base}/{name}"), recursive=True)
+                with to.open_output_stream(f"{base}/{name}") as out:
+                    out.write(bytes(png))
+            yield pd.DataFrame({"name": frame.name, "path": [f"{folder}/{n}" for n in frame.name], "length": [len(p) for p in frame.png]})
+
+    return rows.select("name", "png").mapInPandas(run, "name string, path string, length long")
+
+
 def png_of_gray(gray, h: int, w: int, bands: int = 1):
     """Column of PNGs (binary) of a column of grey values, row by row; with three bands, of red, green and blue of each pixel."""
 

@@ -361,3 +361,17 @@ def region(path, level, x, y, width, height):
         return pd.DataFrame([one(*row) for row in zip(path, level, x, y, width, height)], columns=["image", "error"], dtype=object)
 
     return of(path, level, x, y, width, height)
+
+
+def each_tile(tiles: DataFrame, callback, schema: str) -> DataFrame:
+    """Rows that a callback gives for each tile of slide_tiles(): callback(row) returns a tuple of the schema.
+
+    Tiles of one file reach it row by row as they are read, within Spark's tasks; an exception fails its task.
+    """
+
+    def run(frames):
+        names = [part.split()[0] for part in schema.split(",")]
+        for frame in frames:
+            yield pd.DataFrame([callback(row) for row in frame.itertuples(index=False)], columns=names)
+
+    return tiles.mapInPandas(run, schema)

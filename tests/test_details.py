@@ -82,3 +82,44 @@ def test_resampling_equals_plain_loops(size, to):
             for c in range(3):
                 value = sum(a * b * int(image[j, i, c]) for j, a in enumerate(down) for i, b in enumerate(across))
                 assert abs(int(found[y, x, c]) - min(255, max(0, value))) <= 0.5 + 1e-6
+
+
+def test_settings_of_the_session(spark):
+    from tessella.config import Grid, Soft, configured
+
+    given = {"spark.tessella.grid.tile": "256", "spark.tessella.grid.at_least_one": "false", "spark.tessella.soft.circularity": "0.7,0.5,0.4", "spark.tessella.soft.threshold": "0.25"}
+    for k, v in given.items():
+        spark.conf.set(k, v)
+    try:
+        assert configured(spark, Grid(), "grid") == Grid(256, 32, False)
+        assert configured(spark, Soft(), "soft") == Soft(circularity=(0.7, 0.5, 0.4), threshold=0.25)
+    finally:
+        for k in given:
+            spark.conf.unset(k)
+    assert configured(spark, Grid(), "grid") == Grid()
+
+
+def test_lookups(spark):
+    rows = spark.createDataFrame([("a", "failed", 1), ("a", "failed", 1), ("b", "pending", 2), (None, None, 3)], "task_id string, state string, created_at int")
+    assert [(r["task_id"], r["message"]) for r in tasks.by_id(rows, "a").collect()] == [("a", None)]
+    assert [(r["task_id"], r["message"]) for r in tasks.by_id(rows, "z").collect()] == [(None, "no task z")]
+    with pytest.raises(Exception, match="no task z"):
+        tasks.by_id(rows, "z", "error").collect()
+    assert tasks.in_state(rows).count() == 4 and tasks.in_state(rows, "failed").count() == 2
+    assert [r["task_id"] for r in tasks.numbered_page(rows, 0).collect()] == [None, "b", "a", "a"] and tasks.numbered_page(rows, 2).count() == 0
+
+
+def test_zip_and_priority(spark):
+    rows = spark.createDataFrame([([1, 2], ["x"]), ([], []), (None, ["y"])], "a array<int>, b array<string>").select(records.zipped("a", "b").alias("z")).collect()
+    assert [r["z"] and [tuple(v) for v in r["z"]] for r in rows] == [[(0, 1, "x"), (1, 2, None)], [], None]
+    shown = spark.createDataFrame([(["high_roughness", "low_circularity"],), (["abnormal_size"],), (None,)], "r array<string>").select(records.priority(F.col("r")).alias("p")).collect()
+    assert [r["p"] and tuple(r["p"]) for r in shown] == [("非规则", "danger"), None, None]
+
+
+def test_png_files_and_clamps(spark, tmp_path):
+    image = codec.encode_png(np.zeros((2, 2, 3), np.uint8))
+    rows = spark.createDataFrame([("a/b c/é.png", bytearray(image)), ("x.png", None)], "name string, png binary")
+    assert [(r["name"], r["length"]) for r in codec.png_files(rows, str(tmp_path / "out")).collect()] == [("a/b c/é.png", len(image))]
+    assert (tmp_path / "out" / "a" / "b c" / "é.png").read_bytes() == image and not (tmp_path / "out" / "x.png").exists()
+    v = spark.createDataFrame([(-1.0,), (2.0,), (0.5,), (1.5 / 255,), (2.5 / 255,)], "v double").select(raster.clamped(F.col("v")), raster.clamped(F.col("v"), "js")).collect()
+    assert [tuple(r) for r in v] == [(0, 0), (255, 255), (127, 128), (1, 2), (2, 2)]

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from tessella.plans import collections as _collections, details as _details, ingest as _ingest, kinds as _kinds, mosaics as _mosaics, payloads as _payloads, records as _records, slides as _slides, streams as _streams  # noqa: F401  register their queries
+from tessella.plans import collections as _collections, details as _details, ingest as _ingest, kinds as _kinds, mosaics as _mosaics, payloads as _payloads, profiles as _profiles, records as _records, slides as _slides, streams as _streams  # noqa: F401  register their queries
 from tessella.plans.queries import QUERIES, SQL
 
 DIR = "/root/testdata/sf0.001"
