@@ -63,7 +63,7 @@ def taken_in(accepted: DataFrame, folder: str) -> DataFrame:
                         length += len(piece)
                 stored.append(f"{folder}/{under}/{stamped}")
                 lengths.append(length)
-            yield pd.DataFrame({"path": frame.path, "stored": stored, "length": lengths})
+            yield pd.DataFrame({"path": list(frame.path), "stored": stored, "length": lengths})
 
     under = F.lower(F.hex(F.xxhash64("path"))).alias("under")
     return accepted.select("path", "stamped", under).mapInPandas(run, "path string, stored string, length long")
