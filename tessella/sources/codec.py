@@ -155,7 +155,8 @@ def png_files(rows, folder: str):
                 to.create_dir(posixpath.dirname(f"{base}/{name}"), recursive=True)
                 with to.open_output_stream(f"{base}/{name}") as out:
                     out.write(bytes(png))
-            yield pd.DataFrame({"name": list(frame.name), "path": [f"{folder}/{n}" for n in frame.name], "length": [len(p) for p in frame.png]})
+            if len(frame):
+                yield pd.DataFrame({"name": list(frame.name), "path": [f"{folder}/{n}" for n in frame.name], "length": [len(p) for p in frame.png]})
 
     return rows.select("name", "png").mapInPandas(run, "name string, path string, length long")
 
