@@ -51,8 +51,8 @@ def search(tasks: DataFrame, text: str, columns: tuple = ("task_id", "state")) -
 
 
 def lag_ms(last, now):
-    """Milliseconds since the last activity."""
-    return F.unix_millis(now.cast("timestamp")) - F.unix_millis(last.cast("timestamp"))
+    """Whole milliseconds since the last activity."""
+    return F.floor((F.unix_micros(now.cast("timestamp")) - F.unix_micros(last.cast("timestamp"))) / 1000)
 
 
 def progress(events: DataFrame) -> DataFrame:

@@ -68,7 +68,7 @@ def task_nested_patch(spark, sf_dir) -> DataFrame:
 
 
 @query(sql("slides task_events", """, l AS (SELECT task_id, max(ts) AS ts FROM task_events GROUP BY 1), p AS (SELECT slide_id, file_path, 'task-' || slide_id AS task_id FROM slides)
-SELECT slide_id, p.task_id, file_path, coalesce(epoch_ms((SELECT max(ts) FROM task_events)) - epoch_ms(l.ts), -1) AS lag FROM p LEFT JOIN l USING (task_id) WHERE contains(lower(p.task_id), '7.tif') OR contains(lower(file_path), '7.tif')"""))
+SELECT slide_id, p.task_id, file_path, coalesce((epoch_us((SELECT max(ts) FROM task_events)) - epoch_us(l.ts)) // 1000, -1) AS lag FROM p LEFT JOIN l USING (task_id) WHERE contains(lower(p.task_id), '7.tif') OR contains(lower(file_path), '7.tif')"""))
 def task_search_path(spark, sf_dir) -> DataFrame:
     """Tasks whose id or file holds a keyword, with the time since their last event."""
     events = fx.task_events(spark, sf_dir)
