@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import nullcontext
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,7 +72,7 @@ def stream_pending_results(spark, sf_dir) -> DataFrame:
         requests = stream().filter("event_type = 'signup'").select(F.col("event_id").alias("request_id"), F.col("ts").alias("at"))
         k = F.get_json_object("props", "$.k").cast("long")
         results = stream().filter("event_type = 'purchase'").select(F.col("event_id").alias("result_id"), (F.col("event_id") - k).alias("answer_to"), F.col("ts").alias("answered_at"), "value")
-        pairs = state.written(pending.answered(requests, results), f"{base}/run", "append")
+        pairs = state.written(pending.answered(requests, results), f"{base}/run", "append", nullcontext)
     rows = pending.settled(pairs.drop("batch"))
     return rows.select("request_id", F.coalesce("result_id", F.lit(-1)).alias("result_id"), F.round(F.coalesce("value", F.lit(-1.0)), 4).alias("value"), "status")
 

@@ -126,14 +126,17 @@ def cell_lists(events: DataFrame) -> DataFrame:
     return keyed.transformWithState(CellList(), CELL_ROW, "Append", "EventTime")
 
 
-def written(stream: DataFrame, base: str, mode: str) -> DataFrame:
-    """Run a stream over all that is there now; what it gave so far, with the number of its batch. base holds output and state, so a later call goes on from there."""
+def written(stream: DataFrame, base: str, mode: str, store=rocksdb) -> DataFrame:
+    """Run a stream over all that is there now; what it gave so far, with the number of its batch. base holds output and state, so a later call goes on from there.
+
+    store: the context that chooses the state store; nullcontext for the session's own.
+    """
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")  # a batch that runs again replaces its own
 
     spark = stream.sparkSession
-    with rocksdb(spark):
+    with store(spark):
         query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
         query.awaitTermination()
     return spark.read.schema(f"{stream._jdf.schema().toDDL()}, batch long").parquet(f"{base}/out")

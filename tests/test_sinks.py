@@ -1,6 +1,7 @@
 """Frames by a stream sink, exactly once; results to pending requests over tables and streams."""
 
 import datetime as dt
+from contextlib import nullcontext
 from types import SimpleNamespace
 
 from tessella.streaming import frames, pending, state
@@ -47,5 +48,5 @@ def test_pending_over_streams_equals_tables(spark, tmp_path):
             cut = f"{at} < timestamp'{minutes(late)}' AND {at} >= timestamp'{minutes(-1 if i == 0 else 200)}'"
             rows.filter(cut).write.parquet(f"{tmp_path}/{name}/{i}")
         stream = lambda name, rows: spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/{name}/*")
-        pairs = state.written(pending.answered(stream("q", asked), stream("r", came)), f"{tmp_path}/run", "append")
+        pairs = state.written(pending.answered(stream("q", asked), stream("r", came)), f"{tmp_path}/run", "append", nullcontext)
     assert status(pending.settled(pairs.drop("batch"))) == table
