@@ -241,13 +241,14 @@ def repair_plan(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     placed = placed.select(F.col("conv_id").alias("_conv"), (F.col("before") + F.col("i") + 1).alias("_ordinal"), (F.col("at") + F.col("i")).alias("at"))
     pieces = report.select("conv_id", F.posexplode(F.regexp_extract_all("letters", F.lit("[IJ]*[DKRS]|[IJ]+$"), F.lit(0))).alias("ordinal", "piece"))
     pieces = pieces.withColumn("ordinal", (F.col("ordinal") + 1).cast("long"))
-    edits = pieces.join(placed, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("ordinal") == F.col("_ordinal")), "left").select("conv_id", "ordinal", "at", "piece")
+    # Spark takes what is exploded from few rows for small; merge joins keep it from broadcasting that.
+    edits = pieces.join(placed.hint("merge"), F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("ordinal") == F.col("_ordinal")), "left").select("conv_id", "ordinal", "at", "piece")
     return turns, report, edits
 
 
 def repaired(turns: DataFrame, edits: DataFrame) -> DataFrame:
     """(conv_id, ordinal, step, edit, role, text): the turns of the repaired conversations, each with its edit's letter."""
-    each = edits.join(turns.select("at", "role", "text"), "at", "left").select("conv_id", "ordinal", "role", "text", F.posexplode(F.split("piece", "")).alias("step", "edit"))
+    each = edits.join(turns.select("at", "role", "text").hint("merge"), "at", "left").select("conv_id", "ordinal", "role", "text", F.posexplode(F.split("piece", "")).alias("step", "edit"))
     inserted = F.col("edit").isin("I", "J")
     role = F.when(F.col("edit").isin(*INITIALS[0]), "user").when(F.col("edit").isin(*INITIALS[1]), "assistant").otherwise(F.col("role"))
     return each.filter(~F.col("edit").isin("D", "")).select("conv_id", "ordinal", "step", "edit", role.alias("role"), F.when(inserted, "").otherwise(F.col("text")).alias("text"))
