@@ -7,6 +7,7 @@ from contextlib import nullcontext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..streaming import events as folding
 from ..streaming import frames, pending, state
 from . import fixtures as fx
 from .fixtures import sql
@@ -95,3 +96,16 @@ def stream_frame_files(spark, sf_dir) -> DataFrame:
         tasks = fx.as_task_events(spark.readStream.schema(events.schema).parquet(f"{base}/in/*")).filter("event_type <> 'error'")
         frames.framed_stream(tasks.select("task_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id", body.alias("body")), f"{base}/out", f"{base}/state")
     return frames.read_frames(spark, f"{base}/out")
+
+
+@query(sql("slides task_events", """, t AS (SELECT 'task-' || slide_id AS task_id, 0.5::DOUBLE AS progress, 'created' AS message FROM slides WHERE slide_id % 2 = 0),
+u AS (SELECT task_id, arg_max(CASE WHEN tile_no % 3 > 0 THEN progress END, (ts, event_id)) FILTER (WHERE tile_no % 3 > 0) AS progress, arg_max(state, (ts, event_id)) FILTER (WHERE event_id % 2 = 0) AS message FROM task_events GROUP BY 1)
+SELECT task_id, round(coalesce(u.progress, t.progress), 6) AS progress, coalesce(u.message, t.message) AS message FROM t JOIN u USING (task_id)"""))
+def stream_fold_progress(spark, sf_dir) -> DataFrame:
+    """Updates of known tasks, folded into them as they stream in; some leave out progress or message (T4)."""
+    slides = fx.slides(spark, sf_dir).filter("slide_id % 2 = 0")
+    known = slides.select(F.concat(F.lit("task-"), F.col("slide_id").cast("string")).alias("task_id"), F.lit(0.5).alias("progress"), F.lit("created").alias("message"))
+    updates = fx.as_task_events(folding.read_events(spark, sf_dir))
+    updates = updates.withColumns({"progress": F.when(F.col("tile_no") % 3 > 0, F.col("progress")), "message": F.when(F.col("event_id") % 2 == 0, F.col("state")).otherwise("")})
+    rows = folding.drained(folding.folded_stream(known, updates))
+    return rows.select("task_id", F.round("progress", 6).alias("progress"), "message")

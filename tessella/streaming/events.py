@@ -53,6 +53,21 @@ def fold_progress(tasks: DataFrame, updates: DataFrame) -> DataFrame:
     return tasks.join(last, "task_id", "left").select("task_id", F.coalesce("new.progress", "progress").alias("progress"), message.alias("message"))
 
 
+def folded_stream(tasks: DataFrame, updates: DataFrame) -> DataFrame:
+    """fold_progress() for a stream of updates: known tasks that were updated so far, for complete mode (T4).
+
+    tasks is the stream's static side, so updates of unknown tasks fall out before any state is kept; progress and message are
+    the newest that are not null or empty.
+    """
+    known = updates.join(tasks.select("task_id", F.col("progress").alias("_progress"), F.col("message").alias("_message")), "task_id")
+    at = F.struct("ts", "event_id")
+    said = F.coalesce(F.col("message"), F.lit("")) != ""
+    out = known.groupBy("task_id").agg(
+        F.coalesce(F.max_by("progress", F.when(F.col("progress").isNotNull(), at)), F.first("_progress")).alias("progress"), F.coalesce(F.max_by("message", F.when(said, at)), F.first("_message")).alias("message")
+    )
+    return out
+
+
 def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """Run a stream over all that is there and give its result table, as Parquet in the shared folder, like its checkpoint.
 
