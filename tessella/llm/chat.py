@@ -91,7 +91,8 @@ def format_chats(rows: DataFrame, trained: str = "assistant") -> DataFrame:
     piece is the turn's part of the formatted conversation, which is their concatenation; loss_start and loss_length are
     the span of the escaped text, in code points of the piece, where the role is `trained` (else 0 and 0). Null roles and
     texts count as empty; turns order by turn (null first), role and text; rows without conv_id form a conversation of
-    their own. A conversation of any length is streamed in Arrow batches and never held whole.
+    their own; repeated rows are turns of their own, an empty table gives no rows, other columns are not read. A
+    conversation of any length is streamed in Arrow batches and never held whole.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     named = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"))
@@ -139,6 +140,7 @@ def _rows(done: list[tuple]) -> pa.RecordBatch:
 
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation and of one whose texts are control strings, read back from what format_chats() made."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
     extra = spark.range(2).select(

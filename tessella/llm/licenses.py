@@ -130,4 +130,5 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", temp
 
 
 def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every license that a document holds, one row for each."""
     return scan_licenses(table(spark, sf_dir, "documents"))

@@ -166,6 +166,7 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
     return mix(table(spark, sf_dir, "documents")).drop("row")
 
 

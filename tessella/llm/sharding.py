@@ -64,6 +64,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id",
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, among SHARDS and with one more."""
     return shard_documents(table(spark, sf_dir, "documents"))
 
 

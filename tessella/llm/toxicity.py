@@ -307,6 +307,7 @@ def toxicity_score(docs: DataFrame, labels: DataFrame):
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and verdict of every document; held_out tells those whose labels were not learned."""
     docs = table(spark, sf_dir, "documents")
     score = toxicity_score(docs, table(spark, sf_dir, "labels"))
     out = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score("text").alias("score"))

@@ -100,4 +100,5 @@ def judge_urls(urls: DataFrame, key: str = "page_id", url: str = "url", rules=RU
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page."""
     return judge_urls(table(spark, sf_dir, "pages"))
