@@ -144,8 +144,9 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, key: str = "vec_i
     more. Shards hold equal shares of the nodes, so their number grows with the table; a block of queries meets each
     shard in one task. Vectors that are null, zero or hold null or non-finite components take no part, nor do rows
     without id; vectors are compared with those of their own length only,
-    of which there may be any number. A row is no neighbour of its own id; repeated
-    rows of one id count once. Fewer candidates than k: all that are found.
+    of which there may be any number. A row is no neighbour of its own id; rows that repeat an id and its vector count
+    once. An id with several vectors is a candidate with each, and asks with each, its neighbours in one ranking. Fewer
+    candidates than k: all that are found. Other columns are not read.
     """
     assert k <= NEAREST
     as_double = F.col(vector).cast("array<double>")
