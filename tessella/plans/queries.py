@@ -182,7 +182,8 @@ SELECT nucleus_id, round(n, 6) AS norm, array_to_string(list_transform(list_conc
 def _expanded(spark, sf_dir, parts):
     """The norm and all 128 numbers, in ten thousandths."""
     v = parts(_nucleus_columns(shape.circularity(F.col("area"), F.col("perimeter"))))
-    whole = fx.nuclei(spark, sf_dir).select("nucleus_id", F.array(*v).alias("e"))
+    spread = fx.nuclei(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "nucleus_id")  # one small file would be one task
+    whole = spread.select("nucleus_id", F.array(*v).alias("e"))
     return whole.select("nucleus_id", F.round(V.norm(F.col("e")) + 1e-8, 6).alias("norm"), _in_parts(V.normalised(F.col("e")), 10_000).alias("vector"))
 
 
