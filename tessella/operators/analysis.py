@@ -5,6 +5,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +13,8 @@ from ..config import JS128, Rules
 from ..functions import shape
 from ..functions import vectors as V
 from ..sources.codec import decode_png
-from . import nuclei, raster
+from ..sources.shared import small_batches
+from . import images, nuclei, raster
 
 #: Weights of red, green and blue in the luma; fixed values.
 LUMA = (0.299, 0.587, 0.114)
@@ -34,17 +36,37 @@ def tile_pixels(tiles: DataFrame, image: str = "png") -> DataFrame:
     return p.select("img", (F.col("at") % F.col("w")).alias("x"), F.floor(F.col("at") / F.col("w")).cast("int").alias("y"), F.floor(F.col("light") + 0.5).cast("int").alias("gray"), "light")
 
 
+def tile_components(tiles: DataFrame, image: str = "png") -> DataFrame:
+    """tiles (img, tile_row, tile_col, PNG) to the labelled pixels of their dark components, as images.components() has them, with the tile's place.
+
+    A tile is decoded and labelled in one pass, so only the pixels of its regions leave it and none meets a shuffle.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, images.TOGETHER):
+                part = batch.slice(at, images.TOGETHER)
+                lights = [decode_png(p)[:, :, :3].astype(np.float64) @ np.array(LUMA) if p else np.zeros((0, 0)) for p in part.column(3).to_pylist()]
+                found = images.dark_pixels([(np.floor(light + 0.5).astype(np.int64), light) for light in lights])
+                if found:
+                    row = pa.array(found.pop("row"))
+                    yield pa.RecordBatch.from_arrays([*[part.column(i).take(row) for i in range(3)], *map(pa.array, found.values())], names=["img", "tile_row", "tile_col", *found])
+
+    small_batches(tiles.sparkSession)
+    places = [f"{c} {tiles.schema[c].dataType.simpleString()}" for c in ("tile_row", "tile_col")]
+    return tiles.select("img", "tile_row", "tile_col", image).mapInArrow(run, f"img {tiles.schema['img'].dataType.simpleString()}, {', '.join(places)}, {images.PIXELS.split(', ', 1)[1]}")
+
+
 def tile_nuclei(tiles: DataFrame, rules: Rules = JS128, size: int = 512, overlap: int = 32, scale: int = 4, image: str = "png") -> DataFrame:
     """tiles (img, tile_row, tile_col, PNG) to their nuclei: place in the slide, shape, reasons and the 128-part vector.
 
     img is an id of the tile. Nuclei are the dark 4-connected regions of Otsu's threshold with 40 pixels or more; box_x and
     box_y are places in the slide, as is the centre. Tiles without nuclei give no rows.
     """
-    labelled = raster.components(raster.otsu_mask(tile_pixels(tiles, image)))
-    r = raster.region_props(labelled).join(raster.perimeter(labelled), ["img", "label"])
+    r = raster.region_props(tile_components(tiles, image), keep=("tile_row", "tile_col"))
     aspect = F.when(F.col("thin") > 0, F.col("major") / F.col("thin")).otherwise(1.0)
     r = r.withColumns({"ar": aspect, "rough": shape.roughness(F.col("perimeter"), F.col("major"), F.col("thin")), "sol": F.col("solidity")})
-    r = nuclei.with_rules(r, rules).join(tiles.select("img", "tile_row", "tile_col"), "img")
+    r = nuclei.with_rules(r, rules)
     step = (size - overlap) * scale
     right, down = F.col("tile_col") * step, F.col("tile_row") * step
     base = V.base_js({**{c: F.col(c) for c in ("area", "perimeter", "circ", "ar", "sol", "rough", "major", "orientation")}, "minor": F.col("thin"), "mi": F.col("mean_light")})
@@ -62,7 +84,7 @@ def tile_results(tiles: DataFrame, found: DataFrame, width: int = 512, height: i
     """One row for each tile, those without nuclei too: counts, density (for each mm2) and anomaly score."""
     mm2 = max(width * height * micron * micron / 1e6, 1e-9)
     t = found.groupBy("img").agg(F.count("*").alias("total"), F.count_if("is_abnormal").alias("abnormal"), F.avg(F.when(F.col("is_abnormal"), 1 - F.col("circularity"))).alias("off"))
-    t = tiles.select("img", "tile_row", "tile_col").join(t, "img", "left").withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ("total", "abnormal")})
+    t = tiles.select("img", "tile_row", "tile_col").join(t.hint("merge"), "img", "left").withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ("total", "abnormal")})
     density = F.col("total") / F.lit(mm2)
     score = 0.5 * F.col("abnormal") / F.col("total") + 0.25 * F.least(F.lit(1.0), density / 8000) + 0.25 * F.coalesce("off", F.lit(0.0))
     return t.select("img", "tile_row", "tile_col", "total", "abnormal", density.alias("density"), F.when(F.col("total") > 0, F.least(F.lit(1.0), score)).otherwise(0.0).alias("score"))

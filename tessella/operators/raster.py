@@ -23,12 +23,12 @@ def otsu(pixels: DataFrame) -> DataFrame:
 
 def otsu_mask(pixels: DataFrame) -> DataFrame:
     """The pixels strictly darker than the threshold."""
-    return pixels.join(otsu(pixels), "img").filter(F.col("gray") < F.col("threshold")).drop("threshold")
+    return pixels.join(otsu(pixels).hint("merge"), "img").filter(F.col("gray") < F.col("threshold")).drop("threshold")
 
 
 def mean_std_mask(pixels: DataFrame, k: float = 0.3) -> DataFrame:
     cut = pixels.groupBy("img").agg((F.avg("gray") - k * F.stddev_pop("gray")).alias("cut"))
-    return pixels.join(cut, "img").filter(F.col("gray") < F.col("cut")).drop("cut")
+    return pixels.join(cut.hint("merge"), "img").filter(F.col("gray") < F.col("cut")).drop("cut")
 
 
 def label_runs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -97,16 +97,18 @@ def components(mask: DataFrame) -> DataFrame:
     return dealt.mapInPandas(_label, f"img long, x int, y int, gray int, {'light double, ' if light else ''}label int")
 
 
-def region_props(labelled: DataFrame, least_pixels: int = 40) -> DataFrame:
+def region_props(labelled: DataFrame, least_pixels: int = 40, keep: tuple = ()) -> DataFrame:
     """One row for each region of enough pixels: box, centre, covariance axes, orientation, mean and spread of grey (population statistics).
 
     cell_id numbers an image's regions that are kept, from 0 in raster order; the minor axis is 1 at least, `thin` is it as
-    measured. mean_light is the mean of `light`, where labelled has it, else of grey.
+    measured. mean_light is the mean of `light`, where labelled has it, else of grey. Where labelled has `edges`, each pixel's
+    exposed edges, there is a perimeter too. Columns of keep, alike for all of a region, are kept.
     """
+    more = [F.first(c).alias(c) for c in keep] + ([(F.greatest(F.lit(4), F.sum("edges")) * 0.886).alias("perimeter")] if "edges" in labelled.columns else [])
     light = "light" if "light" in labelled.columns else "gray"
     r = labelled.groupBy("img", "label").agg(
         F.count("*").alias("area"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"),
-        F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.var_pop("x").alias("sxx"), F.var_pop("y").alias("syy"), F.covar_pop("x", "y").alias("sxy"), F.avg("gray").alias("mean_gray"), F.stddev_pop("gray").alias("std_gray"), F.avg(light).alias("mean_light"),
+        F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.var_pop("x").alias("sxx"), F.var_pop("y").alias("syy"), F.covar_pop("x", "y").alias("sxy"), F.avg("gray").alias("mean_gray"), F.stddev_pop("gray").alias("std_gray"), F.avg(light).alias("mean_light"), *more,
     ).filter(F.col("area") >= least_pixels)
     half, det = (F.col("sxx") + F.col("syy")) / 2, F.col("sxx") * F.col("syy") - F.col("sxy") * F.col("sxy")
     root = F.sqrt(F.greatest(F.lit(0.0), half * half - det))

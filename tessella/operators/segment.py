@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..config import PY128, Rules, Soft
 from ..functions import shape
 from ..functions import vectors as V
-from ..sources.codec import decode_png
+from ..sources.codec import ROWS, decode_png
+from ..sources.shared import small_batches
 from . import nuclei
 from .analysis import LUMA
 
@@ -167,7 +168,8 @@ def _cut(profile: Profile):
             return [{"w": rgb.shape[1], "h": rgb.shape[0], "x": i, "y": j, "gray": gray[j, i], "light": rgb[j, i].mean()} for i, j in parts]
 
         for batch in images:
-            yield pd.Series([one(png) for png in batch], dtype=object)
+            for at in range(0, len(batch), ROWS):
+                yield pd.Series([one(png) for png in batch.iloc[at : at + ROWS]], dtype=object)
 
     return F.pandas_udf(of, NUCLEI)
 
@@ -257,6 +259,7 @@ def segmented(tiles: DataFrame, profile: Profile = PY12, image: str = "png") ->
     Null images and images without nuclei give no rows. No shuffle: a tile is the unit, and its nuclei stay in its task.
     """
     others = [c for c in tiles.columns if c != image]
+    small_batches(tiles.sparkSession)
     return tiles.select(*others, F.posexplode(_cut(profile)(F.col(image))).alias("at", "n"))
 
 
@@ -308,7 +311,7 @@ def nuclei12(tiles: DataFrame, profile: Profile = PY12, image: str = "png", soft
 def results12(tiles: DataFrame, found: DataFrame, threshold: float = 0.5) -> DataFrame:
     """One row for each tile, those without nuclei too: total, and abnormal by a score of the threshold or more."""
     n = found.groupBy("img").agg(F.count("*").alias("total"), F.count_if(F.col("abnormality_score") >= threshold).alias("abnormal"))
-    return tiles.select("img").join(n, "img", "left").select("img", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "abnormal")])
+    return tiles.select("img").join(n.hint("merge"), "img", "left").select("img", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "abnormal")])
 
 
 def nuclei128(tiles: DataFrame, profile: Profile = PY128_SEGMENTS, rules: Rules = PY128, image: str = "png") -> DataFrame:

@@ -5,10 +5,13 @@ CTE holds the same derivations for the independent engine.
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import grid
+from ..sources.shared import dealt, small_batches
 
 SUFFIXES = (".svs", ".TIF", ".tiff", ".ndpi", ".mrxs", ".png")
 
@@ -33,8 +36,7 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(img and the squared radii of its ellipses) for each part, in many tasks; by image, so that the code by pixel stays small enough to be compiled."""
     squares = {f"{axis}{k}": F.pow(4 + (F.col("img") * 3 + k * 5) % 9 if axis == "rx" else 3 + (F.col("img") * 7 + k * 2) % 8, F.lit(2)).cast("long") for k in range(3) for axis in ("rx", "ry")}
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # one small file would be one task
-    return _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("img")).repartition(parts, "img").withColumns(squares)
+    return keys(spark, sf_dir).withColumns(squares)
 
 
 def _pixel(x, y):
@@ -56,10 +58,62 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("img", "x", "y", gray.alias("gray"), ellipse.alias("ellipse"))
 
 
-def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same images, each with its grey values row by row as one array; nothing is grouped."""
-    places = F.sequence(F.lit(0), F.lit(64 * 64 - 1))
-    return _parts(spark, sf_dir).select("img", F.transform(places, lambda at: _pixel(at % 64, F.floor(at / 64).cast("int"))[0]).alias("gray"))
+def _images(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(gray, ellipse) of images, a row of 64 x 64 numbers for each key; -1 is no ellipse."""
+    key, y, x = keys.astype(np.int64)[:, None, None], np.arange(64)[None, :, None], np.arange(64)[None, None, :]
+    gray = (210 + (31 * x + 17 * y + 7 * (key % 11)) % 11).astype(np.int32)
+    ellipse = np.full(gray.shape, -1, np.int32)
+    for k, (cx, cy) in enumerate(((16, 16), (48, 18), (30, 46))):
+        rx, ry = (4 + (key * 3 + k * 5) % 9) ** 2, (3 + (key * 7 + k * 2) % 8) ** 2
+        box = np.s_[:, max(0, cy - 10) : cy + 11, max(0, cx - 12) : cx + 13]  # no radius is longer
+        q = (x[:, :, box[2]] - cx) ** 2 * ry + (y[:, box[1]] - cy) ** 2 * rx
+        inside = q <= rx * ry
+        np.copyto(gray[box], 60 + 9 * q // (rx * ry), where=inside, casting="unsafe")
+        ellipse[box][inside] = k
+    return gray.reshape(len(keys), -1), ellipse.reshape(len(keys), -1)
+
+
+def _lists(values: np.ndarray, missing: bool = False) -> pa.Array:
+    flat = pa.array(values.ravel(), mask=values.ravel() < 0 if missing else None)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]), flat)
+
+
+#: Images of one batch of the fixture, and of one task: neither grows with the table.
+BATCH, IMAGES = 128, 4096
+
+
+def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(img) of every part, a bounded number of images in a task."""
+    return dealt(_read(spark, sf_dir, "part").select(F.col("p_partkey").alias("img")), "img", IMAGES)
+
+
+def images(spark: SparkSession, sf_dir: str, ellipses: bool = False) -> DataFrame:
+    """The same images, each with its grey values, and its ellipses if asked, row by row as one array; nothing is grouped."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.column(0).slice(at, BATCH)
+                gray, ellipse = _images(part.to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([part, _lists(gray)] + [_lists(ellipse, True)] * ellipses, names=["img", "gray", "ellipse"][: 2 + ellipses])
+
+    small_batches(spark)
+    return keys(spark, sf_dir).mapInArrow(run, "img long, gray array<int>" + ", ellipse array<int>" * ellipses)
+
+
+def ellipse_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pixels of pixels() that lie in an ellipse; no others are made."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.column(0).to_numpy(zero_copy_only=False)[at : at + BATCH]
+                gray, ellipse = _images(part)
+                row, place = np.nonzero(ellipse >= 0)
+                columns = part[row], (place % 64).astype(np.int32), (place // 64).astype(np.int32), gray[row, place], ellipse[row, place]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["img", "x", "y", "gray", "ellipse"])
+
+    return keys(spark, sf_dir).mapInArrow(run, "img long, x int, y int, gray int, ellipse int")
 
 
 def nuclei(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,8 @@ import base64
 import json
 import struct
 import zlib
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -15,7 +17,8 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 def encode_png(image: np.ndarray) -> bytes:
     """8-bit RGB or RGBA image (h, w, c) as PNG, every row unfiltered, fastest compression."""
     h, w, c = image.shape
-    rows = np.concatenate([np.zeros((h, 1), np.uint8), image.astype(np.uint8).reshape(h, w * c)], axis=1)
+    rows = np.zeros((h, w * c + 1), np.uint8)
+    rows[:, 1:] = image.reshape(h, w * c)
 
     def chunk(kind: bytes, data: bytes) -> bytes:
         return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
@@ -35,6 +38,8 @@ def decode_png(data: bytes) -> np.ndarray:
     w, h, _, colour = struct.unpack(">IIBB", head[:10])
     c = 3 if colour == 2 else 4
     raw = np.frombuffer(zlib.decompress(idat), np.uint8).reshape(h, w * c + 1)
+    if not raw[:, 0].any():  # no row is filtered
+        return raw[:, 1:].reshape(h, w, c).copy()
     out = np.zeros((h + 1, w + 1, c), np.int32)  # a zero row above and a zero pixel to the left
     for y in range(h):
         line, above, kind = raw[y, 1:].reshape(w, c).astype(np.int32), out[y], raw[y, 0]
@@ -64,6 +69,21 @@ def unit_rgb(text: str) -> np.ndarray:
     return decode_png(base64.b64decode(text))[:, :, :3].astype(np.float32) / 255
 
 
+#: Rows that a task makes at once: a short PNG may hold a large image, so bytes of input do not bound those of output.
+ROWS = 64
+
+
+def by_rows(schema: str, one):
+    """A pandas UDF of a function of one value that hands on its results a few rows at a time."""
+
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for values in batches:
+            for at in range(0, len(values), ROWS):
+                yield pd.Series([one(v) for v in values.iloc[at : at + ROWS]], dtype=object)
+
+    return F.pandas_udf(of, schema)
+
+
 def unit_rgb_of(text):
     """Column of flat arrays of unit_rgb() of a column of base64 PNGs; null of a null and of what is no such PNG."""
 
@@ -73,13 +93,10 @@ def unit_rgb_of(text):
         except (ValueError, IndexError, struct.error, zlib.error):
             return None
 
-    @F.pandas_udf("array<float>")
-    def of(values: pd.Series) -> pd.Series:
-        return pd.Series([one(v) for v in values], dtype=object)
-
-    return of(text)
+    return by_rows("array<float>", one)(text)
 
 
+@lru_cache(maxsize=16)
 def cubic_weights(n: int, to: int, a: float = -0.5) -> np.ndarray:
     """(to, n) weights of bicubic resampling (Keys), edges renormalised; in shrinking the kernel is as wide as the new pixels."""
     at, wide = (np.arange(to) + 0.5) * n / to - 0.5, max(1.0, n / to)
@@ -161,28 +178,23 @@ def png_files(rows, folder: str):
     return rows.select("name", "png").mapInPandas(run, "name string, path string, length long")
 
 
-def png_of_gray(gray, h: int, w: int, bands: int = 1):
-    """Column of PNGs (binary) of a column of grey values, row by row; with three bands, of red, green and blue of each pixel."""
+def png_of_gray(gray, h: int, w: int, bands: int = 1, tint=None):
+    """Column of PNGs (binary) of a column of grey values, row by row; with three bands, of red, green and blue of each pixel, which tint may make of the grey values."""
 
-    @F.pandas_udf("binary")
-    def of(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: encode_png(np.repeat(np.asarray(v, np.uint8).reshape(h, w, bands), 3 // bands, axis=2)))
+    def one(v):
+        return encode_png(np.repeat(np.asarray(v if tint is None else tint(v), np.uint8).reshape(h, w, bands), 3 // bands, axis=2))
 
-    return of(gray)
+    return by_rows("binary", one)(gray)
 
 
 def gray_of_png(png, scale: int = 1):
     """Column of grey values, upscaled if asked, of a column of PNGs."""
 
-    @F.pandas_udf("array<int>")
-    def of(values: pd.Series) -> pd.Series:
-        def one(data):
-            image = decode_png(data)
-            return (upscale(image, scale) if scale > 1 else image)[:, :, 0].ravel().astype(np.int32)
-
-        return values.map(one)
+    def one(data):
+        image = decode_png(data)[:, :, :1]
+        return (upscale(image, scale) if scale > 1 else image).ravel().astype(np.int32)
 
-    return of(png)
+    return by_rows("array<int>", one)(png)
 
 
 #: The address that the schema fixes.

@@ -1,8 +1,8 @@
-"""The folder all executors share."""
+"""The folder all executors share, and how rows are dealt to tasks and batches that do not grow with a table."""
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -14,3 +14,15 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(given or tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
+
+
+def dealt(rows: DataFrame, by: str, most: int) -> DataFrame:
+    """rows by the hash of a column in as many partitions as shuffles have, or more, so that one has about `most` rows; a small file would be one task."""
+    usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(usual, -(-rows.count() // most)), by)
+
+
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> SparkSession:
+    """The session with batches to Python of a few megabytes, as rows may hold whole images."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    return spark
