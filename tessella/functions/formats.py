@@ -17,7 +17,8 @@ def duration(seconds):
 
 
 def file_size(n):
-    scaled = lambda by, places, unit: F.format_string(f"%.{places}f {unit}", n / by)
+    """Bytes as B, KB, MB or GB; halves to even, as a division by a power of two is exact."""
+    scaled = lambda by, places, unit: F.format_string(f"%.{places}f {unit}", F.bround(n / by, places))
     return F.when(n < 1 << 10, F.format_string("%d B", n)).when(n < 1 << 20, scaled(1 << 10, 1, "KB")).when(n < 1 << 30, scaled(1 << 20, 2, "MB")).otherwise(scaled(1 << 30, 2, "GB"))
 
 
