@@ -7,18 +7,20 @@ from ..config import EXTENSIONS, Grid
 from ..functions.formats import extension
 
 
-def tile_grid(slides: DataFrame, grid: Grid = Grid()) -> DataFrame:
-    """slides (slide_id, width, height) to one row for each tile, edges clipped; exploded in two steps, with no join."""
+def tile_grid(slides: DataFrame, grid: Grid = Grid(), counts: bool = False) -> DataFrame:
+    """slides (slide_id, width, height) to one row for each tile, edges clipped; exploded in two steps, with no join. counts adds the slide's rows and cols."""
 
     def count(size):
         n = F.ceil((size - grid.overlap) / grid.step).cast("int")
         return F.greatest(n, F.lit(1)) if grid.at_least_one else F.greatest(n, F.lit(0))
 
     every = lambda n: F.filter(F.sequence(F.lit(-1), n - 1), lambda i: i >= 0)
-    rows = slides.select("slide_id", "width", "height", F.explode(every(count(F.col("height")))).alias("tile_row"))
+    both = ["rows", "cols"] if counts else []
+    slides = slides.withColumns({"rows": count(F.col("height")), "cols": count(F.col("width"))}) if counts else slides
+    rows = slides.select("slide_id", "width", "height", *both, F.explode(every(count(F.col("height")))).alias("tile_row"))
     tiles = rows.select("*", F.explode(every(count(F.col("width")))).alias("tile_col"))
     x, y = F.col("tile_col") * grid.step, F.col("tile_row") * grid.step
-    return tiles.select("slide_id", "tile_row", "tile_col", x.alias("x"), y.alias("y"), F.least(F.lit(grid.tile), F.col("width") - x).alias("w"), F.least(F.lit(grid.tile), F.col("height") - y).alias("h"))
+    return tiles.select("slide_id", "tile_row", "tile_col", x.alias("x"), y.alias("y"), F.least(F.lit(grid.tile), F.col("width") - x).alias("w"), F.least(F.lit(grid.tile), F.col("height") - y).alias("h"), *both)
 
 
 def pyramid(slides: DataFrame, tile: int = 512) -> DataFrame:
