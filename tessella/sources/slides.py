@@ -19,7 +19,7 @@ from ..config import EXTENSIONS, Grid
 from .codec import encode_png
 
 # Tags and codes of the TIFF specification.
-WIDTH, HEIGHT, BITS, COMPRESSION, DESCRIPTION, SAMPLES, TILE_WIDTH, TILE_HEIGHT, OFFSETS, COUNTS, PHOTOMETRIC = 256, 257, 258, 259, 270, 277, 322, 323, 324, 325, 262
+WIDTH, HEIGHT, BITS, COMPRESSION, DESCRIPTION, SAMPLES, TILE_WIDTH, TILE_HEIGHT, OFFSETS, COUNTS, PHOTOMETRIC, PREDICTOR = 256, 257, 258, 259, 270, 277, 322, 323, 324, 325, 262, 317
 PLAIN, DEFLATE, OLD_DEFLATE = 1, 8, 32946
 TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 16: "Q"}
 
@@ -36,6 +36,7 @@ class Level:
     compression: int
     offsets: tuple
     counts: tuple
+    predictor: int = 1
 
 
 def _directories(read) -> list[dict]:
@@ -85,7 +86,7 @@ class Slide:
         self.path, self.file = path, filesystem.open_input_file(inner)
         tags = [t for t in _directories(self._read) if OFFSETS in t]
         one = lambda t, tag, default: t.get(tag, (default,))[0]
-        self.levels = [Level(one(t, WIDTH, 0), one(t, HEIGHT, 0), one(t, TILE_WIDTH, 0), one(t, TILE_HEIGHT, 0), one(t, SAMPLES, 1), one(t, COMPRESSION, PLAIN), t[OFFSETS], t[COUNTS]) for t in tags]
+        self.levels = [Level(one(t, WIDTH, 0), one(t, HEIGHT, 0), one(t, TILE_WIDTH, 0), one(t, TILE_HEIGHT, 0), one(t, SAMPLES, 1), one(t, COMPRESSION, PLAIN), t[OFFSETS], t[COUNTS], one(t, PREDICTOR, 1)) for t in tags]
         self.text = b"".join(tags[0].get(DESCRIPTION, (b"",))).rstrip(b"\0").decode() if tags else ""
         self._tile = lru_cache(maxsize=64)(self._decoded)
 
@@ -100,7 +101,11 @@ class Slide:
             data = zlib.decompress(data)
         elif of.compression != PLAIN:
             raise ValueError(f"compression {of.compression} is not supported")
+        if of.predictor not in (1, 2):
+            raise ValueError(f"predictor {of.predictor} is not supported")
         image = np.frombuffer(data, np.uint8).reshape(of.tile_height, of.tile_width, of.samples)
+        if of.predictor == 2:  # each pixel as its difference to the one on its left
+            image = np.cumsum(image, axis=1, dtype=np.uint8)
         return image[:, :, :3] if of.samples >= 3 else np.repeat(image[:, :, :1], 3, axis=2)
 
     def properties(self) -> dict:
@@ -127,7 +132,7 @@ class Slide:
 
 
 def tiff_bytes(levels: list[np.ndarray], description: str = "", tile: int = 64) -> bytes:
-    """A pyramid of RGB images as a tiled TIFF, little end first, deflated."""
+    """A pyramid of RGB images as a tiled TIFF, little end first, deflated after horizontal differences."""
     out, heads = bytearray(b"II*\0\0\0\0\0"), []
     for image in levels:
         h, w = image.shape[:2]
@@ -137,7 +142,8 @@ def tiff_bytes(levels: list[np.ndarray], description: str = "", tile: int = 64)
         offsets, counts = [], []
         for r in range(down):
             for c in range(across):
-                data = zlib.compress(np.ascontiguousarray(padded[r * tile : (r + 1) * tile, c * tile : (c + 1) * tile]).tobytes(), 1)
+                part = padded[r * tile : (r + 1) * tile, c * tile : (c + 1) * tile]
+                data = zlib.compress(np.diff(part, axis=1, prepend=np.zeros((tile, 1, 3), np.uint8)).tobytes(), 6)
                 offsets.append(len(out))
                 counts.append(len(data))
                 out += data
@@ -146,7 +152,7 @@ def tiff_bytes(levels: list[np.ndarray], description: str = "", tile: int = 64)
     for i, (w, h, offsets, counts) in enumerate(heads):
         note = description.encode() + b"\0"
         tags = [(WIDTH, 4, [w]), (HEIGHT, 4, [h]), (BITS, 3, [8, 8, 8]), (COMPRESSION, 3, [DEFLATE]), (PHOTOMETRIC, 3, [2])]
-        tags += [(DESCRIPTION, 2, note)] * (i == 0) + [(SAMPLES, 3, [3]), (TILE_WIDTH, 3, [tile]), (TILE_HEIGHT, 3, [tile]), (OFFSETS, 4, offsets), (COUNTS, 4, counts)]
+        tags += [(DESCRIPTION, 2, note)] * (i == 0) + [(SAMPLES, 3, [3]), (TILE_WIDTH, 3, [tile]), (TILE_HEIGHT, 3, [tile]), (OFFSETS, 4, offsets), (COUNTS, 4, counts), (PREDICTOR, 3, [2])]
         entries = b""
         for tag, kind, values in tags:
             raw = values if kind == 2 else struct.pack(f"<{len(values)}{TYPES[kind]}", *values)
