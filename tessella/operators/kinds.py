@@ -86,5 +86,5 @@ class _RunKind:
 
 def registered(spark: SparkSession) -> SparkSession:
     """The session with run_kind: SELECT * FROM run_kind('<kind>', TABLE(<query>))."""
-    spark.udtf.register("run_kind", udtf(_RunKind))
+    spark.udtf.register("run_kind", udtf(_RunKind, useArrow=True))
     return spark

@@ -30,7 +30,7 @@ def slides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.tile_grid(slides(spark, sf_dir))
+    return grid.tile_grid(dealt(slides(spark, sf_dir), "slide_id", 50_000))
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:

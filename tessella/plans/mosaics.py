@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import raster
+from ..sources.shared import dealt
 from .queries import query
 
-TILE, OVERLAP = 16, 4
+TILE, OVERLAP, IMAGES = 16, 4, 2048
 
 
 def _parts(spark, sf_dir) -> DataFrame:
-    """(img, size, over) of every part, in many tasks."""
+    """(img, size, over) of every part, a bounded number in a task, whose canvases then take bounded memory."""
     k = F.col("p_partkey")
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select(k.alias("img"), (16 + 8 * (F.col("p_size") % 3)).alias("size"), (1 + k % 9).cast("int").alias("over")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "img")
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(k.alias("img"), (16 + 8 * (F.col("p_size") % 3)).alias("size"), (1 + k % 9).cast("int").alias("over"))
+    return dealt(parts, "img", IMAGES)
 
 
 def _side(n):
