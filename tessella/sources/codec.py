@@ -84,16 +84,49 @@ def by_rows(schema: str, one):
     return F.pandas_udf(of, schema)
 
 
+def _unit_rgb(text) -> np.ndarray | None:
+    """unit_rgb() as a flat array; None of a null and of what is no such PNG."""
+    try:
+        return None if text is None else unit_rgb(text).ravel()
+    except (ValueError, IndexError, struct.error, zlib.error):
+        return None
+
+
 def unit_rgb_of(text):
     """Column of flat arrays of unit_rgb() of a column of base64 PNGs; null of a null and of what is no such PNG."""
+    return by_rows("array<float>", _unit_rgb)(text)
+
+
+#: What spans() gives.
+SPAN = "n int, mean double, least double, most double"
+
+
+def spans(column, read):
+    """Column of the SPAN of the numbers that read() makes of each value, nulls where it makes none.
+
+    A task holds the numbers of one value at a time and none leaves it, so neither batches nor rows hold whole images.
+    """
 
     def one(value):
-        try:
-            return None if value is None else unit_rgb(value).ravel()
-        except (ValueError, IndexError, struct.error, zlib.error):
-            return None
+        v = read(value)
+        return (None,) * 4 if v is None else (v.size, v.mean(dtype=np.float64), v.min(), v.max())
 
-    return by_rows("array<float>", one)(text)
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for values in batches:
+            out = pd.DataFrame([one(v) for v in values], columns=["n", "mean", "least", "most"])
+            yield out.astype({"n": "Int32", "mean": "float64", "least": "float64", "most": "float64"})
+
+    return F.pandas_udf(of, SPAN)(column)
+
+
+def span_of_unit_rgb(text):
+    """spans() of what unit_rgb_of() gives."""
+    return spans(text, _unit_rgb)
+
+
+def span_of_gray(png, scale: int = 1):
+    """spans() of what gray_of_png() gives."""
+    return spans(png, lambda data: None if data is None else _gray(data, scale))
 
 
 @lru_cache(maxsize=16)
@@ -187,14 +220,15 @@ def png_of_gray(gray, h: int, w: int, bands: int = 1, tint=None):
     return by_rows("binary", one)(gray)
 
 
+def _gray(data: bytes, scale: int) -> np.ndarray:
+    image = decode_png(data)[:, :, :1]
+    return (upscale(image, scale) if scale > 1 else image).ravel().astype(np.int32)
+
+
 def gray_of_png(png, scale: int = 1):
     """Column of grey values, upscaled if asked, of a column of PNGs."""
 
-    def one(data):
-        image = decode_png(data)[:, :, :1]
-        return (upscale(image, scale) if scale > 1 else image).ravel().astype(np.int32)
-
-    return by_rows("array<int>", one)(png)
+    return by_rows("array<int>", lambda data: _gray(data, scale))(png)
 
 
 #: The address that the schema fixes.
