@@ -70,13 +70,13 @@ def tile_nuclei(tiles: DataFrame, rules: Rules = JS128, size: int = 512, overlap
     step = (size - overlap) * scale
     right, down = F.col("tile_col") * step, F.col("tile_row") * step
     base = V.base_js({**{c: F.col(c) for c in ("area", "perimeter", "circ", "ar", "sol", "rough", "major", "orientation")}, "minor": F.col("thin"), "mi": F.col("mean_light")})
-    r = r.withColumn("_v", F.array(*V.expanded_js(base))).withColumn("_n", V.norm(F.col("_v")) + 1e-8)
+    r = r.withColumn("_v", F.array(*V.expanded_js(base)))
     return r.select(
         "img", "tile_row", "tile_col", "cell_id", (F.col("cx") + right).alias("centroid_x"), (F.col("cy") + down).alias("centroid_y"), (F.col("x0") + right).alias("bbox_x"), (F.col("y0") + down).alias("bbox_y"),
         F.col("box_w").alias("bbox_w"), F.col("box_h").alias("bbox_h"), "area", "perimeter", shape.ellipse_perimeter(F.col("major"), F.col("thin")).alias("convex_perimeter"),
         F.col("major").alias("major_axis"), F.col("minor").alias("minor_axis"), "orientation", F.least(F.lit(1.0), F.col("circ")).alias("circularity"), F.col("ar").alias("aspect_ratio"),
         "solidity", F.col("rough").alias("roughness"), F.col("mean_light").alias("mean_intensity"), "is_abnormal", F.col("reasons").alias("abnormal_reasons"),
-        F.transform("_v", lambda v: v / F.col("_n")).alias("feature_vector"),
+        V.normalised(F.col("_v")).alias("feature_vector"),
     )
 
 

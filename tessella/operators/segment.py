@@ -36,140 +36,196 @@ PY12, PY128_SEGMENTS = Profile(True, 2, 0.25, 80, 8000), Profile(False, 1, 0.4,
 XYZ = np.array([[0.412453, 0.357580, 0.180423], [0.212671, 0.715160, 0.072169]])
 NUCLEI = "array<struct<w:int,h:int,x:array<int>,y:array<int>,gray:array<int>,light:double>>"
 OUTLINE = "area double, perimeter double, hull_area double, hull_perimeter double, points int, cx double, cy double, major double, minor double, angle double"
+#: The linear light of each byte of sRGB.
+LINEAR = np.where(np.arange(256) / 255 > 0.04045, ((np.arange(256) / 255 + 0.055) / 1.055) ** 2.4, np.arange(256) / 255 / 12.92)
 ROUND = ((0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1))
 
 
 def lab_a(rgb: np.ndarray) -> np.ndarray:
     """The a axis of Lab, moved by 128 to whole numbers of a byte."""
-    unit = rgb.astype(np.float64) / 255
-    linear = np.where(unit > 0.04045, ((unit + 0.055) / 1.055) ** 2.4, unit / 12.92)
-    xy = linear @ (XYZ / XYZ.sum(1, keepdims=True)).T
+    xy = LINEAR[rgb.astype(np.uint8)] @ (XYZ / XYZ.sum(1, keepdims=True)).T
     f = np.where(xy > 216 / 24389, np.cbrt(xy), (24389 / 27 * xy + 16) / 116)
     return np.clip(np.rint(500 * (f[..., 0] - f[..., 1]) + 128), 0, 255).astype(np.int64)
 
 
 def blurred(gray: np.ndarray) -> np.ndarray:
     """Binomial smoothing over 5 x 5 pixels, mirrored at the edges."""
-    for axis in (0, 1):
-        wide = np.pad(gray, [(2, 2) if a == axis else (0, 0) for a in (0, 1)], mode="reflect" if gray.shape[axis] > 2 else "edge")
+    for axis in (-2, -1):
+        wide = np.pad(gray, [(2, 2) if a == axis else (0, 0) for a in range(-gray.ndim, 0)], mode="reflect" if gray.shape[axis] > 2 else "edge")
         gray = sum(k * np.take(wide, range(i, i + gray.shape[axis]), axis) for i, k in enumerate((1, 4, 6, 4, 1)))
     return (gray + 128) // 256
 
 
-def otsu_level(gray: np.ndarray) -> int:
-    """The grey level, lower class included, of the greatest variance between classes."""
-    n = np.bincount(gray.ravel(), minlength=256).astype(np.float64)
-    w, s = np.cumsum(n), np.cumsum(n * np.arange(256))
+def otsu_levels(gray: np.ndarray) -> np.ndarray:
+    """The grey level of each image of a stack, lower class included, of the greatest variance between classes."""
+    flat = gray.reshape(len(gray), -1)
+    n = np.bincount((flat + 256 * np.arange(len(flat))[:, None]).ravel(), minlength=256 * len(flat)).reshape(-1, 256).astype(np.float64)
+    w, s = np.cumsum(n, 1), np.cumsum(n * np.arange(256), 1)
     with np.errstate(divide="ignore", invalid="ignore"):
-        between = (s * w[-1] - s[-1] * w) ** 2 / (w * (w[-1] - w))
-    return int(np.nanargmax(np.where(np.isfinite(between), between, -1)))
+        between = (s * w[:, -1:] - s[:, -1:] * w) ** 2 / (w * (w[:, -1:] - w))
+    return np.argmax(np.where(np.isfinite(between), between, -1), 1)
+
+
+def otsu_level(gray: np.ndarray) -> int:
+    """otsu_levels() of one image."""
+    return int(otsu_levels(gray[None])[0])
+
+
+def _padded(image: np.ndarray, value) -> np.ndarray:
+    """An image or stack with one more pixel of a value on each side."""
+    out = np.full((*image.shape[:-2], image.shape[-2] + 2, image.shape[-1] + 2), value, image.dtype)
+    out[..., 1:-1, 1:-1] = image
+    return out
 
 
 def _cross(mask: np.ndarray, grow: bool) -> np.ndarray:
     """One dilation or erosion by the cross of 3 x 3; what lies outside the image changes nothing."""
-    p = np.pad(mask, 1, constant_values=not grow)
-    parts = (p[1:-1, 1:-1], p[:-2, 1:-1], p[2:, 1:-1], p[1:-1, :-2], p[1:-1, 2:])
-    return (np.logical_or if grow else np.logical_and).reduce(parts)
+    p, join = _padded(mask, not grow), np.logical_or if grow else np.logical_and
+    out = join(p[..., :-2, 1:-1], p[..., 2:, 1:-1])
+    for part in (p[..., 1:-1, :-2], p[..., 1:-1, 2:], mask):
+        join(out, part, out=out)
+    return out
 
 
 def distances(mask: np.ndarray) -> np.ndarray:
     """Euclidean distance of each pixel of the mask to the nearest one outside it, exact: along columns, then the least over each row."""
-    h, w = mask.shape
-    far = float(h + w)
-    up = np.where(mask, far, 0.0)
+    h, w = mask.shape[-2:]
+    up = np.where(mask, h + w, 0)
     for i in range(1, h):
-        up[i] = np.minimum(up[i], up[i - 1] + 1)
+        up[..., i, :] = np.minimum(up[..., i, :], up[..., i - 1, :] + 1)
     for i in range(h - 2, -1, -1):
-        up[i] = np.minimum(up[i], up[i + 1] + 1)
+        up[..., i, :] = np.minimum(up[..., i, :], up[..., i + 1, :] + 1)
     square, out = up * up, up * up
     for k in range(1, w):
         if k * k >= out.max():
             break
-        out[:, k:] = np.minimum(out[:, k:], square[:, :-k] + k * k)
-        out[:, :-k] = np.minimum(out[:, :-k], square[:, k:] + k * k)
-    return np.sqrt(out)
+        np.minimum(out[..., k:], square[..., :-k] + k * k, out=out[..., k:])
+        np.minimum(out[..., :-k], square[..., k:] + k * k, out=out[..., :-k])
+    return np.sqrt(out.astype(np.float64))
 
 
 def labels8(mask: np.ndarray) -> np.ndarray:
-    """8-connected components, numbered from 1 in raster order of first pixels; 0 outside the mask."""
-    big = mask.size + 1
-    label = np.where(mask, np.arange(1, big).reshape(mask.shape), big)
-    while True:  # the least number of the neighbourhood, then of the pixel that it names: rounds grow with the logarithm of a path
-        p = np.pad(label, 1, constant_values=big)
-        least = np.minimum.reduce([p[1 + i : p.shape[0] - 1 + i, 1 + j : p.shape[1] - 1 + j] for i, j in (*ROUND, (0, 0))])
-        names = np.append(label.ravel(), big)
-        np.minimum.at(names, label[mask] - 1, least[mask])
-        while not np.array_equal(names, shorter := names[names - 1]):
-            names = shorter
-        new = np.where(mask, np.minimum(names[np.minimum(least, big) - 1], names[:-1].reshape(mask.shape)), big)
-        if np.array_equal(new, label):
-            break
-        label = new
-    out = np.zeros(mask.shape, np.int64)
-    out[mask] = np.unique(label[mask], return_inverse=True)[1] + 1
-    return out
+    """8-connected components, numbered from 1 in raster order of first pixels, image by image in a stack; 0 outside the mask.
+
+    Pixels fall into runs along rows, and each run takes the least number of the runs that it touches and of the run which that
+    names, until nothing changes: rounds grow with the logarithm of a path.
+    """
+    wide = mask.shape[-1] + 2  # a blank pixel parts rows, a blank row parts images
+    p = _padded(mask, False).ravel()
+    at = np.nonzero(p)[0]
+    out = np.zeros(p.size, np.int64)
+    if len(at):
+        begins = np.concatenate([[True], np.diff(at) > 1])
+        first, last = at[begins], at[np.concatenate([begins[1:], [True]])]
+        low, high = np.searchsorted(last, first - wide - 1), np.searchsorted(first, last - wide + 1, side="right")
+        n = np.maximum(high - low, 0)
+        a = np.repeat(np.arange(len(first)), n)
+        b = np.repeat(low, n) + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+        names = np.arange(len(first))
+        while True:
+            least, new = np.minimum(names[a], names[b]), names.copy()
+            for end in (names[a], names[b], a, b):
+                np.minimum.at(new, end, least)
+            while not np.array_equal(new, shorter := new[new]):
+                new = shorter
+            if np.array_equal(new, names):
+                break
+            names = new
+        out[at] = (np.unique(names, return_inverse=True)[1] + 1)[np.cumsum(begins) - 1]
+    return out.reshape(*mask.shape[:-2], mask.shape[-2] + 2, wide)[..., 1:-1, 1:-1].copy()
 
 
 def flooded(seeds: np.ndarray, away: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """Seeds grown over the mask by falling distance, level by level; where two meet, the lower number stays."""
-    out, none = seeds.copy(), seeds.max() + 1
+    """Seeds grown over the mask by falling distance, level by level; where two meet, the lower number stays. Only open pixels are looked at."""
+    none = seeds.max() + 1
+    p = _padded(np.where(seeds > 0, seeds, none), none)
+    flat, wide, level_of = p.reshape(-1), p.shape[-1], _padded(np.where(mask & (seeds == 0), np.floor(away), -1.0), -1.0).ravel()
+    left, around = np.nonzero(level_of >= 0)[0], np.array([i * wide + j for i, j in ROUND])
     for level in range(int(away.max()), -1, -1):
-        open_ = mask & (away >= level) & (out == 0)
-        while open_.any():
-            p = np.pad(np.where(out > 0, out, none), 1, constant_values=none)
-            near = np.minimum.reduce([p[1 + i : p.shape[0] - 1 + i, 1 + j : p.shape[1] - 1 + j] for i, j in ROUND])
-            new = open_ & (near < none)
+        reached = level_of[left] >= level
+        open_, left = left[reached], left[~reached]
+        while len(open_):
+            near = flat[open_[:, None] + around].min(1)
+            new = near < none
             if not new.any():
                 break
-            out[new] = near[new]
-            open_ &= ~new
-    return out
+            flat[open_[new]] = near[new]
+            open_ = open_[~new]
+        left = np.concatenate([left, open_])
+    return np.where(p == none, 0, p)[..., 1:-1, 1:-1]
 
 
-def instances(rgb: np.ndarray, profile: Profile) -> np.ndarray:
-    """Numbers of the nuclei of an RGB image, from 0 without gaps by raster order of their seeds; -1 elsewhere. An image of one grey has none."""
+def stacked(rgb: np.ndarray, profile: Profile) -> np.ndarray:
+    """instances() of a stack of RGB images of one size; steps for all of them at once, as those of small images cost more to call than to do."""
     if profile.lab:
         gray = blurred(255 - lab_a(rgb))
-        mask = gray > otsu_level(gray)
+        mask = gray > otsu_levels(gray)[:, None, None]
     else:
         gray = np.rint(rgb @ np.array(LUMA)).astype(np.int64)
-        mask = gray <= otsu_level(gray)
-    mask &= gray.min() < gray.max()
-    steps = [False, True] + [True] * profile.closings + [False] * profile.closings
-    for grow in steps:
+        mask = gray <= otsu_levels(gray)[:, None, None]
+    mask &= (gray.min((1, 2)) < gray.max((1, 2)))[:, None, None]
+    for grow in [False, True] + [True] * profile.closings + [False] * profile.closings:
         mask = _cross(mask, grow)
     if profile.watershed:
         away = distances(mask)
-        label = flooded(labels8(away > profile.seed * away.max()), away, mask)
+        label = flooded(labels8(away > profile.seed * away.max((1, 2), keepdims=True)), away, mask)
     else:
         label = labels8(mask)
     area = np.bincount(label.ravel())
     keep = (area >= profile.least) & (area <= profile.most)
     keep[0] = False
-    return np.where(keep, np.cumsum(keep) - 1, -1)[label]
+    place = np.where(keep, np.cumsum(keep) - 1, -1)[label]  # gapless in the stack; an image's begin where those of the images before it end
+    begin = np.concatenate([[0], np.maximum.accumulate(place.max((1, 2)) + 1)[:-1]])
+    return np.where(place >= 0, place - begin[:, None, None], -1)
+
+
+def instances(rgb: np.ndarray, profile: Profile) -> np.ndarray:
+    """Numbers of the nuclei of an RGB image, from 0 without gaps by raster order of their seeds; -1 elsewhere. An image of one grey has none."""
+    return stacked(rgb[None], profile)[0]
+
+
+#: Pixels of the images that are cut together, one at least.
+STACK = 1 << 18
+
+
+def _nuclei(rgb: np.ndarray, label: np.ndarray) -> list[dict]:
+    """The nuclei of an image, each as its pixels in raster order with their grey and the mean of their colours."""
+    y, x = np.nonzero(label >= 0)
+    order = np.argsort(label[y, x], kind="stable")
+    y, x = y[order].astype(np.int32), x[order].astype(np.int32)
+    gray = np.rint(rgb @ np.array(LUMA)).astype(np.int32)
+    ends = np.cumsum(np.bincount(label[y, x]))[:-1]
+    parts = zip(np.split(x, ends), np.split(y, ends)) if len(x) else ()
+    return [{"w": rgb.shape[1], "h": rgb.shape[0], "x": i, "y": j, "gray": gray[j, i], "light": rgb[j, i].mean()} for i, j in parts]
 
 
 def _cut(profile: Profile):
-    """PNGs to the nuclei in them, each as its pixels in raster order with their grey and the mean of their colours."""
+    """PNGs to the nuclei in them; neighbouring images of one size are cut together."""
+
+    def cut(pngs) -> list:
+        out: list = []
+        group: list = []
+
+        def flush():
+            if group:
+                out.extend(_nuclei(rgb, label) for rgb, label in zip(group, stacked(np.stack(group), profile)))
+                group.clear()
+
+        for png in pngs:
+            rgb = decode_png(png)[:, :, :3].astype(np.float64) if png else np.zeros((0, 0, 3))
+            if group and (rgb.shape != group[0].shape or len(group) * rgb.size >= STACK * 3):
+                flush()
+            if rgb.size:
+                group.append(rgb)
+            else:
+                out.append([])
+        flush()
+        return out
 
     def of(images: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def one(png):
-            if not png:
-                return []
-            rgb = decode_png(png)[:, :, :3].astype(np.float64)
-            if not rgb.size:
-                return []
-            label, gray = instances(rgb, profile), np.rint(rgb @ np.array(LUMA)).astype(np.int32)
-            y, x = np.nonzero(label >= 0)
-            order = np.argsort(label[y, x], kind="stable")
-            y, x = y[order].astype(np.int32), x[order].astype(np.int32)
-            ends = np.cumsum(np.bincount(label[y, x]))[:-1]
-            parts = zip(np.split(x, ends), np.split(y, ends)) if len(x) else ()
-            return [{"w": rgb.shape[1], "h": rgb.shape[0], "x": i, "y": j, "gray": gray[j, i], "light": rgb[j, i].mean()} for i, j in parts]
-
         for batch in images:
             for at in range(0, len(batch), ROWS):
-                yield pd.Series([one(png) for png in batch.iloc[at : at + ROWS]], dtype=object)
+                yield pd.Series(cut(batch.iloc[at : at + ROWS]), dtype=object)
 
     return F.pandas_udf(of, NUCLEI)
 
@@ -330,11 +386,11 @@ def nuclei128(tiles: DataFrame, profile: Profile = PY128_SEGMENTS, rules: Rules
     })
     m = nuclei.with_rules(m, rules)
     base = V.base_py({c: F.col(c) for c in ("area", "perimeter", "circ", "ar", "sol", "rough", "major", "minor", "mi", "orientation")})
-    m = m.withColumn("_v", F.array(*V.expanded_py(base))).withColumn("_n", V.norm(F.col("_v")) + 1e-8)
+    m = m.withColumn("_v", F.array(*V.expanded_py(base)))
     others = [c for c in tiles.columns if c != image]
     return m.select(
         *others, F.col("at").alias("cell_id"), F.col("o.cx").alias("centroid_x"), F.col("o.cy").alias("centroid_y"), F.array_min(x).alias("bbox_x"), F.array_min(y).alias("bbox_y"),
         (F.array_max(x) - F.array_min(x)).alias("bbox_w"), (F.array_max(y) - F.array_min(y)).alias("bbox_h"), "area", "perimeter", F.col("o.hull_perimeter").alias("convex_perimeter"),
         F.col("major").alias("major_axis"), F.col("minor").alias("minor_axis"), "orientation", F.col("circ").alias("circularity"), F.col("ar").alias("aspect_ratio"), F.col("sol").alias("solidity"),
-        F.col("rough").alias("roughness"), F.col("mi").alias("mean_intensity"), "is_abnormal", F.col("reasons").alias("abnormal_reasons"), F.transform("_v", lambda v: v / F.col("_n")).alias("feature_vector"),
+        F.col("rough").alias("roughness"), F.col("mi").alias("mean_intensity"), "is_abnormal", F.col("reasons").alias("abnormal_reasons"), V.normalised(F.col("_v")).alias("feature_vector"),
     )

@@ -121,3 +121,20 @@ def test_touching_discs_are_parted():
     assert label.max() == 1 and label[40, 30] == 0 and label[40, 89] == 1 and ((label >= 0) == mask).mean() > 0.98
     whole = segment.Profile(False, 1, 0.4, 80, 40000, watershed=False)
     assert segment.instances(rgb, whole).max() == 0
+
+
+def test_stacks_are_as_their_images():
+    rng = np.random.default_rng(3)
+    images = [np.kron(rng.integers(0, 256, (6, 8, 3)), np.ones((6, 6, 1), int)).astype(float) for _ in range(6)] + [np.full((36, 48, 3), 9.0)] + [rng.integers(0, 256, (36, 48, 3)).astype(float)]
+    for profile in (segment.Profile(True, 2, 0.25, 20, 8000), segment.Profile(False, 1, 0.4, 20, 8000), segment.Profile(False, 1, 0.4, 20, 8000, watershed=False)):
+        found = segment.stacked(np.stack(images), profile)
+        assert found.max() > 0 and (found[6] == -1).all()
+        for image, label in zip(images, found):
+            assert (segment.instances(image, profile) == label).all()
+
+
+def test_the_norm_of_a_vector_is_made_once(spark, capsys):
+    """Within the division of each number it would be made 128 times a nucleus."""
+    segment.nuclei128(spark.createDataFrame([(1, None)], "img long, png binary")).explain()
+    plan = capsys.readouterr().out
+    assert "array_repeat" in plan
