@@ -47,7 +47,5 @@ def ingest_files(spark, sf_dir) -> DataFrame:
     """Every upload with its reason, and the bytes that were copied of those that are taken in."""
     folder = _uploaded(spark, sf_dir)
     rows = ingest.uploads(spark, folder, most=MOST, at_ms=F.lit(1_700_000_000_000))
-    good, _ = ingest.accepted_and_rejected(rows)
-    copied = ingest.taken_in(good, f"{folder}-in").select("path", F.col("length").alias("copied"))
     slide_id = F.regexp_extract("name", r"s(\d+)\.", 1).cast("long").alias("slide_id")
-    return rows.join(copied, "path", "left").select(slide_id, "ext", "length", "stamped", F.coalesce("reason", F.lit("in")).alias("reason"), F.coalesce("copied", F.lit(-1)).alias("copied"))
+    return ingest.ingested(rows, f"{folder}-in").select(slide_id, "ext", "length", "stamped", F.coalesce("reason", F.lit("in")).alias("reason"), F.coalesce("copied", F.lit(-1)).alias("copied"))

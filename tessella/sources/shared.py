@@ -26,3 +26,12 @@ def small_batches(spark: SparkSession, size: int = 4 << 20) -> SparkSession:
     """The session with batches to Python of a few megabytes, as rows may hold whole images."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
     return spark
+
+
+#: Spark counts each small file as 4 MB, so that a task has some 32 of them; so many of such tasks become one.
+FILES = 16
+
+
+def gathered(files: DataFrame) -> DataFrame:
+    """A scan of many small files in fewer tasks, and as many as the session has slots at least."""
+    return files.coalesce(max(files.sparkSession.sparkContext.defaultParallelism, files.rdd.getNumPartitions() // FILES))

@@ -21,3 +21,23 @@ def test_uploads_are_stamped_or_turned_away(spark, tmp_path):
         assert {r["name"] for r in ingest.uploads(spark, str(tmp_path / "in")).filter("reason is null").collect()} == {"a.svs", "d.exe", "übung.svs"}
     finally:
         spark.conf.unset(ingest.SETTING)
+
+
+def test_one_pass_takes_in_and_turns_away(spark, tmp_path, capsys):
+    up = tmp_path / "up"
+    up.mkdir()
+    for i in range(40):
+        (up / f"s{i}{('.svs', '.txt')[i % 4 == 0]}").write_bytes(b"x" * (i + 1))
+    rows = ingest.uploads(spark, str(up), most=30)
+    assert rows.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    found = ingest.ingested(rows, str(tmp_path / "in"))
+    found.explain()
+    assert "Join" not in capsys.readouterr().out
+    found = {r["name"]: r for r in found.collect()}
+    assert len(found) == 40
+    for i in range(40):
+        r = found[f"s{i}{('.svs', '.txt')[i % 4 == 0]}"]
+        reason = "format" if i % 4 == 0 else "size" if i >= 30 else None
+        assert (r["reason"], r["copied"]) == (reason, None if reason else i + 1)
+        assert (r["stored"] is None) == (reason is not None)
+    assert len([p for p in (tmp_path / "in").rglob("*") if p.is_file() and not p.name.startswith(".")]) == sum(r["reason"] is None for r in found.values())
