@@ -583,3 +583,14 @@ def test_drawn_blocks_are_the_mix(spark):
     repeated = spark.createDataFrame([*rows, *rows[:40], *[(None, t, s) for _, t, s in rows[:40]], (None, None, "a")], docs.schema)
     drawn = mixing.drawn_blocks(repeated).selectExpr("sum(size(split(words, ' ')))").first()[0]
     assert drawn == mixing.mix(repeated).groupBy().sum("taken").first()[0]
+
+
+def test_blocks_are_cut_some_at_a_time():
+    import pandas as pd
+
+    from tessella.llm import mixing
+
+    text = " ".join(str(i) for i in range(mixing.PIECES * mixing.BLOCK * 2 + 100))
+    parts = list(mixing._cut([pd.DataFrame({"rank": [3, 4], "start": [10, 0], "text": [text, None]})]))
+    assert len(parts) == 3 and max(map(len, parts)) == mixing.PIECES
+    assert " ".join(w for p in parts for w in p["words"]) == text and parts[0]["at"].tolist()[:2] == [10, 64]
