@@ -37,31 +37,40 @@ def label_runs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     Pixels in raster order fall into runs along rows; runs that overlap in neighbouring rows are joined. Work and memory go
     by the pixels given, wherever they lie.
     """
-    order = np.lexsort((x, y))
-    at = y[order].astype(np.int64) * (int(x.max()) + 2) + x[order]
+    at = y.astype(np.int64) * (int(x.max()) + 2) + x
+    order = np.argsort(at, kind="stable")
+    at = at[order]
     begins = np.concatenate([[True], np.diff(at) > 1])
     run = np.cumsum(begins) - 1
     first, last = at[begins], at[np.concatenate([begins[1:], [True]])]
     above = int(x.max()) + 2
     low, high = np.searchsorted(last, first - above), np.searchsorted(first, last - above, side="right")
-    up = np.arange(len(first))
-
-    def root(k: int) -> int:
-        while up[k] != k:
-            up[k] = up[up[k]]
-            k = up[k]
-        return k
-
-    for k in np.nonzero(high > low)[0].tolist():
-        for other in range(low[k], high[k]):
-            a, b = root(k), root(other)
-            up[max(a, b)] = min(a, b)
-    roots = np.array([root(k) for k in range(len(up))])
     out = np.empty(len(x), np.int32)
-    out[order] = np.searchsorted(np.unique(roots), roots)[run]
+    out[order] = np.unique(joined_runs(low, high), return_inverse=True)[1][run]
     return out
 
 
+def joined_runs(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """For each run the least number of the runs that it hangs together with; run k touches those from low[k] up to, not with, high[k].
+
+    Each run takes the least number of the runs that it touches and of the run which that names, until nothing changes: rounds
+    grow with the logarithm of a path.
+    """
+    n = np.maximum(high - low, 0)
+    a = np.repeat(np.arange(len(low)), n)
+    b = np.repeat(low, n) + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+    names = np.arange(len(low))
+    while True:
+        least, new = np.minimum(names[a], names[b]), names.copy()
+        for end in (names[a], names[b], a, b):
+            np.minimum.at(new, end, least)
+        while not np.array_equal(new, shorter := new[new]):
+            new = shorter
+        if np.array_equal(new, names):
+            return names
+        names = new
+
+
 def _labelled(p: pd.DataFrame) -> pd.DataFrame:
     """Whole images, one after the other, with labels; a blank row between images keeps them apart."""
     img, y = p["img"].to_numpy(), p["y"].to_numpy().astype(np.int64)
@@ -110,11 +119,16 @@ def region_props(labelled: DataFrame, least_pixels: int = 40, keep: tuple = ())
         F.count("*").alias("area"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"),
         F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.var_pop("x").alias("sxx"), F.var_pop("y").alias("syy"), F.covar_pop("x", "y").alias("sxy"), F.avg("gray").alias("mean_gray"), F.stddev_pop("gray").alias("std_gray"), F.avg(light).alias("mean_light"), *more,
     ).filter(F.col("area") >= least_pixels)
+    return described(r.withColumn("cell_id", F.row_number().over(Window.partitionBy("img").orderBy("label")) - 1))
+
+
+def described(r: DataFrame) -> DataFrame:
+    """Regions (area, x0, y0, x1, y1 and the variances sxx, syy, sxy) with what follows from these: box, axes, orientation, solidity."""
     half, det = (F.col("sxx") + F.col("syy")) / 2, F.col("sxx") * F.col("syy") - F.col("sxy") * F.col("sxy")
     root = F.sqrt(F.greatest(F.lit(0.0), half * half - det))
     major, minor = 2 * F.sqrt(2 * F.greatest(F.lit(0.0), half + root)), 2 * F.sqrt(2 * F.greatest(F.lit(0.0), half - root))
     return r.select(
-        "*", (F.row_number().over(Window.partitionBy("img").orderBy("label")) - 1).alias("cell_id"), (F.col("x1") - F.col("x0") + 1).alias("box_w"), (F.col("y1") - F.col("y0") + 1).alias("box_h"),
+        "*", (F.col("x1") - F.col("x0") + 1).alias("box_w"), (F.col("y1") - F.col("y0") + 1).alias("box_h"),
         major.alias("major"), F.greatest(F.lit(1.0), minor).alias("minor"), minor.alias("thin"),
         (0.5 * F.atan2(2 * F.col("sxy"), F.col("sxx") - F.col("syy"))).alias("orientation"),
         F.least(F.lit(1.0), F.col("area") / ((F.col("x1") - F.col("x0") + 1) * (F.col("y1") - F.col("y0") + 1)) * 1.6).alias("solidity"),

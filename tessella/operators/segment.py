@@ -14,7 +14,7 @@ from ..functions import shape
 from ..functions import vectors as V
 from ..sources.codec import ROWS, decode_png
 from ..sources.shared import small_batches
-from . import nuclei
+from . import nuclei, raster
 from .analysis import LUMA
 
 
@@ -107,8 +107,7 @@ def distances(mask: np.ndarray) -> np.ndarray:
 def labels8(mask: np.ndarray) -> np.ndarray:
     """8-connected components, numbered from 1 in raster order of first pixels, image by image in a stack; 0 outside the mask.
 
-    Pixels fall into runs along rows, and each run takes the least number of the runs that it touches and of the run which that
-    names, until nothing changes: rounds grow with the logarithm of a path.
+    Pixels fall into runs along rows, and runs that touch are joined.
     """
     wide = mask.shape[-1] + 2  # a blank pixel parts rows, a blank row parts images
     p = _padded(mask, False).ravel()
@@ -118,20 +117,7 @@ def labels8(mask: np.ndarray) -> np.ndarray:
         begins = np.concatenate([[True], np.diff(at) > 1])
         first, last = at[begins], at[np.concatenate([begins[1:], [True]])]
         low, high = np.searchsorted(last, first - wide - 1), np.searchsorted(first, last - wide + 1, side="right")
-        n = np.maximum(high - low, 0)
-        a = np.repeat(np.arange(len(first)), n)
-        b = np.repeat(low, n) + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
-        names = np.arange(len(first))
-        while True:
-            least, new = np.minimum(names[a], names[b]), names.copy()
-            for end in (names[a], names[b], a, b):
-                np.minimum.at(new, end, least)
-            while not np.array_equal(new, shorter := new[new]):
-                new = shorter
-            if np.array_equal(new, names):
-                break
-            names = new
-        out[at] = (np.unique(names, return_inverse=True)[1] + 1)[np.cumsum(begins) - 1]
+        out[at] = (np.unique(raster.joined_runs(low, high), return_inverse=True)[1] + 1)[np.cumsum(begins) - 1]
     return out.reshape(*mask.shape[:-2], mask.shape[-2] + 2, wide)[..., 1:-1, 1:-1].copy()
 
 
