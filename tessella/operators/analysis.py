@@ -42,6 +42,24 @@ def tile_components(tiles: DataFrame, image: str = "png") -> DataFrame:
     A tile is decoded and labelled in one pass, so only the pixels of its regions leave it and none meets a shuffle.
     """
 
+    def batch(found, places):
+        row = pa.array(found.pop("row"))
+        return pa.RecordBatch.from_arrays([*[p.take(row) for p in places], *map(pa.array, found.values())], names=[*PLACE, *found])
+
+    return _of_tiles(tiles, image, batch, images.PIXELS.split(", ", 1)[1])
+
+
+def tile_regions(tiles: DataFrame, image: str = "png", least_pixels: int = 40) -> DataFrame:
+    """raster.region_props() of tile_components(), with the tile's place; a region is measured where its tile is decoded, so no pixel leaves its task."""
+    return raster.described(_of_tiles(tiles, image, lambda found, places: images.region_batch(found, places, PLACE, least_pixels), images.REGION))
+
+
+PLACE = ["img", "tile_row", "tile_col"]
+
+
+def _of_tiles(tiles: DataFrame, image: str, batch_of, columns: str) -> DataFrame:
+    """PLACE and the columns that batch_of(dark pixels, columns of PLACE) makes of each few tiles."""
+
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, images.TOGETHER):
@@ -49,12 +67,11 @@ def tile_components(tiles: DataFrame, image: str = "png") -> DataFrame:
                 lights = [decode_png(p)[:, :, :3].astype(np.float64) @ np.array(LUMA) if p else np.zeros((0, 0)) for p in part.column(3).to_pylist()]
                 found = images.dark_pixels([(np.floor(light + 0.5).astype(np.int64), light) for light in lights])
                 if found:
-                    row = pa.array(found.pop("row"))
-                    yield pa.RecordBatch.from_arrays([*[part.column(i).take(row) for i in range(3)], *map(pa.array, found.values())], names=["img", "tile_row", "tile_col", *found])
+                    yield batch_of(found, part.columns[:3])
 
     small_batches(tiles.sparkSession)
-    places = [f"{c} {tiles.schema[c].dataType.simpleString()}" for c in ("tile_row", "tile_col")]
-    return tiles.select("img", "tile_row", "tile_col", image).mapInArrow(run, f"img {tiles.schema['img'].dataType.simpleString()}, {', '.join(places)}, {images.PIXELS.split(', ', 1)[1]}")
+    places = ", ".join(f"{c} {tiles.schema[c].dataType.simpleString()}" for c in PLACE)
+    return tiles.select(*PLACE, image).mapInArrow(run, f"{places}, {columns}")
 
 
 def tile_nuclei(tiles: DataFrame, rules: Rules = JS128, size: int = 512, overlap: int = 32, scale: int = 4, image: str = "png") -> DataFrame:
@@ -63,7 +80,7 @@ def tile_nuclei(tiles: DataFrame, rules: Rules = JS128, size: int = 512, overlap
     img is an id of the tile. Nuclei are the dark 4-connected regions of Otsu's threshold with 40 pixels or more; box_x and
     box_y are places in the slide, as is the centre. Tiles without nuclei give no rows.
     """
-    r = raster.region_props(tile_components(tiles, image), keep=("tile_row", "tile_col"))
+    r = tile_regions(tiles, image)
     aspect = F.when(F.col("thin") > 0, F.col("major") / F.col("thin")).otherwise(1.0)
     r = r.withColumns({"ar": aspect, "rough": shape.roughness(F.col("perimeter"), F.col("major"), F.col("thin")), "sol": F.col("solidity")})
     r = nuclei.with_rules(r, rules)

@@ -83,7 +83,7 @@ def test_regions_are_measured_where_images_are_labelled(spark, capsys):
         found, asked = images.region_props(rows, W, least).drop("perimeter"), raster.region_props(long, least)
         same(found.withColumns({c: F.round(c, 9) for c, t in found.dtypes if t == "double"}), asked.withColumns({c: F.round(c, 9) for c, t in found.dtypes if t == "double"}))
         same(images.region_props(rows, W, least).select("img", "label", "perimeter"), raster.perimeter(long).join(asked.select("img", "label"), ["img", "label"]))
-    for name in ("px_region_props",):
+    for name in ("px_region_props", "tile_nuclei"):
         QUERIES[name](spark, "/root/testdata/sf0.001").explain()
         plan = capsys.readouterr().out
         assert "Aggregate" not in plan and "Window" not in plan and plan.count("Exchange") == 1, name
