@@ -34,6 +34,29 @@ def test_a_commit_that_ended_halfway(spark, tmp_path):
     assert sorted(r["body"] for r in frames.read_frames(spark, str(tmp_path)).collect()) == ["a", "b", "c"]
 
 
+def test_frames_are_found_by_marks_and_read_in_order(spark, tmp_path, capsys):
+    writer = frames.FrameWriter(str(tmp_path))
+    for batch in range(12):
+        rows = [SimpleNamespace(task_id=t, at=batch, event_id=e, body=f"{t} {batch} {e}") for t in ("a", "ab/é %", "a=1") for e in range(500)]
+        writer.commit([writer.write(iter(rows)), None], batch)
+    writer.commit([writer.write(iter([]))], 12)
+    (tmp_path / "task=z").mkdir()
+    (tmp_path / "task=z" / f"{13:012d}.bin").write_bytes(b"")  # of a batch that has no mark
+    read = frames.read_frames(spark, str(tmp_path))
+    found = {}
+    for r in sorted(read.collect(), key=lambda r: r.seq):
+        found.setdefault(r.task_id, []).append((r.seq, r.body))
+    assert found == {t: [(b * 500 + e + 1, f"{t} {b} {e}") for b in range(12) for e in range(500)] for t in ("a", "ab/é %", "a=1")}
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("read_frames", "")
+    frames.read_frames(spark, str(tmp_path)).count()
+    tasks = sum(jobs.getStageInfo(s).numTasks for j in jobs.getJobIdsForGroup("read_frames") for s in jobs.getJobInfo(j).stageIds)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    frames.read_frames(spark, str(tmp_path)).explain()
+    plan = capsys.readouterr().out
+    assert tasks < 40 and "binaryFile" not in plan and "Window" not in plan and plan.count("Exchange") == 1
+
+
 def test_pending_over_streams_equals_tables(spark, tmp_path):
     minutes = lambda n: START + dt.timedelta(minutes=n)
     requests = [(1, minutes(0)), (2, minutes(5)), (3, minutes(10)), (None, minutes(11)), (4, minutes(300)), (99, minutes(9000))]
