@@ -1,18 +1,20 @@
-"""Registered queries over slide files, which a fixture writes from the given tables."""
+"""Registered queries over slide files, which a fixture writes in packs from the given tables."""
 
 from __future__ import annotations
 
 import uuid
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Grid
 from ..sources import slides as source
 from ..sources.codec import decode_png
-from ..sources.shared import shared_folder
+from ..sources.shared import dealt, shared_folder
 from .queries import query
 
 #: The fixture's tiles in the files, and the grid that the queries read.
@@ -23,26 +25,37 @@ _written: dict = {}
 def slide_pixels(key: int, width: int, height: int, level: int) -> np.ndarray:
     """Level `level` of a fixture's slide: every 2 ** level-th pixel of its top image."""
     x, y = (np.arange(n >> level) << level for n in (width, height))
-    across, down = (3 * x + key) % 128, [(5 * y + 11 * c) % 128 for c in range(3)]
-    return np.stack([across[None, :] + d[:, None] for d in down], axis=2).astype(np.uint8)
+    across, out = ((3 * x + key) % 128).astype(np.uint8), np.empty((len(y), len(x), 3), np.uint8)
+    for c in range(3):
+        np.add(across[None, :], ((5 * y + 11 * c) % 128).astype(np.uint8)[:, None], out=out[:, :, c])
+    return out
+
+
+#: Slides of one task, and of one pack: neither grows with the table, and files are a thousandth of the slides.
+SLIDES, PACK = 4096, 1024
+
+
+def _slide(key: int, width: int, height: int) -> tuple[str, bytes]:
+    levels = [slide_pixels(key, width, height, k) for k in range(8) if k == 0 or max(width, height) >> k >= STORED]
+    return f"s{key}.tif", source.tiff_bytes(levels, f"slide.id={key}\nscan.power={20 << int(key % 2)}", STORED)
 
 
 def _write(folder: str):
     def run(frames):
-        for frame in frames:
-            filesystem, inner = source.located(folder)
-            for key, width, height in zip(frame.slide_id, frame.width, frame.height):
-                levels = [k for k in range(8) if k == 0 or max(width, height) >> k >= STORED]
-                data = source.tiff_bytes([slide_pixels(key, width, height, k) for k in levels], f"slide.id={key}\nscan.power={20 << int(key % 2)}", STORED)
-                with filesystem.open_output_stream(f"{inner}/s{key}.tif") as file:  # whole again if a task is run again
-                    file.write(data)
-            yield pd.DataFrame({"slide_id": frame.slide_id, "path": [f"{folder}/s{k}.tif" for k in frame.slide_id]})
+        filesystem, inner = source.located(folder)
+        rows, part, written = (row for frame in frames for row in zip(frame.slide_id, frame.width, frame.height)), TaskContext.get().partitionId(), 0
+        while some := list(islice(rows, PACK)):
+            pack = f"{part}-{written}.zip"
+            with filesystem.open_output_stream(f"{inner}/{pack}") as file:  # whole again if a task is run again
+                file.write(source.packed(_slide(*row) for row in some))
+            written += 1
+            yield pd.DataFrame({"slide_id": [key for key, _, _ in some], "pack": f"{folder}/{pack}"})
 
     return run
 
 
 def slide_folder(spark: SparkSession, sf_dir: str) -> str:
-    """A folder of slide files, one for each part, written once for each session and input."""
+    """A folder of slides, one for each part, in packs, written once for each session and input; <folder>-manifest tells (slide_id, pack)."""
     known = (spark.sparkContext.applicationId, sf_dir)
     if known not in _written:
         folder = f"{shared_folder(spark)}/slides-{uuid.uuid4().hex}"
@@ -50,8 +63,8 @@ def slide_folder(spark: SparkSession, sf_dir: str) -> str:
         filesystem.create_dir(inner, recursive=True)
         k = F.col("p_partkey")
         parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(k.alias("slide_id"), (96 + F.col("p_size") * 3 + k % 13 * 7).cast("int").alias("width"), (80 + F.col("p_size") * 2 + k % 7 * 9).cast("int").alias("height"))
-        dealt = parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "slide_id")
-        dealt.mapInPandas(_write(folder), "slide_id long, path string").write.parquet(f"{folder}-manifest")
+        rows = dealt(parts, "slide_id", SLIDES).sortWithinPartitions("slide_id")
+        rows.mapInPandas(_write(folder), "slide_id long, pack string").write.parquet(f"{folder}-manifest")
         _written[known] = folder
     return _written[known]
 
@@ -81,7 +94,8 @@ def _sums(image):
         if data is None:
             return (None,) * 5
         image = decode_png(data)
-        return (*image.reshape(-1, 3).sum(0, dtype=np.int64).tolist(), int(image[0, 0, 0]), int(image[-1, -1, 0]))
+        sums = image.reshape(len(image), -1).sum(0, dtype=np.int64).reshape(-1, 3).sum(0)  # by columns first, as those lie side by side
+        return (*sums.tolist(), int(image[0, 0, 0]), int(image[-1, -1, 0]))
 
     @F.pandas_udf("red long, green long, blue long, first int, last int")
     def of(images: pd.Series) -> pd.DataFrame:
@@ -115,7 +129,7 @@ SELECT slide_id, CAST(k AS INTEGER) AS level, missing AS failed, CASE WHEN missi
   + least(48, w - lx) * list_sum(list_transform(range(ly, least(ly + 40, h)), lambda i: (5 * (i << k)) % 128)) AS BIGINT) END AS red FROM o""")
 def slide_regions(spark, sf_dir) -> DataFrame:
     """The red of one region of 48 x 40 of every slide, -1 at a level that the slide does not have."""
-    folder, k = slide_folder(spark, sf_dir), F.col("p_partkey")
-    asked = spark.read.parquet(f"{sf_dir}/part.parquet").select(k.alias("slide_id"), F.concat(F.lit(f"{folder}/s"), k.cast("string"), F.lit(".tif")).alias("path"), (k % 3).cast("int").alias("level"), (8 * (k % 5)).alias("x"), (4 * (k % 7)).alias("y"))
+    k = F.col("slide_id")
+    asked = spark.read.parquet(f"{slide_folder(spark, sf_dir)}-manifest").select("slide_id", F.concat("pack", F.lit("/s"), k.cast("string"), F.lit(".tif")).alias("path"), (k % 3).cast("int").alias("level"), (8 * (k % 5)).alias("x"), (4 * (k % 7)).alias("y"))
     read = asked.select("slide_id", "level", source.region("path", "level", "x", "y", F.lit(48), F.lit(40)).alias("r"))
     return read.select("slide_id", "level", F.col("r.error").isNotNull().alias("failed"), F.coalesce(_sums(F.col("r.image"))["red"], F.lit(-1)).alias("red"))

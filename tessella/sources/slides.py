@@ -1,26 +1,36 @@
-"""Slide files as tables: data sources over tiled, pyramidal TIFF whose partitions are planned from paths and sizes and whose filters reach the reader."""
+"""Slide files as tables: data sources over tiled, pyramidal TIFF whose partitions are planned from paths and sizes and whose filters reach the reader.
+
+Small slides may lie in packs: ZIP files of stored, not deflated members, which are listed, planned and kept on disk as one file. A
+slide's path is then the pack's and its name, as in folder/0.zip/s1.tif.
+"""
 
 from __future__ import annotations
 
+import io
 import re
 import struct
+import zipfile
 import zlib
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from ..config import EXTENSIONS, Grid
-from .codec import encode_png
+from .codec import encode_png, running
 
 # Tags and codes of the TIFF specification.
 WIDTH, HEIGHT, BITS, COMPRESSION, DESCRIPTION, SAMPLES, TILE_WIDTH, TILE_HEIGHT, OFFSETS, COUNTS, PHOTOMETRIC, PREDICTOR = 256, 257, 258, 259, 270, 277, 322, 323, 324, 325, 262, 317
-PLAIN, DEFLATE, OLD_DEFLATE = 1, 8, 32946
+PLAIN, DEFLATE, OLD_DEFLATE, ZSTD = 1, 8, 32946, 50000
 TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 16: "Q"}
 
 
@@ -76,37 +86,94 @@ def located(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
 
 
-class Slide:
-    """An open slide file: its levels, its properties and regions of pixels."""
+class Pack:
+    """An open ZIP of slides: where each lies, from its directory alone."""
 
     def __init__(self, path: str):
         filesystem, inner = located(path)
-        if filesystem.get_file_info(inner).type != pafs.FileType.File:
-            raise FileNotFoundError(path)
         self.path, self.file = path, filesystem.open_input_file(inner)
+        with zipfile.ZipFile(self.file) as opened:
+            self.members = {m.filename: m for m in opened.infolist() if not m.is_dir()}
+
+    def place(self, name: str) -> tuple[int, int]:
+        """(begin, size) of a member's bytes."""
+        member = self.members.get(name)
+        if member is None:
+            raise FileNotFoundError(f"{self.path}/{name}")
+        if member.compress_type != zipfile.ZIP_STORED:
+            raise ValueError(f"{name} is not stored as it is")
+        self.file.seek(member.header_offset)
+        head = self.file.read(30)  # its name and extra field, whose lengths end it, lie before the bytes
+        return member.header_offset + 30 + sum(struct.unpack("<HH", head[26:])), member.file_size
+
+
+def packed(slides) -> bytes:
+    """(name, bytes) of slides as one pack, the same for the same slides."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as pack:
+        for name, data in slides:
+            pack.writestr(zipfile.ZipInfo(name), data)
+    return out.getvalue()
+
+
+def in_pack(path: str) -> tuple[str, str] | None:
+    """(pack, name) of the path of a slide within a pack, by its form."""
+    found = re.match(r"(?is)(.+?\.zip)/(.+)$", path)
+    return found and found.groups()
+
+
+#: Bytes that are read of a file at once when it is opened; those of a small one are all that is needed.
+HEAD = 1 << 16
+
+
+class Slide:
+    """An open slide file, of its own or within a pack: its levels, its properties and regions of pixels. `packs` opens packs, so that many slides share one."""
+
+    def __init__(self, path: str, packs=Pack):
+        filesystem, inner = located(path)
+        member = in_pack(path)
+        if member and filesystem.get_file_info(located(member[0])[1]).type == pafs.FileType.File:
+            pack = packs(member[0])
+            self.file, (self.begin, size) = pack.file, pack.place(member[1])
+        else:
+            info = filesystem.get_file_info(inner)
+            if info.type != pafs.FileType.File:
+                raise FileNotFoundError(path)
+            self.file, self.begin, size = filesystem.open_input_file(inner), 0, info.size
+        self.path, self.head, self.size = path, b"", size
+        self.head = self._read(0, min(HEAD, size))
         tags = [t for t in _directories(self._read) if OFFSETS in t]
         one = lambda t, tag, default: t.get(tag, (default,))[0]
         self.levels = [Level(one(t, WIDTH, 0), one(t, HEIGHT, 0), one(t, TILE_WIDTH, 0), one(t, TILE_HEIGHT, 0), one(t, SAMPLES, 1), one(t, COMPRESSION, PLAIN), t[OFFSETS], t[COUNTS], one(t, PREDICTOR, 1)) for t in tags]
         self.text = b"".join(tags[0].get(DESCRIPTION, (b"",))).rstrip(b"\0").decode() if tags else ""
-        self._tile = lru_cache(maxsize=64)(self._decoded)
 
     def _read(self, at: int, size: int) -> bytes:
-        self.file.seek(at)
-        return self.file.read(size)
-
-    def _decoded(self, level: int, number: int) -> np.ndarray:
-        of = self.levels[level]
-        data = self._read(of.offsets[number], of.counts[number])
-        if of.compression in (DEFLATE, OLD_DEFLATE):
-            data = zlib.decompress(data)
-        elif of.compression != PLAIN:
-            raise ValueError(f"compression {of.compression} is not supported")
+        if at + size <= len(self.head):
+            return self.head[at : at + size]
+        self.file.seek(self.begin + at)
+        return self.file.read(max(0, min(size, self.size - at)))
+
+    def _decoded(self, of: Level, numbers: np.ndarray) -> np.ndarray:
+        """(n, tile height, tile width, 3) of tiles of a level; those that share their bytes in the file are decoded once."""
         if of.predictor not in (1, 2):
             raise ValueError(f"predictor {of.predictor} is not supported")
-        image = np.frombuffer(data, np.uint8).reshape(of.tile_height, of.tile_width, of.samples)
+        size, places = of.tile_height * of.tile_width * of.samples, {}
+        which = [places.setdefault((of.offsets[i], of.counts[i]), len(places)) for i in numbers]
+        images = np.empty((len(places), size), np.uint8)
+        for (at, count), k in places.items():
+            data = self._read(at, count)
+            if of.compression == ZSTD:
+                data = pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True)
+            elif of.compression in (DEFLATE, OLD_DEFLATE):
+                data = zlib.decompress(data)
+            elif of.compression != PLAIN:
+                raise ValueError(f"compression {of.compression} is not supported")
+            images[k] = np.frombuffer(data, np.uint8)
         if of.predictor == 2:  # each pixel as its difference to the one on its left
-            image = np.cumsum(image, axis=1, dtype=np.uint8)
-        return image[:, :, :3] if of.samples >= 3 else np.repeat(image[:, :, :1], 3, axis=2)
+            images = running(images.reshape(-1, of.tile_width * of.samples), 1, of.samples)
+        images = images.reshape(-1, of.tile_height, of.tile_width, of.samples)
+        images = images[..., :3] if of.samples >= 3 else np.repeat(images[..., :1], 3, axis=3)
+        return images if len(places) == len(which) else images[which]
 
     def properties(self) -> dict:
         """`key=value` lines of the description, every value as text."""
@@ -121,37 +188,48 @@ class Slide:
         if not 0 <= level < len(self.levels):
             raise ValueError(f"no level {level}; the highest is {len(self.levels) - 1}")
         of, out = self.levels[level], np.zeros((height, width, 3), np.uint8)
-        across = -(-of.width // of.tile_width)
-        for r in range(max(0, y) // of.tile_height, -(-min(y + height, of.height) // of.tile_height)):
-            for c in range(max(0, x) // of.tile_width, -(-min(x + width, of.width) // of.tile_width)):
-                top, left = r * of.tile_height, c * of.tile_width
-                y0, y1, x0, x1 = max(y, top), min(y + height, top + of.tile_height, of.height), max(x, left), min(x + width, left + of.tile_width, of.width)
-                if y0 < y1 and x0 < x1:
-                    out[y0 - y : y1 - y, x0 - x : x1 - x] = self._tile(level, r * across + c)[y0 - top : y1 - top, x0 - left : x1 - left]
+        x0, x1, y0, y1 = max(x, 0), min(x + width, of.width), max(y, 0), min(y + height, of.height)
+        if x0 >= x1 or y0 >= y1:
+            return out
+        rows, columns = (np.arange(a // n, -(-b // n)) for a, b, n in ((y0, y1, of.tile_height), (x0, x1, of.tile_width)))
+        tiles = self._decoded(of, (rows[:, None] * -(-of.width // of.tile_width) + columns).ravel().tolist())
+        whole = tiles.reshape(len(rows), len(columns), *tiles.shape[1:]).swapaxes(1, 2).reshape(len(rows) * of.tile_height, -1, 3)
+        top, left = rows[0] * of.tile_height, columns[0] * of.tile_width
+        out[y0 - y : y1 - y, x0 - x : x1 - x] = whole[y0 - top : y1 - top, x0 - left : x1 - left]
         return out
 
 
+def _parted(image: np.ndarray, tile: int) -> np.ndarray:
+    """(tiles, bytes) of an RGB image, each pixel as its difference to the one on its left within its tile; zeros beyond the edges."""
+    h, w = image.shape[:2]
+    down, across = -(-h // tile), -(-w // tile)
+    padded = np.zeros((down * tile, across * tile * 3), np.uint8)
+    padded[:h, : w * 3] = image.reshape(h, w * 3)
+    out = padded.copy()
+    np.subtract(padded[:, 3:], padded[:, :-3], out=out[:, 3:])
+    first = lambda v: v.reshape(down * tile, across, tile, 3)[:, :, 0]
+    first(out)[:] = first(padded)
+    return out.reshape(down, tile, across, tile * 3).swapaxes(1, 2).reshape(down * across, -1)
+
+
 def tiff_bytes(levels: list[np.ndarray], description: str = "", tile: int = 64) -> bytes:
-    """A pyramid of RGB images as a tiled TIFF, little end first, deflated after horizontal differences."""
-    out, heads = bytearray(b"II*\0\0\0\0\0"), []
+    """A pyramid of RGB images as a tiled TIFF, little end first, packed by Zstandard after horizontal differences; equal tiles are stored once."""
+    out, heads, codec, places = bytearray(b"II*\0\0\0\0\0"), [], pa.Codec("zstd", compression_level=3), {}
     for image in levels:
-        h, w = image.shape[:2]
-        down, across = -(-h // tile), -(-w // tile)
-        padded = np.zeros((down * tile, across * tile, 3), np.uint8)
-        padded[:h, :w] = image
         offsets, counts = [], []
-        for r in range(down):
-            for c in range(across):
-                part = padded[r * tile : (r + 1) * tile, c * tile : (c + 1) * tile]
-                data = zlib.compress(np.diff(part, axis=1, prepend=np.zeros((tile, 1, 3), np.uint8)).tobytes(), 6)
-                offsets.append(len(out))
-                counts.append(len(data))
+        for part in map(bytes, _parted(image, tile)):
+            if part not in places:
+                data = codec.compress(part, asbytes=True)
+                places[part] = len(out), len(data)
                 out += data
-        heads.append((w, h, offsets, counts))
+            offset, count = places[part]
+            offsets.append(offset)
+            counts.append(count)
+        heads.append((image.shape[1], image.shape[0], offsets, counts))
     link = 4
     for i, (w, h, offsets, counts) in enumerate(heads):
         note = description.encode() + b"\0"
-        tags = [(WIDTH, 4, [w]), (HEIGHT, 4, [h]), (BITS, 3, [8, 8, 8]), (COMPRESSION, 3, [DEFLATE]), (PHOTOMETRIC, 3, [2])]
+        tags = [(WIDTH, 4, [w]), (HEIGHT, 4, [h]), (BITS, 3, [8, 8, 8]), (COMPRESSION, 3, [ZSTD]), (PHOTOMETRIC, 3, [2])]
         tags += [(DESCRIPTION, 2, note)] * (i == 0) + [(SAMPLES, 3, [3]), (TILE_WIDTH, 3, [tile]), (TILE_HEIGHT, 3, [tile]), (OFFSETS, 4, offsets), (COUNTS, 4, counts), (PREDICTOR, 3, [2])]
         entries = b""
         for tag, kind, values in tags:
@@ -170,7 +248,7 @@ def tiff_bytes(levels: list[np.ndarray], description: str = "", tile: int = 64)
 
 @dataclass
 class Files(InputPartition):
-    """Files of one task; of a large file a band: the rows whose remainder by `bands` is `band`."""
+    """Files of one task; of a large file a band: the rows, or slides of a pack, whose remainder by `bands` is `band`."""
 
     paths: tuple = ()
     band: int = 0
@@ -228,8 +306,10 @@ class _Wanted:
 class _Reader(DataSourceReader):
     """Files below a path, packed or cut into partitions of about `splitBytes`, from their sizes alone: no file is opened to plan."""
 
-    def __init__(self, options: dict, cut: bool):
+    def __init__(self, options: dict, schema: StructType, cut: bool):
         self.options, self.cut, self.wanted = {k.lower(): v for k, v in options.items()}, cut, _Wanted()
+        self.fields = [pa.field(f.name, to_arrow_type(f.dataType)) for f in schema.fields]
+        self.least = int(self.options.get("minpartitions", 1))
         self.tile, self.overlap = int(self.options.get("tilesize", Grid().tile)), int(self.options.get("overlap", Grid().overlap))
         if not 0 <= self.overlap < self.tile:
             raise ValueError("overlap must be at least 0 and less than tileSize")
@@ -247,16 +327,20 @@ class _Reader(DataSourceReader):
         if info.type == pafs.FileType.NotFound:
             raise FileNotFoundError(path)
         found = [info] if info.type == pafs.FileType.File else filesystem.get_file_info(pafs.FileSelector(inner, recursive=True))
-        listed = [(prefix + i.path, i.size) for i in found if i.type == pafs.FileType.File and f".{i.path.rsplit('.', 1)[-1].lower()}" in EXTENSIONS]
-        return sorted(p for p in listed if self.wanted.paths is None or p[0] in self.wanted.paths)
+        listed = [(prefix + i.path, i.size) for i in found if i.type == pafs.FileType.File and (is_slide(i.path) or is_pack(i.path))]
+        asked = self.wanted.paths
+        if asked is not None:
+            asked = asked | {p[: -len(m[1]) - 1] for p in asked if (m := in_pack(p))}
+        return sorted(p for p in listed if asked is None or p[0] in asked)
 
     def partitions(self):
-        split = int(self.options.get("splitbytes", 32 << 20))
+        files = self._files()
+        split = min(int(self.options.get("splitbytes", 32 << 20)), max(1, sum(size for _, size in files) // self.least))
         out, pack, size = [], [], 0
-        for path, length in self._files():
-            if self.cut and length > split:
+        for path, length in files:
+            if length > split and (self.cut or is_pack(path)):
                 bands = -(-length // split)
-                rows = self.wanted.numbers.get("tile_row", _Bounds()).among
+                rows = None if is_pack(path) else self.wanted.numbers.get("tile_row", _Bounds()).among
                 out += [Files((path,), b, bands) for b in range(bands) if rows is None or any(r % bands == b for r in rows)]
                 continue
             if pack and size + length > split:
@@ -266,6 +350,41 @@ class _Reader(DataSourceReader):
             size += length
         return [*out, Files(tuple(pack))] if pack or not out else out
 
+    def slides(self, partition):
+        """(slide, band, bands) of a task's files; a pack's slides by name."""
+        for path in partition.paths:
+            if not is_pack(path):
+                yield Slide(path), partition.band, partition.bands
+                continue
+            pack = Pack(path)
+            for name in sorted(n for n in pack.members if is_slide(n))[partition.band :: partition.bands]:
+                if self.wanted.paths is None or f"{path}/{name}" in self.wanted.paths:
+                    yield Slide(f"{path}/{name}", lambda _: pack), 0, 1
+
+    def batches(self, rows):
+        """Rows as Arrow batches of some thousand rows or a few megabytes of images, which are their last value."""
+        held, size = [], 0
+
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*held), self.fields)], schema=pa.schema(self.fields))
+
+        for row in rows:
+            held.append(row)
+            size += len(row[-1])
+            if len(held) == 2048 or size > 4 << 20:
+                yield batch()
+                held, size = [], 0
+        if held:
+            yield batch()
+
+
+def is_slide(path: str) -> bool:
+    return f".{path.rsplit('.', 1)[-1].lower()}" in EXTENSIONS
+
+
+def is_pack(path: str) -> bool:
+    return path.lower().endswith(".zip")
+
 
 def grid_of(level: Level, tile: int, overlap: int):
     """(row, col, x, y, width, height) of the overlapping tiles of a level, one at least, edges clipped."""
@@ -275,27 +394,52 @@ def grid_of(level: Level, tile: int, overlap: int):
             yield row, col, col * step, row * step, min(tile, level.width - col * step), min(tile, level.height - row * step)
 
 
+#: Pixels of a level that are decoded at once, a row of tiles at least.
+BLOCK = 1 << 22
+
+
 class _InfoReader(_Reader):
     def read(self, partition):
-        for path in partition.paths:
-            slide = Slide(path)
-            levels = [(i, of.width, of.height, slide.downsample(i)) for i, of in enumerate(slide.levels)]
-            yield path, len(levels), levels, slide.properties()
+        def rows():
+            for slide, _, _ in self.slides(partition):
+                levels = [(i, of.width, of.height, slide.downsample(i)) for i, of in enumerate(slide.levels)]
+                yield slide.path, len(levels), levels, list(slide.properties().items())
+
+        yield from self.batches(rows())
 
 
 class _TileReader(_Reader):
     def read(self, partition):
-        for path in partition.paths:
-            slide = Slide(path)
-            for number, level in enumerate(slide.levels):
-                if self.wanted.allows("level", number):
-                    for row, col, x, y, w, h in grid_of(level, self.tile, self.overlap):
-                        if row % partition.bands == partition.band and self.wanted.allows("tile_row", row) and self.wanted.allows("tile_col", col):
-                            yield path, number, row, col, x, y, w, h, encode_png(slide.region(number, x, y, w, h))
+        yield from self.batches((row for slide, band, bands in self.slides(partition) for row in self._tiles(slide, band, bands)))
+
+    def _tiles(self, slide: Slide, band: int, bands: int):
+        allows = self.wanted.allows
+        for number, level in enumerate(slide.levels):
+            if not allows("level", number):
+                continue
+            asked = [t for t in grid_of(level, self.tile, self.overlap) if t[0] % bands == band and allows("tile_row", t[0]) and allows("tile_col", t[1])]
+            for some in self._blocks(asked):
+                left, top = min(t[2] for t in some), min(t[3] for t in some)
+                block = slide.region(number, left, top, max(t[2] + t[4] for t in some) - left, max(t[3] + t[5] for t in some) - top)
+                for row, col, x, y, w, h in some:
+                    yield slide.path, number, row, col, x, y, w, h, encode_png(block[y - top : y - top + h, x - left : x - left + w], up=True)
+
+    @staticmethod
+    def _blocks(asked: list):
+        """Tiles of neighbouring rows, as many as BLOCK allows and one row at least, whose box is read at once."""
+        some: list = []
+        for _, row in groupby(asked, key=lambda t: t[0]):
+            row = list(row)
+            if some and (row[0][0] > some[-1][0] + 1 or (row[0][3] + row[0][5] - some[0][3]) * (row[-1][2] + row[-1][4] - row[0][2]) > BLOCK):
+                yield some
+                some = []
+            some += row
+        if some:
+            yield some
 
 
 class SlideInfo(DataSource):
-    """spark.read.format("slide_info").load(path): one row for each slide file, from its directories."""
+    """spark.read.format("slide_info").load(path): one row for each slide file, from its directories; options splitBytes, minPartitions."""
 
     @classmethod
     def name(cls):
@@ -305,11 +449,11 @@ class SlideInfo(DataSource):
         return "path string, level_count int, levels array<struct<level:int,width:int,height:int,downsample:double>>, metadata map<string,string>"
 
     def reader(self, schema):
-        return _InfoReader(dict(self.options), cut=False)
+        return _InfoReader(dict(self.options), schema, cut=False)
 
 
 class SlideTiles(DataSource):
-    """spark.read.format("slide_tiles").load(path): one row for each tile of each level, as PNG; options tileSize, overlap, splitBytes.
+    """spark.read.format("slide_tiles").load(path): one row for each tile of each level, as PNG; options tileSize, overlap, splitBytes, minPartitions.
 
     Filters on path, level, tile_row and tile_col are applied before pixels are read; paths, and rows of files that are
     cut into bands, also before tasks are made.
@@ -323,7 +467,7 @@ class SlideTiles(DataSource):
         return "path string, level int, tile_row int, tile_col int, x int, y int, width int, height int, image binary"
 
     def reader(self, schema):
-        return _TileReader(dict(self.options), cut=True)
+        return _TileReader(dict(self.options), schema, cut=True)
 
 
 def registered(spark: SparkSession) -> SparkSession:
@@ -334,12 +478,17 @@ def registered(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _source(spark: SparkSession, name: str):
+    """A reader of some tasks for each slot, so that a long one delays little."""
+    return registered(spark).read.format(name).option("minPartitions", 4 * spark.sparkContext.defaultParallelism)
+
+
 def slide_info(spark: SparkSession, path: str) -> DataFrame:
-    return registered(spark).read.format("slide_info").load(path)
+    return _source(spark, "slide_info").load(path)
 
 
 def slide_tiles(spark: SparkSession, path: str, grid: Grid = Grid()) -> DataFrame:
-    return registered(spark).read.format("slide_tiles").option("tileSize", grid.tile).option("overlap", grid.overlap).load(path)
+    return _source(spark, "slide_tiles").option("tileSize", grid.tile).option("overlap", grid.overlap).load(path)
 
 
 def region(path, level, x, y, width, height):
@@ -350,7 +499,8 @@ def region(path, level, x, y, width, height):
 
     @F.pandas_udf("image binary, error string")
     def of(path: pd.Series, level: pd.Series, x: pd.Series, y: pd.Series, width: pd.Series, height: pd.Series) -> pd.DataFrame:
-        opened = lru_cache(maxsize=8)(Slide)
+        packs = lru_cache(maxsize=8)(Pack)
+        opened = lru_cache(maxsize=8)(lambda path: Slide(path, packs))
 
         def one(path, level, x, y, width, height):
             if path is None or pd.isna([level, x, y, width, height]).any():
@@ -360,8 +510,8 @@ def region(path, level, x, y, width, height):
                 if not 0 <= level < len(slide.levels):
                     raise ValueError(f"no level {int(level)}; the highest is {len(slide.levels) - 1}")
                 by = slide.downsample(int(level))
-                return encode_png(slide.region(int(level), int(x / by), int(y / by), int(width), int(height))), None
-            except (OSError, ValueError, zlib.error) as error:
+                return encode_png(slide.region(int(level), int(x / by), int(y / by), int(width), int(height)), up=True), None
+            except (OSError, ValueError, zlib.error, zipfile.BadZipFile) as error:
                 return None, f"{type(error).__name__}: {error}"
 
         return pd.DataFrame([one(*row) for row in zip(path, level, x, y, width, height)], columns=["image", "error"], dtype=object)
