@@ -64,3 +64,15 @@ def test_slides_are_written_in_packs(spark):
     folder = plans.slide_folder(spark, DIR)
     files = pafs.LocalFileSystem().get_file_info(pafs.FileSelector(slides.located(folder)[1]))
     assert spark.read.parquet(f"{folder}-manifest").count() == 200 and len(files) <= 4
+
+
+def test_directories_of_packs(spark, packs):
+    folder, images = packs
+    info = slides.slide_info(spark, folder)
+    assert {r["path"].removeprefix(f"{folder}/"): (r["level_count"], r["metadata"]["key"], r["levels"][1]["width"]) for r in info.collect()} == {k: (2, k, -(-v.shape[1] // 2)) for k, v in images.items()}
+    schema = info.schema
+    for least, n in ((1, 1), (10, 10)):
+        parts = slides._InfoReader({"path": folder, "minPartitions": least}, schema, cut=False).partitions()
+        assert len(parts) >= n and {p for part in parts for p in part.paths} == {f"{folder}/{k}" for k in ("a.zip", "b.zip", "c.tif")}  # no slide of a pack is named to plan
+        read = [p for part in parts for b in slides._InfoReader({"path": folder}, schema, cut=False).read(part) for p in b.column(0).to_pylist()]
+        assert sorted(read) == sorted(f"{folder}/{k}" for k in images)
