@@ -76,3 +76,24 @@ def test_directories_of_packs(spark, packs):
         assert len(parts) >= n and {p for part in parts for p in part.paths} == {f"{folder}/{k}" for k in ("a.zip", "b.zip", "c.tif")}  # no slide of a pack is named to plan
         read = [p for part in parts for b in slides._InfoReader({"path": folder}, schema, cut=False).read(part) for p in b.column(0).to_pylist()]
         assert sorted(read) == sorted(f"{folder}/{k}" for k in images)
+
+
+def test_regions_come_from_packs(spark, packs, capsys):
+    folder, images = packs
+    asked = [(f"{folder}/{k}", 0, 3, 5) for k in images] + [(f"{folder}/a.zip/gone.tif", 0, 0, 0), (f"{folder}/z.zip/s1.tif", 0, 0, 0)]
+    rows = spark.createDataFrame(asked, "path string, level int, x int, y int").select("path", slides.region("path", "level", "x", "y", F.lit(40), F.lit(35)).alias("r")).collect()
+    assert len(rows) == len(asked)
+    for r in rows:
+        image = images.get(r["path"].removeprefix(f"{folder}/"))
+        assert (image is None) == ("FileNotFoundError" in (r["r"]["error"] or ""))
+        assert image is None or (decode_png(r["r"]["image"]) == np.pad(image, ((0, 9), (0, 9), (0, 0)))[5:40, 3:43]).all()
+
+
+def test_slides_take_little_room(spark):
+    """No file of its own, whose last block is half empty, and equal tiles stored once."""
+    folder = plans.slide_folder(spark, DIR)
+    files = pafs.LocalFileSystem().get_file_info(pafs.FileSelector(slides.located(folder)[1]))
+    assert sum(os.stat(f.path).st_blocks * 512 for f in files) < 200 * 5500
+    blank = np.full((640, 640, 3), 243, np.uint8)
+    assert len(slides.tiff_bytes([blank], "", 64)) < 3 * len(slides.tiff_bytes([blank[:64, :64]], "", 64)) + 800
+    assert sorted(QUERIES["slide_regions"](spark, DIR).toPandas().slide_id) == sorted(spark.read.parquet(f"{DIR}/part.parquet").toPandas().p_partkey)
