@@ -97,3 +97,15 @@ def test_slides_take_little_room(spark):
     blank = np.full((640, 640, 3), 243, np.uint8)
     assert len(slides.tiff_bytes([blank], "", 64)) < 3 * len(slides.tiff_bytes([blank[:64, :64]], "", 64)) + 800
     assert sorted(QUERIES["slide_regions"](spark, DIR).toPandas().slide_id) == sorted(spark.read.parquet(f"{DIR}/part.parquet").toPandas().p_partkey)
+
+
+def test_callbacks_on_packs(spark, packs):
+    folder, images = packs
+    tiles = slides.slide_tiles(spark, folder, Grid(20, 2)).filter("level = 1 and tile_row >= 1")
+    seen = slides.each_tile(tiles, lambda t: (t.path, t.tile_row, t.tile_col, int(decode_png(t.image).sum(dtype="int64"))), "path string, tile_row int, tile_col int, total long").collect()
+    expected = {}
+    for k, v in images.items():
+        level = v[::2, ::2]
+        for r, c in ((r, c) for r in range(1, -(-(level.shape[0] - 2) // 18)) for c in range(-(-(level.shape[1] - 2) // 18))):
+            expected[f"{folder}/{k}", r, c] = int(level[r * 18 : r * 18 + 20, c * 18 : c * 18 + 20].sum(dtype="int64"))
+    assert {tuple(r)[:3]: r["total"] for r in seen} == expected
