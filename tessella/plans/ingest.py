@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import ingest
-from ..sources.shared import shared_folder
+from ..sources.shared import dealt, in_folder, shared_folder
 from ..sources.slides import located
 from . import fixtures as fx
 from .fixtures import sql
@@ -17,23 +17,24 @@ from .queries import query
 
 #: The fixture's greatest size of an upload.
 MOST = 150
+#: Keys whose uploads share four folders, and uploads of one task: neither grows with the table.
+KEYS = 1 << 14
 
 
 def _uploaded(spark, sf_dir) -> str:
     folder = f"{shared_folder(spark)}/uploads-{uuid.uuid4().hex}"
 
     def write(frames):
-        to, base = located(folder)
-        for k in range(4):
-            to.create_dir(f"{base}/d{k}", recursive=True)
+        (to, base), made = located(folder), set()
         for frame in frames:
             for key, path in zip(frame.slide_id, frame.file_path):
-                with to.open_output_stream(f"{base}/d{key % 4}/{path.rsplit('/', 1)[1]}") as out:
+                target = f"{base}/d{key % 4}/{key // KEYS}/{path.rsplit('/', 1)[1]}"
+                with to.open_output_stream(in_folder(made, to, target), buffer_size=0) as out:
                     out.write(bytes([key % 256]) * (1 + key % 200))
             yield pd.DataFrame({"slide_id": frame.slide_id})
 
-    slides = fx.slides(spark, sf_dir).select("slide_id", "file_path").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "slide_id")
-    slides.mapInPandas(write, "slide_id long").write.parquet(f"{folder}-manifest")
+    slides = fx.slides(spark, sf_dir).select("slide_id", "file_path")
+    dealt(slides, "slide_id", KEYS).mapInPandas(write, "slide_id long").write.parquet(f"{folder}-manifest")
     return folder
 
 
@@ -46,6 +47,6 @@ SELECT slide_id, ext, length, '1700000000000-' || name AS stamped, reason, CASE
 def ingest_files(spark, sf_dir) -> DataFrame:
     """Every upload with its reason, and the bytes that were copied of those that are taken in."""
     folder = _uploaded(spark, sf_dir)
-    rows = ingest.uploads(spark, folder, most=MOST, at_ms=F.lit(1_700_000_000_000))
+    rows = ingest.uploads(spark, folder, most=MOST, at_ms=F.lit(1_700_000_000_000), by_tasks=True)
     slide_id = F.regexp_extract("name", r"s(\d+)\.", 1).cast("long").alias("slide_id")
     return ingest.ingested(rows, f"{folder}-in").select(slide_id, "ext", "length", "stamped", F.coalesce("reason", F.lit("in")).alias("reason"), F.coalesce("copied", F.lit(-1)).alias("copied"))
