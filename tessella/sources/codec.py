@@ -210,16 +210,14 @@ def png_files(rows, folder: str):
     """
 
     def run(frames):
-        import posixpath
-
+        from .shared import in_folder
         from .slides import located
 
-        to, base = located(folder)
+        (to, base), made = located(folder), set()
         for frame in frames:
             frame = frame[frame.png.notna()]
             for name, png in zip(frame.name, frame.png):
-                to.create_dir(posixpath.dirname(f"{base}/{name}"), recursive=True)
-                with to.open_output_stream(f"{base}/{name}") as out:
+                with to.open_output_stream(in_folder(made, to, f"{base}/{name}")) as out:
                     out.write(bytes(png))
             if len(frame):
                 yield pd.DataFrame({"name": list(frame.name), "path": [f"{folder}/{n}" for n in frame.name], "length": [len(p) for p in frame.png]})

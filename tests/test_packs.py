@@ -109,3 +109,12 @@ def test_callbacks_on_packs(spark, packs):
         for r, c in ((r, c) for r in range(1, -(-(level.shape[0] - 2) // 18)) for c in range(-(-(level.shape[1] - 2) // 18))):
             expected[f"{folder}/{k}", r, c] = int(level[r * 18 : r * 18 + 20, c * 18 : c * 18 + 20].sum(dtype="int64"))
     assert {tuple(r)[:3]: r["total"] for r in seen} == expected
+
+
+def test_png_files_are_listed_by_tasks(spark, capsys):
+    found = QUERIES["png_files"](spark, DIR)
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "FileScan" not in plan and "aggregate(" not in plan  # neither a listing in the driver nor pixels one by one in the JVM
+    rows = found.toPandas()
+    assert len(rows) == 200 and (rows.name == [f"r{i % 6}/i{i}.png" for i in rows.img]).all()
