@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.config import Grid
-from tessella.plans import slides as plans
+from tessella.plans import profiles as _profiles, slides as plans  # noqa: F401  register their queries
 from tessella.plans.queries import QUERIES
 from tessella.sources import slides
 from tessella.sources.codec import decode_png, encode_png
