@@ -3,11 +3,16 @@
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegerType, StructType
 
 from ..config import PY128, Rules, Soft
 from ..functions import shape
@@ -48,6 +53,24 @@ def lab_a(rgb: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(500 * (f[..., 0] - f[..., 1]) + 128), 0, 255).astype(np.int64)
 
 
+@lru_cache(maxsize=1)
+def _met() -> np.ndarray:
+    """lab_a() + 1 of each colour that this process met, else 0; 32 MB at most, of which only the parts in use are taken."""
+    return np.zeros(1 << 24, np.uint16)
+
+
+def lab_a_of(rgb: np.ndarray) -> np.ndarray:
+    """lab_a(), each colour made once in a process."""
+    c = rgb.astype(np.uint8).astype(np.int32)
+    known, colour = _met(), (c[..., 0] << 16) + (c[..., 1] << 8) + c[..., 2]
+    out = known[colour]
+    if not out.all():
+        new = np.unique(colour[out == 0])
+        known[new] = lab_a(np.stack([new >> 16, new >> 8 & 255, new & 255], 1)) + 1
+        out = known[colour]
+    return out - 1
+
+
 def blurred(gray: np.ndarray) -> np.ndarray:
     """Binomial smoothing over 5 x 5 pixels, mirrored at the edges."""
     for axis in (-2, -1):
@@ -58,7 +81,7 @@ def blurred(gray: np.ndarray) -> np.ndarray:
 
 def otsu_levels(gray: np.ndarray) -> np.ndarray:
     """The grey level of each image of a stack, lower class included, of the greatest variance between classes."""
-    flat = gray.reshape(len(gray), -1)
+    flat = gray.reshape(len(gray), -1).astype(np.int64)
     n = np.bincount((flat + 256 * np.arange(len(flat))[:, None]).ravel(), minlength=256 * len(flat)).reshape(-1, 256).astype(np.float64)
     w, s = np.cumsum(n, 1), np.cumsum(n * np.arange(256), 1)
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -90,7 +113,7 @@ def _cross(mask: np.ndarray, grow: bool) -> np.ndarray:
 def distances(mask: np.ndarray) -> np.ndarray:
     """Euclidean distance of each pixel of the mask to the nearest one outside it, exact: along columns, then the least over each row."""
     h, w = mask.shape[-2:]
-    up = np.where(mask, h + w, 0)
+    up = np.where(mask, h + w, 0).astype(np.int32 if h + w < 1 << 15 else np.int64)  # no sum of squares below is greater
     for i in range(1, h):
         up[..., i, :] = np.minimum(up[..., i, :], up[..., i - 1, :] + 1)
     for i in range(h - 2, -1, -1):
@@ -144,8 +167,8 @@ def flooded(seeds: np.ndarray, away: np.ndarray, mask: np.ndarray) -> np.ndarray
 def stacked(rgb: np.ndarray, profile: Profile) -> np.ndarray:
     """instances() of a stack of RGB images of one size; steps for all of them at once, as those of small images cost more to call than to do."""
     if profile.lab:
-        gray = blurred(255 - lab_a(rgb))
-        mask = gray > otsu_levels(gray)[:, None, None]
+        gray = blurred(255 - lab_a_of(rgb))  # 16 bits hold all sums
+        mask = gray > otsu_levels(gray).astype(gray.dtype)[:, None, None]
     else:
         gray = np.rint(rgb @ np.array(LUMA)).astype(np.int64)
         mask = gray <= otsu_levels(gray)[:, None, None]
@@ -185,75 +208,183 @@ def _nuclei(rgb: np.ndarray, label: np.ndarray) -> list[dict]:
     return [{"w": rgb.shape[1], "h": rgb.shape[0], "x": i, "y": j, "gray": gray[j, i], "light": rgb[j, i].mean()} for i, j in parts]
 
 
+def _stacks(pngs: list):
+    """(places, RGB images) of neighbouring PNGs of one size, as many as are cut together; nulls and images without pixels are left out."""
+    places, group = [], []
+    for place, png in enumerate(pngs):
+        rgb = decode_png(png)[:, :, :3] if png else None
+        if rgb is None or not rgb.size:
+            continue
+        if group and (rgb.shape != group[0].shape or len(group) * rgb.size >= STACK * 3):
+            yield places, np.stack(group).astype(np.float64)
+            places, group = [], []
+        places.append(place)
+        group.append(rgb)
+    if group:
+        yield places, np.stack(group).astype(np.float64)
+
+
 def _cut(profile: Profile):
     """PNGs to the nuclei in them; neighbouring images of one size are cut together."""
 
     def cut(pngs) -> list:
-        out: list = []
-        group: list = []
-
-        def flush():
-            if group:
-                out.extend(_nuclei(rgb, label) for rgb, label in zip(group, stacked(np.stack(group), profile)))
-                group.clear()
-
-        for png in pngs:
-            rgb = decode_png(png)[:, :, :3].astype(np.float64) if png else np.zeros((0, 0, 3))
-            if group and (rgb.shape != group[0].shape or len(group) * rgb.size >= STACK * 3):
-                flush()
-            if rgb.size:
-                group.append(rgb)
-            else:
-                out.append([])
-        flush()
+        out: list = [[] for _ in pngs]
+        for places, rgb in _stacks(pngs):
+            for place, image, label in zip(places, rgb, stacked(rgb, profile)):
+                out[place] = _nuclei(image, label)
         return out
 
     def of(images: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in images:
             for at in range(0, len(batch), ROWS):
-                yield pd.Series(cut(batch.iloc[at : at + ROWS]), dtype=object)
+                yield pd.Series(cut(batch.iloc[at : at + ROWS].tolist()), dtype=object)
 
     return F.pandas_udf(of, NUCLEI)
 
 
-def boundary(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The outer boundary (n, 2) of 8-connected pixels in raster order, walked clockwise from the first by neighbouring pixels."""
-    inside = set(zip(y.tolist(), x.tolist()))
-    at, turn = (int(y[0]), int(x[0])), 7
-    path = [at]
+def _next_steps() -> bytes:
+    """For the neighbours of a pixel that are inside (bits by ROUND) and the way it was reached, the way on along the boundary; 8 if there is none."""
+    ways = lambda turn: ((turn + (6 if turn % 2 else 7) + k) % 8 for k in range(8))
+    return bytes(next((d for d in ways(turn) if code >> d & 1), 8) for code in range(256) for turn in range(8))
+
+
+NEXT = _next_steps()
+
+
+def _walk(code: bytes, start: int, steps: list[int]) -> list[int]:
+    """The boundary from a first pixel, as places in an image whose pixels' inside neighbours are told by code."""
+    at, turn, path = start, 7, [start]
     while True:
-        for k in range(8):
-            d = (turn + (6 if turn % 2 else 7) + k) % 8
-            to = (at[0] + ROUND[d][0], at[1] + ROUND[d][1])
-            if to in inside:
-                break
-        else:
-            return np.array(path)[:, ::-1]
-        if len(path) > 2 and path[-1] == path[0] and to == path[1]:
-            return np.array(path[:-1])[:, ::-1]
+        d = NEXT[code[at] * 8 + turn]
+        if d == 8:
+            return path
+        to = at + steps[d]
+        if at == start and len(path) > 2 and to == path[1]:
+            path.pop()
+            return path
         path.append(to)
         at, turn = to, d
 
 
+def _boundaries(label: np.ndarray, starts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, lengths) of the outer boundaries of labels (-1 outside) of a stack, from their first pixels, which are places in the padded stack."""
+    p = _padded(label, -1)
+    h, w = p.shape[-2:]
+    flat, steps = p.ravel(), [i * w + j for i, j in ROUND]
+    at = np.nonzero(flat >= 0)[0]
+    code = np.zeros(flat.size, np.uint8)
+    code[at] = sum((flat[at + step] == flat[at]).astype(np.uint8) << d for d, step in enumerate(steps))
+    text = code.tobytes()
+    paths = [_walk(text, start, steps) for start in starts]
+    place = np.fromiter(chain.from_iterable(paths), np.int64)
+    return place % w - 1, place // w % h - 1, np.array([len(path) for path in paths], np.int64)
+
+
+def boundary(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The outer boundary (n, 2) of 8-connected pixels in raster order, walked clockwise from the first by neighbouring pixels."""
+    left, top = int(min(x)), int(min(y))
+    label = np.full((1, int(max(y)) - top + 1, int(max(x)) - left + 1), -1)
+    label[0, y - top, x - left] = 0
+    i, j, _ = _boundaries(label, [(int(y[0]) - top + 1) * (label.shape[2] + 2) + int(x[0]) - left + 1])
+    return np.stack([i + left, j + top], 1)
+
+
 def hull(points: np.ndarray) -> np.ndarray:
-    """Corners of the convex hull, by monotone chains."""
-    rows = sorted(set(map(tuple, points.tolist())))
-    chains = []
-    for way in (rows, rows[::-1]):
-        chain: list = []
-        for p in way:
-            while len(chain) > 1 and (chain[-1][0] - chain[-2][0]) * (p[1] - chain[-2][1]) <= (chain[-1][1] - chain[-2][1]) * (p[0] - chain[-2][0]):
-                chain.pop()
-            chain.append(p)
-        chains += chain[:-1]
-    return np.array(chains or rows)
+    """Corners of the convex hull, by monotone chains: one of the lowest and one of the highest point of each column, as no other is a corner."""
+    low: dict = {}
+    high: dict = {}
+    for x, y in points.tolist():
+        if y < low.get(x, y + 1):
+            low[x] = y
+        if y > high.get(x, y - 1):
+            high[x] = y
+    columns = sorted(low)
+    first, last = columns[0], columns[-1]
+    ways = [(x, low[x]) for x in columns], [(x, high[x]) for x in reversed(columns)]
+    for way, end in zip(ways, ((last, high[last]), (first, low[first]))):
+        if way[-1] != end:
+            way.append(end)
+    corners = []
+    for way in ways:
+        kept: list = []
+        for x, y in way:
+            while len(kept) > 1:
+                (a, b), (c, d) = kept[-2], kept[-1]
+                if (c - a) * (y - b) > (d - b) * (x - a):
+                    break
+                kept.pop()
+            kept.append((x, y))
+        corners += kept[:-1]
+    return np.array(corners or [(first, low[first])])
+
+
+def _polygons(x: np.ndarray, y: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(areas, lengths) of closed lines, one after the other."""
+    ends = np.cumsum(lengths)
+    begins, following = ends - lengths, np.arange(1, len(x) + 1)
+    following[ends - 1] = begins
+    x, y = x.astype(np.float64), y.astype(np.float64)
+    cross, step = x * y[following] - x[following] * y, np.hypot(x[following] - x, y[following] - y)
+    return np.abs(np.add.reduceat(cross, begins)) / 2, np.array([step[a:b].sum() for a, b in zip(begins.tolist(), ends.tolist())])
 
 
 def polygon(points: np.ndarray) -> tuple[float, float]:
     """(area, length) of a closed line."""
-    p = points.astype(np.float64)
-    q = np.roll(p, -1, 0)
-    return abs(float((p[:, 0] * q[:, 1] - q[:, 0] * p[:, 1]).sum())) / 2, float(np.hypot(*(q - p).T).sum())
+    area, length = _polygons(points[:, 0], points[:, 1], np.array([len(points)]))
+    return float(area[0]), float(length[0])
+
+
+#: Points, filled up to those of the longest line, of the lines whose ellipses are fitted together.
+FITTED = 1 << 16
+
+
+def ellipses(x: np.ndarray, y: np.ndarray, lengths: np.ndarray, angles: bool = True) -> np.ndarray:
+    """(cx, cy, major, minor, angle) for each line, one after the other: the conic of least squares as an ellipse, full axes, the major axis in degrees; nan if it is no ellipse.
+
+    Without angles, those of circles and of level ellipses, which rounding alone tells from 180, are of no account.
+    """
+    out, begins = np.full((len(lengths), 5), np.nan), np.cumsum(lengths) - lengths
+    order, at = np.argsort(lengths, kind="stable"), int((lengths < 5).sum())
+    while at < len(order):
+        some = order[at : at + 1]
+        while at + len(some) < len(order) and lengths[order[at + len(some)]] * (len(some) + 1) <= FITTED:
+            some = order[at : at + len(some) + 1]
+        out[some] = _fitted(x, y, begins[some], lengths[some], angles)
+        at += len(some)
+    return out
+
+
+def _fitted(px: np.ndarray, py: np.ndarray, begins: np.ndarray, lengths: np.ndarray, angles: bool) -> np.ndarray:
+    """ellipses() of lines of about one length; rows of zeros fill up the shorter ones, which changes no fit."""
+    real = np.arange(max(6, lengths.max())) < lengths[:, None]
+    place = np.where(real, begins[:, None] + np.arange(real.shape[1]), begins[:, None])
+    x, y = (np.where(real, p[place], 0).astype(np.float64) for p in (px, py))
+    mx, my = x.sum(1) / lengths, y.sum(1) / lengths
+    x, y = np.where(real, x - mx[:, None], 0), np.where(real, y - my[:, None], 0)
+    scale = np.maximum(1e-9, np.maximum(np.abs(x).max(1), np.abs(y).max(1)))
+    x, y = x / scale[:, None], y / scale[:, None]
+    r = np.linalg.qr(np.stack([x * x, x * y, y * y, x, y, real.astype(np.float64)], 2), mode="r")
+    size = np.abs(np.diagonal(r[:, :5, :5], axis1=1, axis2=2))
+    plain = size.min(1) > 1e-7 * size.max(1)
+    r[~plain] = np.eye(6)
+    a, b, c, d, e = np.linalg.solve(r[:, :5, :5], r[:, :5, 5:])[..., 0].T
+    form = np.stack([a, b / 2, b / 2, c], 1).reshape(-1, 2, 2)
+    real = plain & (a * c - b * b / 4 > 1e-9)
+    form[~real] = np.eye(2)
+    centre = -np.linalg.solve(form, np.stack([d, e], 1)[..., None])[..., 0] / 2
+    whole = 1 + np.einsum("ni,nij,nj->n", centre, form, centre)
+    real &= whole > 1e-9
+    values, axes = np.linalg.eigh(form / np.where(real, whole, 1)[:, None, None])
+    plain &= real & (values[:, 0] > 1e-9)
+    major, minor = 2 * scale / np.sqrt(np.maximum(values, 1e-9)).T
+    angle = np.degrees(np.arctan2(axes[:, 1, 0], axes[:, 0, 0])) % 180
+    if angles:
+        plain &= (values[:, 1] - values[:, 0] > 1e-7 * values[:, 1]) & (np.abs(angle - 90) < 90 - 1e-6)
+    out = np.stack([centre[:, 0] * scale + mx, centre[:, 1] * scale + my, major, minor, angle], 1)
+    for i in np.nonzero(~plain)[0]:  # what is near to no ellipse or to a lower rank, or has an angle by rounding alone
+        line = slice(begins[i], begins[i] + lengths[i])
+        out[i] = ellipse(np.stack([px[line], py[line]], 1)) or np.nan
+    return out
 
 
 def ellipse(points: np.ndarray) -> tuple[float, float, float, float, float] | None:
@@ -273,23 +404,50 @@ def ellipse(points: np.ndarray) -> tuple[float, float, float, float, float] | No
     return (*(centre * scale + middle).tolist(), float(major), float(minor), angle)
 
 
-def outline(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-    """Measures of a nucleus' boundary and its hull; without an ellipse, the box's sides are the axes."""
-    out = []
-    for i, j in zip(x, y):
-        line = boundary(i, j)
-        corners = hull(line)
-        fit = ellipse(line) if len(line) >= 5 else None
-        sides = sorted((int(np.ptp(i)) + 1, int(np.ptp(j)) + 1))
-        out.append((*polygon(line), *polygon(corners), len(line), *(fit or (i.mean(), j.mean(), float(sides[1]), float(sides[0]), 0.0))))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in OUTLINE.split(", ")])
-
-
-def box_counts(x, y, left, top, w, h):
-    """The box-counting dimension of the pixels (arrays) in a patch (corner, width, height), by least squares over boxes of 2 to 32; 1 with fewer than two."""
-    sizes = F.filter(F.array(*[F.lit(s) for s in (2, 4, 8, 16, 32)]), lambda s: s < F.least(w, h))
-    boxes = lambda s: F.size(F.array_distinct(F.zip_with(x, y, lambda i, j: F.floor((j - top) / s) * 65536 + F.floor((i - left) / s))))
-    a, b = F.transform(sizes, lambda s: -F.log(s.cast("double"))), F.transform(sizes, lambda s: F.log(boxes(s).cast("double")))
+SIZES = (2, 4, 8, 16, 32)
+#: Of each nucleus: pixels, box, means of places, grey and its spread, mean of colours, boxes of each of SIZES that its pixels meet; OUTLINE.
+MEASURES = "n int, w int, h int, x0 int, x1 int, y0 int, y1 int, mx double, my double, mg double, istd double, light double, boxes array<int>, " + OUTLINE
+
+
+def measures(rgb: np.ndarray, label: np.ndarray, angles: bool = True) -> tuple[np.ndarray, list]:
+    """(number of nuclei by image, MEASURES as columns) of a stack and its instances; without an ellipse, the box's sides are the axes."""
+    counts = label.max((1, 2)) + 1
+    first = np.cumsum(counts) - counts
+    number, y, x = np.nonzero(label >= 0)
+    which = label[number, y, x] + first[number]
+    order = np.argsort(which, kind="stable")
+    number, y, x, which = number[order], y[order], x[order], which[order]
+    n = np.bincount(which, minlength=counts.sum())
+    if not len(n):
+        return counts, []
+    begins, mean = np.cumsum(n) - n, lambda v: np.bincount(which, v) / n  # sums go pixel by pixel
+    x0, x1, y0, y1 = np.minimum.reduceat(x, begins), np.maximum.reduceat(x, begins), np.minimum.reduceat(y, begins), np.maximum.reduceat(y, begins)
+    gray = np.rint(rgb @ np.array(LUMA))[number, y, x]
+    mg = mean(gray)
+    spread = np.sqrt(mean((gray - mg[which]) ** 2))
+    left, top, boxes = np.maximum(0, x0 - 2)[which], np.maximum(0, y0 - 2)[which], []
+    for s in SIZES:
+        i, j = (x - left) // s, (y - top) // s
+        met = np.unique((which * (j.max() + 1) + j) * (i.max() + 1) + i)
+        boxes.append(np.bincount(met // ((j.max() + 1) * (i.max() + 1)), minlength=len(n)))
+    boxes = pa.ListArray.from_arrays(np.arange(len(n) + 1, dtype=np.int32) * len(SIZES), np.stack(boxes, 1).ravel().astype(np.int32))
+    wide, high = label.shape[2] + 2, label.shape[1] + 2
+    px, py, length = _boundaries(label, ((number[begins] * high + y[begins] + 1) * wide + x[begins] + 1).tolist())
+    area, perimeter = _polygons(px, py, length)
+    corners = [hull(line) for line in np.split(np.stack([px, py], 1), np.cumsum(length)[:-1])]
+    both = np.concatenate(corners)
+    hull_area, hull_perimeter = _polygons(both[:, 0], both[:, 1], np.array([len(c) for c in corners]))
+    sides, mx, my = np.sort(np.stack([x1 - x0, y1 - y0]) + 1, 0).astype(np.float64), mean(x), mean(y)
+    fit = ellipses(px, py, length, angles)
+    fit = np.where(np.isnan(fit[:, :1]), np.stack([mx, my, sides[1], sides[0], np.zeros(len(n))], 1), fit)
+    size = [np.full(len(n), k) for k in (label.shape[2], label.shape[1])]
+    return counts, [n, *size, x0, x1, y0, y1, mx, my, mg, spread, np.bincount(which, rgb[number, y, x].sum(1)) / (3 * n), boxes, area, perimeter, hull_area, hull_perimeter, length, *fit.T]
+
+
+def box_counts(boxes, w, h):
+    """The box-counting dimension of a patch (width, height) whose pixels meet so many boxes of each of SIZES, by least squares over those less than its sides; 1 with fewer than two."""
+    sizes = F.filter(F.array(*[F.lit(s) for s in SIZES]), lambda s: s < F.least(w, h))
+    a, b = F.transform(sizes, lambda s: -F.log(s.cast("double"))), F.transform(F.slice(boxes, 1, F.size(sizes)), lambda n: F.log(n.cast("double")))
     n, total = F.size(sizes), lambda v: F.aggregate(v, F.lit(0.0), lambda p, q: p + q)
     slope = (n * V.dot(a, b) - total(a) * total(b)) / (n * V.dot(a, a) - total(a) * total(a))
     return F.when(n < 2, 1.0).otherwise(F.greatest(F.lit(1.0), F.least(F.lit(2.0), slope)))
@@ -305,10 +463,27 @@ def segmented(tiles: DataFrame, profile: Profile = PY12, image: str = "png") ->
     return tiles.select(*others, F.posexplode(_cut(profile)(F.col(image))).alias("at", "n"))
 
 
-def _measured(tiles: DataFrame, profile: Profile, image: str) -> DataFrame:
-    """segmented with outline measures o, which are made once, as filters on them stay above."""
-    found = segmented(tiles, profile, image)
-    return found.withColumn("o", F.pandas_udf(outline, OUTLINE).asNondeterministic()(F.col("n.x"), F.col("n.y")))
+def _measured(tiles: DataFrame, profile: Profile, image: str, angles: bool) -> DataFrame:
+    """tiles with PNGs to one row for each nucleus: the tile's other columns, at (its number from 0) and o (its MEASURES), which are made where it is cut, so that no pixels leave the task."""
+    small_batches(tiles.sparkSession)
+    others = [c for c in tiles.columns if c != image]
+    plain = tiles.select(*others, image)
+    schema = StructType([plain.schema[c] for c in others]).add("at", IntegerType()).add("o", StructType.fromDDL(MEASURES))
+    fields = list(to_arrow_type(schema["o"].dataType))
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                for places, rgb in _stacks(batch.column(len(others)).to_pylist()):
+                    counts, columns = measures(rgb, stacked(rgb, profile), angles)
+                    if columns:
+                        rows = pa.array(np.repeat(places, counts))
+                        number = np.concatenate([np.arange(k) for k in counts]).astype(np.int32)
+                        found = pa.StructArray.from_arrays([pa.array(c).cast(f.type) for c, f in zip(columns, fields)], fields=fields)
+                        yield pa.RecordBatch.from_arrays([*[batch.column(i).take(rows) for i in range(len(others))], pa.array(number), found], names=[*others, "at", "o"])
+
+    return plain.mapInArrow(run, schema)
 
 
 def nuclei12(tiles: DataFrame, profile: Profile = PY12, image: str = "png", soft: Soft = Soft()) -> DataFrame:
@@ -317,18 +492,16 @@ def nuclei12(tiles: DataFrame, profile: Profile = PY12, image: str = "png", soft
     inst_id counts from 1 in a tile; the box is that in the patch of two more pixels on each side, as the profile has it.
     An outline of an area under 4 gives zeros throughout. centroid is cut to whole numbers.
     """
-    m = _measured(tiles, profile, image)
-    x, y = F.col("n.x"), F.col("n.y")
-    x0, x1, y0, y1 = F.array_min(x), F.array_max(x), F.array_min(y), F.array_max(y)
+    m = _measured(tiles, profile, image, angles=False)
+    x0, x1, y0, y1 = (F.col(f"o.{c}") for c in ("x0", "x1", "y0", "y1"))
     left, top = F.greatest(F.lit(0), x0 - 2), F.greatest(F.lit(0), y0 - 2)
-    right, low = F.least(F.col("n.w"), x1 + 3), F.least(F.col("n.h"), y1 + 3)
+    right, low = F.least(F.col("o.w"), x1 + 3), F.least(F.col("o.h"), y1 + 3)
     w, h, area = x1 - x0 + 1, y1 - y0 + 1, F.col("o.area")
-    mean = lambda v: F.aggregate(v, F.lit(0.0), lambda a, b: a + b) / F.size(v)
-    m = m.withColumns({"mg": mean(F.col("n.gray")), "minor": F.greatest(F.lit(1.0), F.col("o.minor")), "perimeter": F.greatest(F.col("o.perimeter"), F.lit(1e-6))})
+    m = m.withColumns({"minor": F.greatest(F.lit(1.0), F.col("o.minor")), "perimeter": F.greatest(F.col("o.perimeter"), F.lit(1e-6))})
     m = m.withColumns({
         "ar": F.col("o.major") / F.col("minor"), "rough": F.col("perimeter") / F.greatest(F.lit(1.0), F.col("o.hull_perimeter")),
-        "istd": F.sqrt(mean(F.transform("n.gray", lambda g: (g - F.col("mg")) * (g - F.col("mg"))))), "rect": shape.rectangularity(area, w, h),
-        "sol": F.least(F.lit(1.0), area / F.greatest(F.lit(1.0), F.col("o.hull_area"))), "fd": box_counts(x, y, left, top, right - left, low - top),
+        "istd": F.col("o.istd"), "rect": shape.rectangularity(area, w, h),
+        "sol": F.least(F.lit(1.0), area / F.greatest(F.lit(1.0), F.col("o.hull_area"))), "fd": box_counts(F.col("o.boxes"), right - left, low - top),
         "circ": F.least(F.lit(1.0), shape.circularity(area, F.col("perimeter"))), "area": area, "major": F.col("o.major"),
     })
     real = F.col("area") >= 4
@@ -336,7 +509,7 @@ def nuclei12(tiles: DataFrame, profile: Profile = PY12, image: str = "png", soft
     rounded = {"circ": 6, "major": 3, "minor": 3, "ar": 4, "sol": 6, "rough": 4, "rect": 6, "fd": 4, "istd": 3}
     vector = F.transform(F.array(*V.vector12({c: F.col(c) for c in zeros})), lambda v: F.when(real, v.cast("float")).otherwise(F.lit(0.0).cast("float")))
     box = F.when(real, F.array(x0 - left, y0 - top, w, h)).otherwise(F.array(*[F.lit(0)] * 4))
-    m = m.withColumns({"feature_vector": vector, "bbox": box, "centroid": F.array(mean(x).cast("int"), mean(y).cast("int"))})
+    m = m.withColumns({"feature_vector": vector, "bbox": box, "centroid": F.array(F.col("o.mx").cast("int"), F.col("o.my").cast("int"))})
     m = m.withColumns(zeros)
     m = m.withColumns({c: F.round(c, n) for c, n in rounded.items()})
     args = [F.col(c) for c in ("circ", "rough", "ar", "istd")]
@@ -363,11 +536,10 @@ def nuclei128(tiles: DataFrame, profile: Profile = PY128_SEGMENTS, rules: Rules
     outline area under 4 go; cell_id numbers a tile's nuclei from 0, and one that goes, which takes a `least` far below the
     profile's, leaves a gap.
     """
-    m = _measured(tiles, profile, image).filter((F.size("n.x") >= 10) & (F.col("o.area") >= 4))
-    x, y = F.col("n.x"), F.col("n.y")
+    m = _measured(tiles, profile, image, angles=True).filter((F.col("o.n") >= 10) & (F.col("o.area") >= 4))
     tiny = lambda c: F.when(F.col(c) == 0, 1e-6).otherwise(F.col(c))
     m = m.withColumns({
-        "area": F.col("o.area"), "perimeter": F.col("o.perimeter"), "major": F.col("o.major"), "minor": tiny("o.minor"), "mi": F.col("n.light"), "orientation": F.col("o.angle"),
+        "area": F.col("o.area"), "perimeter": F.col("o.perimeter"), "major": F.col("o.major"), "minor": tiny("o.minor"), "mi": F.col("o.light"), "orientation": F.col("o.angle"),
         "ar": F.col("o.major") / tiny("o.minor"), "rough": F.col("o.perimeter") / tiny("o.hull_perimeter"), "sol": F.col("o.area") / tiny("o.hull_area"),
     })
     m = nuclei.with_rules(m, rules)
@@ -375,8 +547,8 @@ def nuclei128(tiles: DataFrame, profile: Profile = PY128_SEGMENTS, rules: Rules
     m = m.withColumn("_v", F.array(*V.expanded_py(base)))
     others = [c for c in tiles.columns if c != image]
     return m.select(
-        *others, F.col("at").alias("cell_id"), F.col("o.cx").alias("centroid_x"), F.col("o.cy").alias("centroid_y"), F.array_min(x).alias("bbox_x"), F.array_min(y).alias("bbox_y"),
-        (F.array_max(x) - F.array_min(x)).alias("bbox_w"), (F.array_max(y) - F.array_min(y)).alias("bbox_h"), "area", "perimeter", F.col("o.hull_perimeter").alias("convex_perimeter"),
+        *others, F.col("at").alias("cell_id"), F.col("o.cx").alias("centroid_x"), F.col("o.cy").alias("centroid_y"), F.col("o.x0").alias("bbox_x"), F.col("o.y0").alias("bbox_y"),
+        (F.col("o.x1") - F.col("o.x0")).alias("bbox_w"), (F.col("o.y1") - F.col("o.y0")).alias("bbox_h"), "area", "perimeter", F.col("o.hull_perimeter").alias("convex_perimeter"),
         F.col("major").alias("major_axis"), F.col("minor").alias("minor_axis"), "orientation", F.col("circ").alias("circularity"), F.col("ar").alias("aspect_ratio"), F.col("sol").alias("solidity"),
         F.col("rough").alias("roughness"), F.col("mi").alias("mean_intensity"), "is_abnormal", F.col("reasons").alias("abnormal_reasons"), V.normalised(F.col("_v")).alias("feature_vector"),
     )
