@@ -122,20 +122,29 @@ def in_pack(path: str) -> tuple[str, str] | None:
     return found and found.groups()
 
 
+def _is_file(path: str) -> bool:
+    filesystem, inner = located(path)
+    return filesystem.get_file_info(inner).type == pafs.FileType.File
+
+
 #: Bytes that are read of a file at once when it is opened; those of a small one are all that is needed.
 HEAD = 1 << 16
 
 
 class Slide:
-    """An open slide file, of its own or within a pack: its levels, its properties and regions of pixels. `packs` opens packs, so that many slides share one."""
+    """An open slide file, of its own or within a pack: its levels, its properties and regions of pixels.
 
-    def __init__(self, path: str, packs=Pack):
-        filesystem, inner = located(path)
+    `packs` opens packs, so that many slides share one; `pack` is one that is open and known to hold the slide.
+    """
+
+    def __init__(self, path: str, packs=Pack, pack: Pack | None = None):
         member = in_pack(path)
-        if member and filesystem.get_file_info(located(member[0])[1]).type == pafs.FileType.File:
+        if pack is None and member and _is_file(member[0]):
             pack = packs(member[0])
-            self.file, (self.begin, size) = pack.file, pack.place(member[1])
+        if pack:
+            self.file, (self.begin, size) = pack.file, pack.place(path[len(pack.path) + 1 :])
         else:
+            filesystem, inner = located(path)
             info = filesystem.get_file_info(inner)
             if info.type != pafs.FileType.File:
                 raise FileNotFoundError(path)
@@ -205,7 +214,7 @@ def _parted(image: np.ndarray, tile: int) -> np.ndarray:
     down, across = -(-h // tile), -(-w // tile)
     padded = np.zeros((down * tile, across * tile * 3), np.uint8)
     padded[:h, : w * 3] = image.reshape(h, w * 3)
-    out = padded.copy()
+    out = np.empty_like(padded)
     np.subtract(padded[:, 3:], padded[:, :-3], out=out[:, 3:])
     first = lambda v: v.reshape(down * tile, across, tile, 3)[:, :, 0]
     first(out)[:] = first(padded)
@@ -359,7 +368,7 @@ class _Reader(DataSourceReader):
             pack = Pack(path)
             for name in sorted(n for n in pack.members if is_slide(n))[partition.band :: partition.bands]:
                 if self.wanted.paths is None or f"{path}/{name}" in self.wanted.paths:
-                    yield Slide(f"{path}/{name}", lambda _: pack), 0, 1
+                    yield Slide(f"{path}/{name}", pack=pack), 0, 1
 
     def batches(self, rows):
         """Rows as Arrow batches of some thousand rows or a few megabytes of images, which are their last value."""
